@@ -1,0 +1,5 @@
+"""There is no streaming operator of its own.
+
+The pixel, place and prompt column expressions keep no state, so they apply unchanged to a
+``readStream`` DataFrame (see ``tests/test_streaming.py``).
+"""
