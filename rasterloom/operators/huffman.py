@@ -91,34 +91,36 @@ def encode(pixels: DataFrame, books: DataFrame, images: DataFrame | None = None,
     """(image_id, seg, width, channels, segment, n_values, payload_bits, payload) (H4).
 
     A segment is ``segment`` pixels in row order. Bits are packed most significant first and each segment
-    is padded with zeros to a whole byte.
+    is padded with zeros to a whole byte. Pixels are shuffled once, as one integer per byte; the code books
+    meet whole segments.
     """
     stream, channels = _byte_stream(pixels)
     size = segment * channels
     shapes = image_shapes(pixels) if images is None else images
-    per_image = books.select("image_id", "codes", F.col("total").alias("n_bytes")).join(
-        shapes.select("image_id", "width"), "image_id"
-    )
-    joined = lookup_join(stream, per_image, ["image_id"], "inner", row_bytes=BOOK_ROW_BYTES, weight="n_bytes")
+    shaped = lookup_join(stream, shapes.select("image_id", "width"), ["image_id"], "inner", row_bytes=32)
     at = (F.col("y").cast("long") * F.col("width") + F.col("x")) * channels + F.col("c")
-    coded = joined.select(
+    packed = shaped.select(
         "image_id",
         "width",
         F.floor(at / size).alias("seg"),
-        F.struct((at % size).cast("int").alias("at"), F.get("codes", F.col("v")).alias("code")).alias("item"),
+        # place in the segment and value, in one sortable integer
+        ((at % size) * LEVELS + F.col("v")).cast("int").alias("item"),
+    )
+    segments = packed.groupBy("image_id", "seg").agg(
+        F.first("width").alias("width"), F.sort_array(F.collect_list("item")).alias("items")
     )
-    pieces = coded.groupBy("image_id", "seg").agg(
-        F.first("width").alias("width"),
-        F.count(F.lit(1)).cast("int").alias("n_values"),
-        F.array_join(F.array_sort(F.collect_list("item"))["code"], "").alias("bits"),
+    booked = lookup_join(
+        segments, books.select("image_id", "codes"), ["image_id"], "inner", row_bytes=BOOK_ROW_BYTES
     )
-    return pieces.select(
+    codes = F.transform("items", lambda item: F.get("codes", item.bitwiseAND(F.lit(LEVELS - 1))))
+    spelled = booked.withColumn("bits", F.array_join(codes, ""))
+    return spelled.select(
         "image_id",
         "seg",
         "width",
         F.lit(channels).alias("channels"),
         F.lit(segment).alias("segment"),
-        "n_values",
+        F.size("items").alias("n_values"),
         F.length("bits").alias("payload_bits"),
         _pack(F.col("bits")).alias("payload"),
     )

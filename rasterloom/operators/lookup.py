@@ -29,15 +29,21 @@ def lookup_join(
     row_bytes: int = 64,
     weight: str | None = None,
     broadcast_bytes: int | None = None,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Join ``big`` with ``per_key``, which must hold each key once.
 
     ``weight`` names a column of ``per_key`` with the number of big rows per key, which saves counting
-    them; it is dropped from the result.
+    them; it is dropped from the result. ``known_rows`` says that ``per_key`` is settled and how long it is.
     """
-    dim = settle(per_key)
+    if known_rows is None:
+        dim = settle(per_key)
+        small = fits_broadcast(dim, row_bytes, broadcast_bytes)
+    else:
+        dim = per_key
+        small = known_rows * row_bytes <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
     wanted = dim.drop(weight) if weight else dim
-    if fits_broadcast(dim, row_bytes, broadcast_bytes):
+    if small:
         return big.join(F.broadcast(wanted), keys, how)
 
     if weight:

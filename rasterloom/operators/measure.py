@@ -30,7 +30,9 @@ def pair_clicks(clicks: DataFrame, bucket: int = 100_000) -> DataFrame:
     keys = ["user_id", "bucket"]
     local = Window.partitionBy(*keys).orderBy("event_id")
     point = F.struct("image_id", "x", "y")
-    rows = clicks.withColumn("bucket", F.floor(F.col("event_id") / bucket))
+    known = clicks.where("user_id IS NOT NULL AND event_id IS NOT NULL")
+    # never null, so that both uses of the rows below keep one plan and share its shuffle
+    rows = known.withColumn("bucket", F.coalesce(F.floor(F.col("event_id") / bucket), F.lit(0)))
     rows = rows.withColumn("before", F.lag(point).over(local))
     rows = rows.withColumn("turn", (F.col("before.image_id") != F.col("image_id")).cast("int"))
     rows = rows.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(local))

@@ -8,13 +8,16 @@ large the image is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.operators.lookup import lookup_join
-from rasterloom.schema import image_shapes, is_colour, value_columns
+from rasterloom.schema import POSITION, image_shapes, is_colour, value_columns
+from rasterloom.session import settle
 
-TILE = 512
+TILE = 256
 _TILE_KEYS = ["image_id", "ty", "tx"]
 
 
@@ -27,76 +30,111 @@ def reflected_positions(index: Column, length: Column, radius: int) -> Column:
     period = 2 * (length - 1)
     end = length - 1 + radius
     reach = F.lit(radius)
+    none = F.array().cast("array<int>")
 
     def repeats(start: Column) -> Column:
         from_ = F.pmod(start + reach, period) - reach
-        return F.when(from_ <= end, F.sequence(from_, end, period)).otherwise(F.array().cast("array<int>"))
-
-    mirrored = F.when((index > 0) & (index < length - 1), repeats(-index)).otherwise(F.array().cast("array<int>"))
-    inside = (index > radius) & (index < length - 1 - radius)
-    return (
-        F.when(inside, F.array(index))
-        .when(length == 1, F.sequence(-reach, reach))
-        .otherwise(F.concat(repeats(index), mirrored))
-    )
+        return F.when(from_ <= end, F.sequence(from_, end, period)).otherwise(none)
+
+    mirrored = F.when((index > 0) & (index < length - 1), repeats(-index)).otherwise(none)
+    return F.when(length == 1, F.sequence(-reach, reach)).otherwise(F.concat(repeats(index), mirrored))
+
+
+def _placement(tile: Column, pos: Column, own: bool | Column) -> Column:
+    own = F.lit(own) if isinstance(own, bool) else own
+    return F.struct(tile.cast("int").alias("tile"), pos.cast("int").alias("pos"), own.alias("own"))
 
 
 def _placements(index: Column, length: Column, radius: int, tile: int) -> Column:
-    """array<struct<tile, pos, own>>: every tile that needs the pixel, and the position it takes there."""
-    size = F.lit(tile)
+    """array<struct<tile, pos, own>>: every tile that needs the pixel, and the position it takes there.
+
+    For axes longer than the radius, where a pixel is mirrored at most once per border. Entries that do
+    not apply are null; the expression has no lambda, so it stays in generated code.
+    """
+    home = F.floor(index / tile)
+    last = F.floor((length - 1) / tile)
+    within = F.pmod(index, F.lit(tile))
+    far = 2 * (length - 1) - index  # position beyond the far border
+    near_far_border = (index >= length - 1 - radius) & (index < length - 1)
+    inner = (within >= radius) & (within < tile - radius) & (index > radius) & (index < length - 1 - radius)
+    own = _placement(home, index, True)
+    copies = F.array(
+        own,
+        F.when((within < radius) & (home > 0), _placement(home - 1, index, False)),
+        F.when((within >= tile - radius) & (home < last), _placement(home + 1, index, False)),
+        F.when((index > 0) & (index <= radius), _placement(F.lit(0), -index, False)),
+        F.when(near_far_border, _placement(last, far, False)),
+        F.when(near_far_border & (last > 0) & (far < last * tile + radius), _placement(last - 1, far, False)),
+    )
+    return F.when(inner, F.array(own)).otherwise(copies)
 
-    def div(a: Column) -> Column:
-        return F.floor(a / size).cast("int")
 
-    def placed(t: Column, p: Column) -> Column:
-        return F.struct(t.alias("tile"), p.alias("pos"), ((p == index) & (t == div(index))).alias("own"))
+def _all_placements(index: Column, length: Column, radius: int, tile: int) -> Column:
+    """The same for axes of any length, the short ones included."""
 
     def tiles_of(p: Column) -> Column:
-        first = div(F.greatest(p - radius, F.lit(0)))
-        last = div(F.least(p + radius, length - 1))
-        return F.transform(F.sequence(first, last), lambda t: placed(t, p))
+        first = F.floor(F.greatest(p - radius, F.lit(0)) / tile)
+        last = F.floor(F.least(p + radius, length - 1) / tile)
+        return F.transform(
+            F.sequence(first, last), lambda t: _placement(t, p, (p == index) & (t == F.floor(index / tile)))
+        )
 
-    within = F.pmod(index, size)
-    alone = (within >= radius) & (within < tile - radius) & (index > radius) & (index < length - 1 - radius)
-    everywhere = F.flatten(F.transform(reflected_positions(index, length, radius), tiles_of))
-    return F.when(alone, F.array(placed(div(index), index))).otherwise(everywhere)
+    return F.flatten(F.transform(reflected_positions(index, length, radius), tiles_of))
 
 
-def _tiled(pixels: DataFrame, images: DataFrame | None, radius: int, tile: int) -> DataFrame:
+def _tiled(
+    pixels: DataFrame, images: DataFrame | None, radius: int, tile: int, broadcast_bytes: int | None = None
+) -> DataFrame:
+    """Pixels and their copies with tile (ty, tx), position (py, px) and whether they are the original."""
     if tile <= 2 * radius:
         raise ValueError(f"tile of {tile} is too small for radius {radius}")
-    if {"height", "width"} <= set(pixels.columns):
-        shaped = pixels
-    else:
-        shapes = image_shapes(pixels) if images is None else images
-        weight = "n_pixels" if "n_pixels" in shapes.columns else None
-        shaped = lookup_join(pixels, shapes, ["image_id"], "inner", row_bytes=48, weight=weight)
-    kept = [c for c in pixels.columns if c not in ("height", "width")]
-    rows = shaped.select(*kept, "width", F.explode(_placements(F.col("y"), F.col("height"), radius, tile)).alias("py"))
-    both = rows.select(*kept, "py", F.explode(_placements(F.col("x"), F.col("width"), radius, tile)).alias("px"))
-    return both.select(
-        "*",
-        F.col("py.tile").alias("ty"),
-        F.col("px.tile").alias("tx"),
-    ).repartition(*_TILE_KEYS)
-
-
-def _passes() -> tuple[Window, Window]:
-    across = Window.partitionBy(*_TILE_KEYS, "py.pos").orderBy("px.pos")
-    down = Window.partitionBy(*_TILE_KEYS, "px.pos").orderBy("py.pos")
+    short = F.least("height", "width") <= radius
+    shapes = settle(image_shapes(pixels) if images is None else images)
+    n_images, n_short = shapes.agg(F.count(F.lit(1)), F.count(F.when(short, 1))).first()
+    weight = "n_pixels" if "n_pixels" in shapes.columns else None
+    carried = [c for c in pixels.columns if c not in POSITION]
+
+    def spread(part: DataFrame, placements: Callable[..., Column]) -> DataFrame:
+        rows = lookup_join(pixels, part, ["image_id"], "inner", 48, weight, broadcast_bytes, n_images)
+        down = rows.withColumn("p", F.explode(placements(F.col("y"), F.col("height"), radius, tile))).where(
+            "p IS NOT NULL"
+        )
+        down = down.select(
+            "image_id", *carried, "x", "width", F.col("p.tile").alias("ty"), F.col("p.pos").alias("py"), F.col("p.own").alias("own_y")
+        )
+        across = down.withColumn("p", F.explode(placements(F.col("x"), F.col("width"), radius, tile))).where(
+            "p IS NOT NULL"
+        )
+        return across.select(
+            "image_id", *carried, "ty", "py", "own_y", F.col("p.tile").alias("tx"), F.col("p.pos").alias("px"), F.col("p.own").alias("own_x")
+        )
+
+    placed = spread(shapes.where(~short), _placements)
+    if n_short:
+        placed = placed.unionByName(spread(shapes.where(short), _all_placements))
+    return placed.repartition(*_TILE_KEYS)
+
+
+def _passes() -> tuple[WindowSpec, WindowSpec]:
+    across = Window.partitionBy(*_TILE_KEYS, "py").orderBy("px")
+    down = Window.partitionBy(*_TILE_KEYS, "px").orderBy("py")
     return across, down
 
 
+def _originals(tiled: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of original pixels, where the tile position is the image position."""
+    return tiled.withColumns({"y": F.col("py"), "x": F.col("px")}).select(*columns)
+
+
 def box_sums(pixels: DataFrame, radius: int, images: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """Every value column replaced by its exact sum over the (2r+1) x (2r+1) neighbourhood."""
     across, down = _passes()
     values = value_columns(pixels)
-    kept = [c for c in pixels.columns if c not in ("height", "width")]
     summed = _tiled(pixels, images, radius, tile)
-    for window, own in ((across, "px.own"), (down, "py.own")):
+    for window, own in ((across, "own_x"), (down, "own_y")):
         frame = window.rowsBetween(-radius, radius)
         summed = summed.withColumns({c: F.sum(c).over(frame) for c in values}).where(own)
-    return summed.select(*kept)
+    return _originals(summed, pixels.columns)
 
 
 def mean_filter(
@@ -119,9 +157,8 @@ def mean_filter(
 def laplacian(pixels: DataFrame, images: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """|N + S + E + W - 4C| of gray pixels, saturated at 255, with a mirrored border."""
     across, down = _passes()
-    kept = [c for c in pixels.columns if c not in ("height", "width")]
     v = F.col("v")
     sides = _tiled(pixels, images, 1, tile).withColumn("sides", F.lag(v).over(across) + F.lead(v).over(across))
-    both = sides.where("px.own").withColumn("ends", F.lag(v).over(down) + F.lead(v).over(down)).where("py.own")
+    both = sides.where("own_x").withColumn("ends", F.lag(v).over(down) + F.lead(v).over(down)).where("own_y")
     edge = F.least(F.lit(255), F.abs(F.col("sides") + F.col("ends") - 4 * v)).cast("int")
-    return both.withColumn("v", edge).select(*kept)
+    return _originals(both.withColumn("v", edge), pixels.columns)

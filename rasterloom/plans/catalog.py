@@ -10,7 +10,7 @@ from rasterloom import schema
 from rasterloom.functions.colour import default_ranges
 from rasterloom.operators import chain, classify, cluster, histogram, huffman, measure, pixels as px, places, prompts, stencil
 from rasterloom.plans import fixtures as fx
-from rasterloom.session import new_folder
+from rasterloom.session import new_folder, settle
 from rasterloom.sources import gazetteer, images, matrices, runs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +58,15 @@ QUERIES["bench_stats_lineitem"] = _on(fx.lineitem_pixels, lambda p: _rounded_sta
 QUERIES["bench_hist_lineitem"] = _on(fx.lineitem_pixels, histogram.level_counts)
 
 
-def _rounded_bins(binned: DataFrame) -> DataFrame:
-    return binned.withColumns({"lo": F.round("lo", 9), "hi": F.round("hi", 9), "mass": F.round("mass", 6)})
+def _plot(fixture: Query, **kw) -> Query:
+    """Float sums differ in their last digits by order; densities are small, so they keep more places."""
+    places_kept = 14 if kw.get("density") else 6
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        binned = histogram.plot_table(fixture(spark, sf), **kw)
+        return binned.withColumns({"lo": F.round("lo", 9), "hi": F.round("hi", 9), "mass": F.round("mass", places_kept)})
 
-def _plot(fixture: Query, **kw) -> Query:
-    return lambda spark, sf: _rounded_bins(histogram.plot_table(fixture(spark, sf), **kw))
+    return run
 
 
 QUERIES |= {
@@ -394,7 +397,7 @@ def huffman_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _roundtrip(pixels: DataFrame, channels: int) -> DataFrame:
-    books = huffman.code_books(pixels)
+    books = settle(huffman.code_books(pixels))
     return huffman.decode(huffman.encode(pixels, books), books, channels)
 
 

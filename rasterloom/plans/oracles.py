@@ -206,7 +206,7 @@ smooth AS (
         out = "smooth"
     return f"""{parts}
 SELECT image_id, band, bin, round(bin * 256::DOUBLE / {bins}, 9) AS lo, round((bin + 1) * 256::DOUBLE / {bins}, 9) AS hi,
-       round(mass, 6) AS mass FROM {out}"""
+       round(mass, {14 if density else 6}) AS mass FROM {out}"""
 
 
 GRAY = {"gray": "v"}
