@@ -163,7 +163,7 @@ def _add(result: ChainResult, rows: DataFrame) -> None:
 
 def _distance_metadata(points: DataFrame, number: int) -> DataFrame:
     corners = [F.coalesce(F.col(c), F.lit(0)) for c in ("x1", "y1", "x2", "y2")]
-    distance = F.format_number(geo.pixel_distance(*corners), "0.000")
+    distance = F.format_string("%.3f", geo.pixel_distance(*corners))
     notes = F.create_map(
         F.lit("operation"),
         F.lit("distance"),

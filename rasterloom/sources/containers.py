@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rasterloom.sources.listing import listed_files, one_slash
 
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of every file below ``path``, ready for ``huffman.audit``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    full = files.withColumn("path", one_slash(F.col("path")))
+    empty = listed_files(spark, path).join(full.select("path"), "path", "left_anti")
+    nothing = empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    return full.unionByName(nothing)

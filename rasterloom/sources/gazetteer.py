@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def _entries(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    """(order, key, value) of JSON objects, one object per file or per line of a folder."""
-    files = spark.read.option("wholetext", "true").text(path)
+    """(order, key, value) of JSON objects, one object per file."""
+    files = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
     return files.select(F.posexplode(F.map_entries(parsed)).alias("at", "entry")).select("at", "entry.key", "entry.value")
 

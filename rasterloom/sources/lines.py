@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rasterloom.operators.lookup import lookup_join
-from rasterloom.session import new_folder, settle
+from rasterloom.session import new_folder
+from rasterloom.sources.listing import listed_files, plain_path
 
 
 def numbered_lines(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
@@ -42,5 +43,5 @@ def numbered_lines(spark: SparkSession, path: str, key: str | None = None) -> Da
 
 def files_without_lines(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
     """Files below ``path`` that gave no line at all."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return settle(listed).join(settle(lines.select("path").distinct()), "path", "left_anti")
+    read = lines.select(plain_path(F.col("path")).alias("path")).distinct()
+    return listed_files(spark, path).join(read, "path", "left_anti")
