@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.functions import geo
-from rasterloom.operators import cluster, huffman, pixels as px, stencil
+from rasterloom.operators import cluster, histogram, huffman, pixels as px, stencil
 from rasterloom.schema import image_shapes, is_colour
-from rasterloom.session import settle
+from rasterloom.session import settle, stored
 
 Params = dict[str, object]
 
 
 @dataclass
 class ChainResult:
-    """What a chain leaves: the pixels, one metadata row per image and step, and the log lines."""
+    """What a chain leaves: pixels, one metadata row per image and step, tables by step, log lines."""
 
     image: DataFrame | None
     metadata: DataFrame | None
+    tables: dict[int, DataFrame] = field(default_factory=dict)
     log: list[str] = field(default_factory=list)
 
 
@@ -29,7 +30,8 @@ class ChainResult:
 class _Step:
     image: DataFrame
     notes: dict[str, object]
-    per_image: DataFrame | None = None  # (image_id, notes MAP)
+    per_image: DataFrame | None = None  # (image_id, found MAP)
+    table: DataFrame | None = None
 
 
 def _int(params: Params, key: str, default: int) -> int:
@@ -82,6 +84,15 @@ def _compress(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     return _Step(image, {}, report.select("image_id", notes.alias("found")))
 
 
+def _statistics(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+    return _Step(image, {}, table=histogram.statistics(px.to_grayscale(image)))
+
+
+def _histogram(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+    modes = {key: params[key] for key in ("mode", "bins", "density", "cumulative", "smoothing") if key in params}
+    return _Step(image, {}, table=histogram.plot_table(image, **modes))
+
+
 OPERATIONS: dict[str, Callable[[DataFrame, DataFrame, Params], _Step]] = {
     "grayscale": _grayscale,
     "negative": _negative,
@@ -91,10 +102,19 @@ OPERATIONS: dict[str, Callable[[DataFrame, DataFrame, Params], _Step]] = {
     "laplacian": _laplacian,
     "kmeans": _kmeans,
     "huffman_compress": _compress,
+    "statistics": _statistics,
+    "histogram": _histogram,
 }
 
+# names under which prompts ask for an operation
+ALIASES = {"compress": "huffman_compress"}
+
 # these leave no metadata behind
-SILENT = {"laplacian"}
+SILENT = {"laplacian", "statistics", "histogram"}
+# these shuffle pixels; what follows should not do it again
+HEAVY = {"meanfilter", "laplacian", "kmeans"}
+# these read their pixels more than once
+REPEATED = {"meanfilter", "laplacian", "kmeans", "huffman_compress", "histogram"}
 
 TITLES = {
     "grayscale": "Grayscale",
@@ -107,6 +127,8 @@ TITLES = {
     "huffman_compress": "Huffman Compression",
     "huffman_decompress": "Huffman Decompression",
     "distance": "Distance",
+    "statistics": "Statistics",
+    "histogram": "Histogram",
 }
 
 
@@ -129,11 +151,15 @@ def run_chain(image: DataFrame | None, steps: list[tuple[str, Params]]) -> Chain
     """Apply named operations one after the other.
 
     ``distance`` measures a table of point pairs given as parameter ``points`` and leaves the image as it
-    is; ``huffman_decompress`` starts from ``segments`` and ``books``.
+    is; ``huffman_decompress`` starts from ``segments`` and ``books``; ``statistics`` and ``histogram`` put a
+    table into the result. Pixels that came out of a shuffle are written to the shared folder before a
+    step that reads them more than once.
     """
     result = ChainResult(image, None)
     shapes = None if image is None else settle(image_shapes(image))
-    for number, (name, params) in enumerate(steps):
+    heavy = False
+    for number, (asked, params) in enumerate(steps):
+        name = ALIASES.get(asked, asked)
         if not name:
             raise ValueError("No operation specified")
         if name not in TITLES:
@@ -144,14 +170,20 @@ def run_chain(image: DataFrame | None, steps: list[tuple[str, Params]]) -> Chain
             continue
         if name == "huffman_decompress":
             result.image = huffman.decode(params["segments"], params["books"], _int(params, "channels", 1))
+            result.image = stored(result.image)
             shapes = settle(image_shapes(result.image))
             _add(result, _metadata(shapes, number, name, _Step(result.image, {})))
             continue
         if result.image is None:
             raise ValueError(f"Operation requires an image: {name}")
+        if heavy and name in REPEATED:
+            result.image, heavy = stored(result.image), False
         step = OPERATIONS[name](result.image, shapes, params)
+        heavy |= name in HEAVY
         if name not in SILENT:
             _add(result, _metadata(shapes, number, name, step))
+        if step.table is not None:
+            result.tables[number] = step.table
         result.image = step.image
     result.log.append("Done!")
     return result

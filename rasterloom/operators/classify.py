@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom.functions.colour import default_colours, default_names, default_ranges, pick, ranges_literal
-from rasterloom.operators.cluster import LOOKUP_ROW_BYTES, count_between, range_lookup, with_cluster
+from rasterloom.operators.cluster import LOOKUP_ROW_BYTES, count_between, range_lookup, range_table, with_cluster
 from rasterloom.operators.histogram import dense_counts, level_counts
 from rasterloom.operators.lookup import lookup_join
 from rasterloom.schema import LEVELS
@@ -88,13 +88,14 @@ def legend(
     names: list[str] | None = None,
     colours: list | None = None,
 ) -> DataFrame:
-    """(image_id, cluster, name, n, share, r, g, b), clusters of the same name kept apart.
+    """(image_id, cluster, name, n, share, r, g, b) by cluster, those of the same name kept apart.
 
     Without ``ranges`` the default classification ranges are used, whatever k-means found: that is what
     the legend of a freshly clustered image shows. Pass the k-means ranges to agree with its labels.
     """
     rows = range_counts(counted, default_ranges(k) if ranges is None else ranges)
-    return named(rows, k, names, colours).select("image_id", "cluster", "name", "n", "share", "r", "g", "b")
+    columns = ["image_id", "cluster", "name", "n", "share", "r", "g", "b"]
+    return named(rows, k, names, colours).select(*columns).orderBy("image_id", "cluster")
 
 
 def land_cover_map(pixels: DataFrame, model: DataFrame, k: int, colours: list | None = None) -> DataFrame:
@@ -103,6 +104,24 @@ def land_cover_map(pixels: DataFrame, model: DataFrame, k: int, colours: list |
     return painted.select("image_id", "y", "x", "cluster", "r", "g", "b")
 
 
+def land_cover(
+    pixels: DataFrame,
+    model: DataFrame,
+    k: int,
+    range_source: str = "preset",
+    names: list[str] | None = None,
+    colours: list | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The land-cover map and its legend (C11).
+
+    ``range_source`` chooses the ranges the legend counts: ``preset`` for the default classification
+    ranges, ``kmeans`` for the ranges the labels of the map come from.
+    """
+    sources = {"preset": default_ranges(k), "kmeans": range_table(model)}
+    counted = model.select("image_id", "counts", "total")
+    return land_cover_map(pixels, model, k, colours), legend(counted, k, sources[range_source], names, colours)
+
+
 def display_image(pixels: DataFrame, model: DataFrame, k: int, colours: list | None = None) -> DataFrame:
     """(image_id, y, x, b, g, r): the same labels in image channel order."""
     return land_cover_map(pixels, model, k, colours).select("image_id", "y", "x", "b", "g", "r")
@@ -133,7 +152,7 @@ def recolour(
         joined = lookup_join(
             pixels, per_image, ["image_id"], "left", row_bytes=LOOKUP_ROW_BYTES, broadcast_bytes=broadcast_bytes
         )
-        clustered = joined.withColumn("cluster", F.get("lookup", F.col("v"))).drop("lookup")
+        clustered = joined.withColumn("cluster", F.get("lookup", F.col("v")).cast("int")).drop("lookup")
     else:
         hit = F.get(_shared_lookup(ranges), F.col("v"))
         clustered = pixels.withColumn("cluster", F.when(hit >= 0, hit))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.functions.colour import equal_ranges, ranges_literal
+from rasterloom.functions.pixel import round_half_away
 from rasterloom.operators.histogram import dense_counts, level_counts
 from rasterloom.operators.lookup import lookup_join
 from rasterloom.schema import LEVELS
@@ -149,15 +150,16 @@ def run_table(model: DataFrame) -> DataFrame:
 
 
 def range_lookup(ranges: Column) -> Column:
-    """array<int> of 256: the cluster of each level, null where no range covers it.
+    """array<tinyint> of 256: the cluster of each level, null where no range covers it.
 
-    Where ranges overlap, the highest cluster wins.
+    Where ranges overlap, the highest cluster wins. One byte per level keeps the lookups of a few hundred
+    thousand images within the broadcast bound.
     """
     return F.transform(
         F.sequence(F.lit(0), F.lit(LEVELS - 1)),
         lambda v: F.array_max(
             F.transform(ranges, lambda r: F.when(v.between(r["lo"], r["hi"]), r["cluster"]))
-        ),
+        ).cast("tinyint"),
     )
 
 
@@ -171,8 +173,8 @@ def nearest_lookup(centroids: Column) -> Column:
     )
 
 
-# 256 integers and the row around them
-LOOKUP_ROW_BYTES = 2_200
+# 256 one-byte clusters, their null bits and the row around them
+LOOKUP_ROW_BYTES = 400
 
 
 def with_cluster(pixels: DataFrame, model: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
@@ -190,10 +192,20 @@ def with_cluster(pixels: DataFrame, model: DataFrame, broadcast_bytes: int | Non
         weight="n_pixels",
         broadcast_bytes=broadcast_bytes,
     )
-    cluster = F.coalesce(F.get("lookup", F.col("v")), F.lit(0))
+    cluster = F.coalesce(F.get("lookup", F.col("v")).cast("int"), F.lit(0))
     return joined.withColumn("cluster", cluster).drop("lookup")
 
 
 def labels(pixels: DataFrame, model: DataFrame) -> DataFrame:
     """(image_id, y, x, cluster)."""
     return with_cluster(pixels, model).select("image_id", "y", "x", "cluster")
+
+
+def centroid_drift(stored_centroids: DataFrame, model: DataFrame) -> DataFrame:
+    """(image_id, cluster, stored, fresh, drift): stored rounded centroids against those of ``model``.
+
+    ``stored_centroids``: (image_id, cluster, centroid), as read back from run files.
+    """
+    fresh = centroid_table(model).withColumn("fresh", round_half_away(F.col("centroid"))).drop("centroid")
+    both = stored_centroids.withColumnRenamed("centroid", "stored").join(fresh, ["image_id", "cluster"], "full")
+    return both.select("image_id", "cluster", "stored", "fresh", (F.col("fresh") - F.col("stored")).alias("drift"))

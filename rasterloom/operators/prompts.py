@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.functions import text
+from rasterloom.operators.places import resolve, scene_manifest
 
 
 def routed(prompts: DataFrame) -> DataFrame:
@@ -17,6 +18,12 @@ def intent_counts(prompts: DataFrame) -> DataFrame:
     return routed(prompts).groupBy("intent", "operation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def requested_scenes(prompts: DataFrame, locations: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Scene requests of the prompts that ask for imagery of a known place, with box, size and payload."""
+    asked = routed(prompts).where("intent = 'fetch_satellite'").withColumnRenamed("location", "name")
+    return scene_manifest(resolve(asked.drop("intent", "operation", "question"), locations, aliases))
+
+
 def cleaned(answers: DataFrame) -> DataFrame:
     """Add ``cleaned``, the ``answer`` column without reasoning."""
     return answers.withColumn("cleaned", text.clean_answer(F.col("answer")))

@@ -155,8 +155,7 @@ def land_cover_legend_9(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def land_cover_legend_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     """Histogram, Lloyd, ranges, counts, names: the pixels are read once."""
-    model = _model(spark, sf)
-    return classify.legend(model.select("image_id", "counts", "total"), 6, cluster.range_table(model))
+    return classify.land_cover(GRAY(spark, sf), _model(spark, sf), 6, "kmeans")[1]
 
 
 @_query
@@ -290,6 +289,14 @@ def route_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.routed(fx.prompts(spark, sf)).drop("prompt")
 
 
+@_query
+def prompt_scene_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts to places of the built-in gazetteer to requests."""
+    gazetteer_tables = places.built_in_locations(spark), places.built_in_aliases(spark)
+    asked = prompts.requested_scenes(fx.prompts(spark, sf), *gazetteer_tables)
+    return asked.select("conv_id", "turn", "name", "code", "cache_key", "size.width", "size.height")
+
+
 QUERIES["intent_counts"] = _on(fx.prompts, prompts.intent_counts)
 QUERIES["clean_answers"] = _on(fx.answers, lambda a: prompts.cleaned(a).drop("answer"))
 
@@ -335,6 +342,16 @@ def ingest_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return runs.read_centroids(spark, folder)
 
 
+@_query
+def centroid_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored centroids of a short run against those of a full one."""
+    folder = new_folder(spark, "centroids")
+    short = cluster.centroid_table(_model(spark, sf, max_iter=3))
+    runs.write_run_lines(runs.centroid_lines(short), folder)
+    read = runs.read_centroids(spark, folder).select(F.col("run").cast("long").alias("image_id"), "cluster", "centroid")
+    return cluster.centroid_drift(read, _model(spark, sf))
+
+
 @_query
 def ingest_ranges(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "ranges")

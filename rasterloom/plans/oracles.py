@@ -518,6 +518,18 @@ def sql() -> dict[str, str]:
         PROMPTS, _routed(), "SELECT intent, operation, count(*)::BIGINT AS n FROM routed GROUP BY 1, 2"
     )
     out["clean_answers"] = _cleaned()
+    sectors = ", ".join(f"({_text(code)}, {lat!r}::DOUBLE, {lon!r}::DOUBLE)" for code, (lat, lon) in fixed.SECTORS.items())
+    known = ", ".join(f"({_text(alias)}, {_text(code)})" for alias, code in fixed.ALIASES.items())
+    out["prompt_scene_requests"] = _with(
+        PROMPTS, _routed(), f"sectors AS (SELECT * FROM (VALUES {sectors}) AS s(code, lat, lon))",
+        f"known AS (SELECT alias, sectors.* FROM (VALUES {known}) AS a(alias, code) JOIN sectors USING (code))",
+        "placed AS (SELECT conv_id, turn, location AS name, coalesce(s.code, k.code) AS code,"
+        " coalesce(s.lat, k.lat) AS lat, coalesce(s.lon, k.lon) AS lon FROM routed LEFT JOIN sectors s"
+        " ON s.code = upper(location) LEFT JOIN known k ON k.alias = lower(location) WHERE intent = 'fetch_satellite')",
+        _boxed("placed"),
+        "SELECT conv_id, turn, name, code, concat(translate(upper(trim(name)), ' /', '__'), '.png') AS cache_key,"
+        f" {size} FROM boxed WHERE code IS NOT NULL",
+    )
 
     out["bench_hist_lineitem"] = _with(
         R3,
@@ -547,6 +559,12 @@ def sql() -> dict[str, str]:
     out["ingest_centroids"] = _kmeans(
         "SELECT image_id::VARCHAR AS run, cluster, CAST(floor(centroid + 0.5::DOUBLE) AS INT) AS centroid FROM fin"
     )
+    rounded = "CAST(floor(centroid + 0.5::DOUBLE) AS INT)"
+    out["centroid_drift"] = _kmeans(
+        f"SELECT fin.image_id, fin.cluster, e.stored, {rounded} AS fresh, {rounded} - e.stored AS drift FROM fin JOIN"
+        f" (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY centroid, cluster) - 1 AS cluster,"
+        f" {rounded} AS stored FROM c3) e ON e.image_id = fin.image_id AND e.cluster = fin.cluster"
+    )
     out["ingest_ranges"] = _kmeans("SELECT image_id::VARCHAR AS run, cluster, lo, hi FROM km")
     out["parse_range_strings"] = _kmeans("SELECT image_id, cluster, lo, hi FROM km")
     out["gazetteer_load"] = _with(

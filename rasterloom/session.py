@@ -50,3 +50,10 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table of any size to the shared folder and read it from there."""
+    folder = new_folder(df.sparkSession, "stored")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

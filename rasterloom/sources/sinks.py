@@ -13,3 +13,12 @@ def save_table(result: DataFrame, folder: str, buckets: int = 64, mode: str = "e
     """
     bucketed = result.withColumn("image_bucket", F.pmod("image_id", F.lit(buckets)).cast("int"))
     bucketed.hint("rebalance", "image_bucket").write.mode(mode).partitionBy("image_bucket").parquet(folder)
+
+
+def save_bucketed(result: DataFrame, table: str, buckets: int = 1024, mode: str = "error") -> None:
+    """Write a catalog table bucketed by ``image_id``.
+
+    A join of it with a per-image table then shuffles only the per-image side. That is the layout for
+    fleets whose per-image tables are too large to broadcast.
+    """
+    result.write.mode(mode).bucketBy(buckets, "image_id").sortBy("image_id").saveAsTable(table)

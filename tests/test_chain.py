@@ -45,6 +45,13 @@ def test_compress_and_back(gray, raster):
     assert (raster(back.image) == 255 - IMAGES[0]).all() and sorted(notes(back)) == [0, 1]
 
 
+def test_tables_and_aliases(gray):
+    result = chain.run_chain(gray(IMAGES), [("meanfilter", {}), ("statistics", {}), ("histogram", {"bins": 16}), ("compress", {})])
+    assert sorted(notes(result)) == [0, 3] and sorted(result.tables) == [1, 2]
+    assert result.tables[1].count() == 2 and result.tables[2].count() == 2 * 16
+    assert notes(result)[3]["operation"] == "huffman_compress"
+
+
 def test_distance_needs_no_image(spark):
     points = spark.createDataFrame([(0, 1165, 804, 1221, 950)], "image_id BIGINT, x1 INT, y1 INT, x2 INT, y2 INT")
     result = chain.run_chain(None, [("distance", {"points": points})])

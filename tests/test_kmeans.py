@@ -139,3 +139,19 @@ def test_legend_keeps_equal_names_apart(gray):
     assert [r.name for r in legend].count("Buildings / Rooftops") == 2
     assert sum(r.n for r in legend) == IMAGES[0].size and abs(sum(r.share for r in legend) - 100) < 1e-9
     assert (legend[1].r, legend[1].g, legend[1].b) == (0, 180, 0)
+
+
+def test_land_cover_by_range_source(gray, raster):
+    pixels = gray(IMAGES)
+    model = cluster.kmeans(pixels, 6)
+    picture, preset = classify.land_cover(pixels, model, 6)
+    _, found = classify.land_cover(pixels, model, 6, "kmeans")
+    image = IMAGES[1]
+    counts = {r.cluster: r.n for r in found.where("image_id = 1").collect()}
+    labels = raster(picture, 1, "cluster")
+    assert counts == {c: int((labels == c).sum()) for c in range(6)}
+    assert [r.n for r in preset.where("image_id = 1").collect()] == [
+        int(((image >= lo) & (image <= hi)).sum()) for lo, hi in default_ranges(6)
+    ]
+    with pytest.raises(KeyError):
+        classify.land_cover(pixels, model, 6, "other")

@@ -153,3 +153,19 @@ def test_saved_tables_come_back(spark, gray):
     back = spark.read.parquet(folder)
     assert back.drop("image_bucket").exceptAll(counts).count() == 0 and back.count() == counts.count()
     assert {r.image_bucket for r in back.select("image_bucket").distinct().collect()} == {0, 1, 2}
+
+
+def test_bucketed_pixels_are_not_shuffled(spark, gray):
+    """Beyond the broadcast bound, light images join their lookup inside the buckets."""
+    from rasterloom.operators import cluster
+
+    spark.sql("DROP TABLE IF EXISTS fleet")
+    sinks.save_bucketed(gray({i: RNG.integers(0, 256, (4, 4)) for i in range(6)}), "fleet", buckets=4)
+    pixels = spark.table("fleet")
+    model = cluster.kmeans(pixels, 3)
+    joined = cluster.with_cluster(pixels, model, broadcast_bytes=0)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "SortMergeJoin" in plan and len(shuffled) == 1
+    assert joined.count() == 96 and joined.where("cluster NOT BETWEEN 0 AND 2").count() == 0
+    spark.sql("DROP TABLE fleet")
