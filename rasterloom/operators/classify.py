@@ -42,7 +42,7 @@ def range_counts(counted: DataFrame, ranges: Ranges) -> DataFrame:
             "hi",
             "n",
             "share",
-            F.round("share", 1).alias("percent"),
+            F.bround("share", 1).alias("percent"),
             (F.col("lo") > F.col("hi")).alias("invalid"),
         )
     )

@@ -102,10 +102,14 @@ def scene_filter(
 
 def least_cloudy(scenes: DataFrame) -> DataFrame:
     """Per tile the scene with the least cloud; ties to the newest, then the lowest id."""
-    newest_first = -F.unix_micros(F.col("ts").cast("timestamp"))
-    rank = F.struct("cloud_pct", newest_first.alias("age"), "scene_id", "ts")
-    best = scenes.groupBy("tile").agg(F.min(rank).alias("best"))
-    return best.select("tile", "best.scene_id", "best.ts", "best.cloud_pct")
+    rank = F.struct((-F.col("cloud_pct")).alias("clear"), "ts", (-F.col("scene_id")).alias("low_id"))
+    best = scenes.groupBy("tile").agg(F.max(rank).alias("best"))
+    return best.select(
+        "tile",
+        (-F.col("best.low_id")).alias("scene_id"),
+        F.col("best.ts").alias("ts"),
+        (-F.col("best.clear")).alias("cloud_pct"),
+    )
 
 
 def points_in_boxes(

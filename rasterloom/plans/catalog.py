@@ -270,7 +270,7 @@ def points_in_sector(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def least_cloud_mosaic(spark: SparkSession, sf: str) -> DataFrame:
     best = places.least_cloudy(fx.scenes(spark, sf))
-    return best.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return best.withColumn("ts", F.col("ts").cast("string"))
 
 
 @_query

@@ -32,7 +32,8 @@ def read_matrices(
     else:
         image = (F.xxhash64("path") if image_id is None else image_id).cast("long")
     cells = lines.select(image.alias("image_id"), F.col("line").cast("int").alias("y"), F.posexplode(F.split("value", ",")).alias("x", "cell"))
-    value = F.trim("cell").cast("long")
+    refused = F.raise_error(F.concat(F.lit("not an integer matrix cell: "), F.col("cell")))
+    value = F.coalesce(F.trim("cell").try_cast("long"), refused.cast("long"))
     return cells.select("image_id", "y", "x", (clamp_int(value, 0, 255) if clamp else value).cast("int").alias("v"))
 
 
