@@ -179,11 +179,11 @@ def write_pngs(pixels: DataFrame, folder: str) -> None:
 
         head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
         body = zlib.compress(b"".join(b"\0" + row.tobytes() for row in rows))
-        image = int(cells.image_id.iloc[0])
+        image = int(cells["image_id"].iloc[0])
         store, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         with store.open_output_stream(f"{base}/{image}.png") as out:
             out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b""))
         return pd.DataFrame({"image_id": [image]})
 
-    pixels.limit(0).write.parquet(folder + "/made")  # creates the folder on whatever store holds it
     pixels.groupBy("image_id").applyInPandas(png, "image_id BIGINT").write.parquet(folder + "/written")
