@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.functions.colour import equal_ranges, ranges_literal
-from rasterloom.functions.pixel import round_half_away
+from rasterloom.functions.pixel import in_range, round_half_away
 from rasterloom.operators.histogram import dense_counts, level_counts
 from rasterloom.operators.lookup import lookup_join
 from rasterloom.schema import LEVELS
@@ -158,7 +158,7 @@ def range_lookup(ranges: Column) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(LEVELS - 1)),
         lambda v: F.array_max(
-            F.transform(ranges, lambda r: F.when(v.between(r["lo"], r["hi"]), r["cluster"]))
+            F.transform(ranges, lambda r: F.when(in_range(v, r["lo"], r["hi"]), r["cluster"]))
         ).cast("tinyint"),
     )
 

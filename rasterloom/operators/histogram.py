@@ -6,7 +6,7 @@ rows per image and band, however large an image is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.operators.pixels import split_channels
@@ -34,17 +34,26 @@ def byte_counts(pixels: DataFrame) -> DataFrame:
     return values.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SHIFT = 50  # a count in the low bits, its level above them
+
+
 def dense_counts(counts: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """One row per key: ``counts`` ARRAY<BIGINT> of all 256 levels and their ``total``."""
-    by_level = F.map_from_entries(F.collect_list(F.struct("v", "n")))
-    return counts.groupBy(*keys).agg(by_level.alias("by_level"), F.sum("n").alias("total")).select(
-        *keys,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(LEVELS - 1)),
-            lambda v: F.coalesce(F.try_element_at("by_level", v), F.lit(0).cast("long")),
-        ).alias("counts"),
-        "total",
-    )
+    """One row per key: ``counts`` ARRAY<BIGINT> of all 256 levels and their ``total``.
+
+    The levels that occur and a zero for every level are sorted together as integers; of equal levels the
+    last one, which has the count, is kept.
+    """
+    packed = F.collect_list(F.shiftleft(F.col("v").cast("long"), _SHIFT) + F.col("n"))
+    zeros = F.lit([v << _SHIFT for v in range(LEVELS + 1)])
+    rows = counts.groupBy(*keys).agg(packed.alias("packed"), F.sum("n").alias("total"))
+    ordered = rows.withColumn("packed", F.sort_array(F.concat("packed", zeros)))
+
+    def last_of_level(entry: Column, following: Column) -> Column:
+        ends = F.shiftright(entry, _SHIFT) != F.shiftright(following, _SHIFT)
+        return F.when(ends, entry.bitwiseAND(F.lit((1 << _SHIFT) - 1)))
+
+    last = F.zip_with("packed", F.slice("packed", 2, 2 * LEVELS + 1), last_of_level)
+    return ordered.select(*keys, F.array_compact(last).alias("counts"), "total")
 
 
 def exact_histogram(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:

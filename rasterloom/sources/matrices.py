@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.pixel import clamp_int
+from rasterloom.schema import checked_level
 from rasterloom.sources.lines import files_without_lines, numbered_lines
 
 
@@ -18,8 +19,8 @@ def read_matrices(
     """Gray pixels of every matrix file below ``path``.
 
     The image is the ``image_id=`` folder of a file if there is one, else ``image_id``, an expression
-    over the column ``path`` (by default its hash). ``clamp`` limits cells to 0..255. ``strict`` fails on
-    files without any row.
+    over the column ``path`` (by default its hash). ``clamp`` limits cells to 0..255; without it a cell
+    outside fails the job. ``strict`` fails on files without any row.
     """
     foldered = "image_id" in spark.read.text(path).columns
     lines = numbered_lines(spark, path, key="image_id" if foldered else None)
@@ -34,7 +35,8 @@ def read_matrices(
     cells = lines.select(image.alias("image_id"), F.col("line").cast("int").alias("y"), F.posexplode(F.split("value", ",")).alias("x", "cell"))
     refused = F.raise_error(F.concat(F.lit("not an integer matrix cell: "), F.col("cell")))
     value = F.coalesce(F.trim("cell").try_cast("long"), refused.cast("long"))
-    return cells.select("image_id", "y", "x", (clamp_int(value, 0, 255) if clamp else value).cast("int").alias("v"))
+    level = clamp_int(value, 0, 255) if clamp else checked_level(value)
+    return cells.select("image_id", "y", "x", level.cast("int").alias("v"))
 
 
 def matrix_lines(pixels: DataFrame) -> DataFrame:
