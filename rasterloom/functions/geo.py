@@ -23,7 +23,12 @@ def in_unit(distance: Column, unit: Column, pixels_per_unit: Column) -> Column:
     scale = F.when(pixels_per_unit.between(lo, hi), pixels_per_unit).otherwise(
         F.raise_error(F.concat(F.lit("pixels per unit out of bounds: "), pixels_per_unit.cast("string")))
     )
-    return F.when(unit == "pixels", shown).otherwise(shown / scale.cast("double"))
+    unknown = F.raise_error(F.concat(F.lit("unknown unit: "), unit))
+    return (
+        F.when(unit == "pixels", shown)
+        .when(unit.isin(fixed.UNITS), shown / scale.cast("double"))
+        .otherwise(unknown.cast("double"))
+    )
 
 
 def bounding_box(lat: Column, lon: Column, width_m: float | None = None, height_m: float | None = None) -> Column:

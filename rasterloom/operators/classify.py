@@ -6,28 +6,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom.functions.colour import default_colours, default_names, default_ranges, pick, ranges_literal
 from rasterloom.operators.cluster import LOOKUP_ROW_BYTES, count_between, range_lookup, range_table, with_cluster
-from rasterloom.operators.histogram import dense_counts, level_counts
 from rasterloom.operators.lookup import lookup_join
 from rasterloom.schema import LEVELS
 
 Ranges = list[tuple[int, int]] | DataFrame
 
 
-def counts_per_image(pixels: DataFrame) -> DataFrame:
-    """(image_id, counts, total): the 256 level counts of gray pixels."""
-    return dense_counts(level_counts(pixels).drop("band"), ["image_id"])
-
-
 def range_counts(counted: DataFrame, ranges: Ranges) -> DataFrame:
     """Pixels and share per range (A7): (image_id, cluster, lo, hi, n, share, percent, invalid).
 
-    ``counted`` comes from :func:`counts_per_image`. A range with lo > hi counts nothing and is flagged.
+    ``counted`` comes from :func:`histogram.image_counts` or a k-means model. A range with lo > hi counts nothing and is flagged.
     ``share`` is the exact percentage, ``percent`` the same with one decimal.
     """
     if isinstance(ranges, DataFrame):
         rows = counted.join(ranges.select("image_id", "cluster", "lo", "hi"), "image_id")
     else:
-        rows = counted.select("*", F.inline(ranges_literal(ranges)))
+        rows = counted.select("*", F.inline_outer(ranges_literal(ranges)))
     n = F.when(F.col("lo") <= F.col("hi"), count_between(F.col("counts"), F.col("lo"), F.col("hi"))).otherwise(
         F.lit(0).cast("long")
     )

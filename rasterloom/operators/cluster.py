@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rasterloom import fixed_values as fixed
 from rasterloom.functions.colour import equal_ranges, ranges_literal
 from rasterloom.functions.pixel import in_range, round_half_away
-from rasterloom.operators.histogram import dense_counts, level_counts
+from rasterloom.operators.histogram import image_counts
 from rasterloom.operators.lookup import lookup_join
 from rasterloom.schema import LEVELS
 
@@ -85,7 +85,7 @@ def kmeans(
     (image_id, cluster, lo, hi) for ranges edited per image. There must be exactly max(2, k) of them.
     """
     k = max(2, int(k))
-    dense = dense_counts(level_counts(pixels).drop("band"), ["image_id"])
+    dense = image_counts(pixels)
     if isinstance(ranges, DataFrame):
         edited = ranges.groupBy("image_id").agg(
             F.array_sort(F.collect_list(F.struct("cluster", "lo", "hi"))).alias("ranges")
@@ -133,16 +133,16 @@ def ranges_of(centroids: Column) -> Column:
 
 def centroid_table(model: DataFrame) -> DataFrame:
     """(image_id, cluster, centroid), ascending by centroid (O1)."""
-    return model.select("image_id", F.posexplode("centroids").alias("cluster", "centroid"))
+    return model.select("image_id", F.posexplode_outer("centroids").alias("cluster", "centroid"))
 
 
 def range_table(model: DataFrame) -> DataFrame:
-    return model.select("image_id", F.inline("ranges"))
+    return model.select("image_id", F.inline_outer("ranges"))
 
 
 def member_table(model: DataFrame) -> DataFrame:
     """(image_id, cluster, n): pixels per cluster by the final ranges."""
-    return model.select("image_id", F.posexplode("members").alias("cluster", "n"))
+    return model.select("image_id", F.posexplode_outer("members").alias("cluster", "n"))
 
 
 def run_table(model: DataFrame) -> DataFrame:

@@ -15,13 +15,34 @@ from rasterloom.schema import LEVELS, is_colour
 SERIES = ["image_id", "band"]
 
 
-def level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
-    """(image_id, band, v, n) for the levels that occur."""
+def _series(table: DataFrame) -> list[str]:
+    """Key columns of a table. Inside this module gray tables have no band: grouping by a constant would
+    hide from the planner that rows already lie together by image."""
+    return [c for c in SERIES if c in table.columns]
+
+
+def _with_band(table: DataFrame) -> DataFrame:
+    if "band" in table.columns:
+        return table
+    return table.select("image_id", F.lit("gray").alias("band"), *[c for c in table.columns if c != "image_id"])
+
+
+def _level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
     if is_colour(pixels):
         values = split_channels(pixels, bands or ("red", "green", "blue"))
     else:
-        values = pixels.select("image_id", F.lit("gray").alias("band"), "v")
-    return values.groupBy("image_id", "band", "v").agg(F.count(F.lit(1)).alias("n"))
+        values = pixels.select("image_id", "v")
+    return values.groupBy(*_series(values), "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
+    """(image_id, band, v, n) for the levels that occur."""
+    return _with_band(_level_counts(pixels, bands))
+
+
+def image_counts(pixels: DataFrame) -> DataFrame:
+    """(image_id, counts, total): the 256 level counts of gray pixels, one row per image."""
+    return dense_counts(_level_counts(pixels), ["image_id"])
 
 
 def byte_counts(pixels: DataFrame) -> DataFrame:
@@ -56,10 +77,16 @@ def dense_counts(counts: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     return ordered.select(*keys, F.array_compact(last).alias("counts"), "total")
 
 
+def _exact_histogram(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
+    counts = _level_counts(pixels, bands)
+    series = _series(counts)
+    # outer, because for an inner one the planner would compute the array twice to filter empty ones
+    return dense_counts(counts, series).select(*series, F.posexplode_outer("counts").alias("v", "n"))
+
+
 def exact_histogram(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
     """(image_id, band, v, n) with all 256 levels, zeros included (A2)."""
-    dense = dense_counts(level_counts(pixels, bands))
-    return dense.select(*SERIES, F.posexplode("counts").alias("v", "n"))
+    return _with_band(_exact_histogram(pixels, bands))
 
 
 def rebin(histogram: DataFrame, bins: int, density: bool = False, cumulative: bool = False) -> DataFrame:
@@ -77,11 +104,12 @@ def rebin(histogram: DataFrame, bins: int, density: bool = False, cumulative: bo
     v = F.col("v")
     first = F.floor(v * bins / F.lit(LEVELS)).cast("int")
     last = (F.ceil((v + 1) * bins / F.lit(LEVELS)) - 1).cast("int")
-    spread = histogram.select(*SERIES, "v", "n", F.explode(F.sequence(first, last)).alias("bin"))
+    keys = _series(histogram)
+    spread = histogram.select(*keys, "v", "n", F.explode(F.sequence(first, last)).alias("bin"))
     overlap = F.least((v + 1).cast("double"), edge(F.col("bin") + 1)) - F.greatest(v.cast("double"), edge(F.col("bin")))
-    mass = spread.groupBy(*SERIES, "bin").agg(F.sum(F.col("n") * overlap).alias("mass"))
+    mass = spread.groupBy(*keys, "bin").agg(F.sum(F.col("n") * overlap).alias("mass"))
 
-    series = Window.partitionBy(*SERIES)
+    series = Window.partitionBy(*keys)
     if density:
         mass = mass.withColumn("total", F.sum("mass").over(series)).withColumn(
             "mass", F.when(F.col("total") > 0, F.col("mass") / (F.col("total") * width)).otherwise(F.col("mass"))
@@ -91,7 +119,7 @@ def rebin(histogram: DataFrame, bins: int, density: bool = False, cumulative: bo
     if cumulative:
         running = series.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         mass = mass.withColumn("mass", F.sum("mass").over(running))
-    return mass.select(*SERIES, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), "mass")
+    return mass.select(*keys, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), "mass")
 
 
 def smooth(binned: DataFrame, radius: int) -> DataFrame:
@@ -101,7 +129,7 @@ def smooth(binned: DataFrame, radius: int) -> DataFrame:
         raise ValueError(f"smoothing radius must lie in {lo}..{hi}: {radius}")
     if radius <= 0:
         return binned
-    ordered = Window.partitionBy(*SERIES).orderBy("bin")
+    ordered = Window.partitionBy(*_series(binned)).orderBy("bin")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     near = ordered.rowsBetween(-radius, radius)
     before = F.greatest(F.lit(0), radius - F.col("bin"))
@@ -130,7 +158,7 @@ def plot_table(
 ) -> DataFrame:
     """The series behind a histogram plot (A5). Mode Smoothed is the luminance; only ``smoothing`` smooths."""
     bands = PLOT_BANDS[mode] if is_colour(pixels) else None
-    return smooth(rebin(exact_histogram(pixels, bands), bins, density, cumulative), smoothing)
+    return _with_band(smooth(rebin(_exact_histogram(pixels, bands), bins, density, cumulative), smoothing))
 
 
 def statistics(pixels: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def code_books(pixels: DataFrame) -> DataFrame:
 
 def code_table(books: DataFrame) -> DataFrame:
     """(image_id, v, n, code, code_len) of the values that occur."""
-    rows = books.select("image_id", "counts", F.posexplode("codes").alias("v", "code")).where("code IS NOT NULL")
+    rows = books.select("image_id", "counts", F.posexplode_outer("codes").alias("v", "code")).where("code IS NOT NULL")
     return rows.select("image_id", "v", F.get("counts", F.col("v")).alias("n"), "code", F.length("code").alias("code_len"))
 
 
@@ -201,7 +201,7 @@ def decode(segments: DataFrame, books: DataFrame, channels: int = 1) -> DataFram
         return F.struct(*[F.get(values, i * channels + c).alias(name) for c, name in enumerate(names)])
 
     cells = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / channels).cast("int") - 1), cell)
-    rows = decoded.select("image_id", "seg", "segment", "width", F.posexplode(cells).alias("at", "cell"))
+    rows = decoded.select("image_id", "seg", "segment", "width", F.posexplode_outer(cells).alias("at", "cell"))
     at = F.col("seg") * F.col("segment") + F.col("at")
     return rows.select(
         "image_id",

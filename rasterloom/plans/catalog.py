@@ -116,19 +116,19 @@ def kmeans_nearest_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edited_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    per_image = classify.counts_per_image(GRAY(spark, sf)).select("image_id")
-    preset = classify.range_counts(classify.counts_per_image(GRAY(spark, sf)), default_ranges(6))
+    per_image = histogram.image_counts(GRAY(spark, sf)).select("image_id")
+    preset = classify.range_counts(histogram.image_counts(GRAY(spark, sf)), default_ranges(6))
     return classify.edit_bounds(preset.select("image_id", "cluster", "lo", "hi"), fx.edited_bounds(per_image))
 
 
 @_query
 def classify_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.range_counts(classify.counts_per_image(GRAY(spark, sf)), default_ranges(6)).drop("percent")
+    return classify.range_counts(histogram.image_counts(GRAY(spark, sf)), default_ranges(6)).drop("percent")
 
 
 @_query
 def classify_edit_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    counted = classify.counts_per_image(GRAY(spark, sf))
+    counted = histogram.image_counts(GRAY(spark, sf))
     return classify.range_counts(counted, _edited_ranges(spark, sf)).drop("percent")
 
 
@@ -144,12 +144,12 @@ def classify_recolor_default(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def land_cover_legend(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.legend(classify.counts_per_image(GRAY(spark, sf)), 6)
+    return classify.legend(histogram.image_counts(GRAY(spark, sf)), 6)
 
 
 @_query
 def land_cover_legend_9(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.legend(classify.counts_per_image(GRAY(spark, sf)), 9)
+    return classify.legend(histogram.image_counts(GRAY(spark, sf)), 9)
 
 
 @_query

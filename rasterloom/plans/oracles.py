@@ -324,9 +324,6 @@ def _sizes(kind: str) -> str:
   FROM hist JOIN bits USING (image_id) GROUP BY 1"""
 
 
-_NEGATED = {band: f"255 - {band}" for band in ("b", "g", "r")}
-
-
 def sql() -> dict[str, str]:
     out: dict[str, str] = {}
     r1 = lambda select: _with(R1, select)

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 PIXELS = "image_id BIGINT, y INT, x INT, v INT"
 PIXELS_BGR = "image_id BIGINT, y INT, x INT, b INT, g INT, r INT, a INT"
 HIST = "image_id BIGINT, band STRING, v INT, n BIGINT"
-RANGES = "image_id BIGINT, cluster INT, lo INT, hi INT"
 
 LEVELS = 256
 POSITION = ["image_id", "y", "x"]

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rasterloom.functions.colour import default_colours, default_ranges, equal_ranges
-from rasterloom.operators import classify, cluster
+from rasterloom.operators import classify, cluster, histogram
 
 RNG = np.random.default_rng(11)
 IMAGES = {
@@ -116,7 +116,7 @@ def test_recolour_with_overlaps_and_gaps(gray, raster, spark, as_table, broadcas
 
 
 def test_range_counts_flag_inverted_ranges(gray):
-    rows = classify.range_counts(classify.counts_per_image(gray({0: IMAGES[0]})), OVERLAP).orderBy("cluster").collect()
+    rows = classify.range_counts(histogram.image_counts(gray({0: IMAGES[0]})), OVERLAP).orderBy("cluster").collect()
     assert [r.invalid for r in rows] == [False, False, False, True, False]
     assert rows[3].n == 0 and rows[3].share == 0
     assert [r.n for r in rows][:2] == [int((IMAGES[0] <= 120).sum()), int(((IMAGES[0] >= 100) & (IMAGES[0] <= 140)).sum())]
@@ -135,7 +135,7 @@ def test_edited_bounds_move_one_neighbour(spark):
 
 
 def test_legend_keeps_equal_names_apart(gray):
-    legend = classify.legend(classify.counts_per_image(gray({0: IMAGES[0]})), 6).orderBy("cluster").collect()
+    legend = classify.legend(histogram.image_counts(gray({0: IMAGES[0]})), 6).orderBy("cluster").collect()
     assert [r.name for r in legend].count("Buildings / Rooftops") == 2
     assert sum(r.n for r in legend) == IMAGES[0].size and abs(sum(r.share for r in legend) - 100) < 1e-9
     assert (legend[1].r, legend[1].g, legend[1].b) == (0, 180, 0)

@@ -102,3 +102,5 @@ def test_distance(spark):
     assert spark.range(1).select(unit).first()[0] == 156.371 / 10
     with pytest.raises(PySparkException, match="out of bounds"):
         spark.range(1).select(geo.in_unit(F.lit(1.0), F.lit("cm"), F.lit(0))).collect()
+    with pytest.raises(PySparkException, match="unknown unit: miles"):
+        spark.range(1).select(geo.in_unit(F.lit(1.0), F.lit("miles"), F.lit(1))).collect()
