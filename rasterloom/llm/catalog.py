@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import decontaminate, packing, url_filter
+from rasterloom.llm import decontaminate, fingerprint, html_text, language, packing, pii, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,16 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 
+@_query
+def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(_pages(spark, sf).select("page_id", "url", "html")).drop("html")
+
+
+@_query
+def op2_sampled_splitters(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shards(_documents(spark, sf))
+
+
 @_query
 def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -42,6 +52,29 @@ def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text", "lang")
+    labelled = language.identify(docs.select("doc_id", "text"), language.fit(docs)).drop("text")
+    return labelled.withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
+@_query
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pii.all_spans(_documents(spark, sf).select("doc_id", "text"), keep_text=False)
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(pii.spelled(F.col("base")).cast("binary"), 256)
+    return rows.select("doc_id", *map(number, pii.KINDS), digest.alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
+@_query
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.edited_neighbours(_documents(spark, sf))
+
+
 @_query
 def op9_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     pages = _pages(spark, sf).select("page_id", "url")
