@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import decontaminate, fingerprint, html_text, language, packing, pii, sharding, url_filter
+from rasterloom.llm import decontaminate, fingerprint, html_text, language, near_dedup, packing, pii, sharding, substring_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,17 @@ def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def op4_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_documents(spark, sf), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@_query
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.digest(_documents(spark, sf))
+
+
 @_query
 def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf).select("doc_id", "text", "lang")

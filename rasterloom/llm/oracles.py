@@ -55,3 +55,46 @@ WITH rest AS (
 )
 SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM best
 """
+
+SQL["op4_minhash_near_dedup"] = r"""
+WITH RECURSIVE doc AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingle AS MATERIALIZED (
+    SELECT DISTINCT r, md5(array_to_string(w[i : i + 4], ' ')) AS s
+    FROM doc, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), size AS MATERIALIZED (
+    SELECT r, count(*) AS n FROM shingle GROUP BY r
+), common AS MATERIALIZED (
+    SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingle a JOIN shingle b USING (s) WHERE a.r <> b.r GROUP BY ALL
+), link AS MATERIALIZED (
+    SELECT x, y FROM common JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach(x, y) AS (
+    SELECT r, r FROM doc UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y
+), low AS (
+    SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN doc ON doc.r = reach.y GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM doc JOIN low USING (r) LEFT JOIN size USING (r)
+"""
+
+SQL["op5_substring_dedup"] = r"""
+WITH doc AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS MATERIALIZED (
+    SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM doc, unnest(range(1, len(w) - 48)) AS t(i)
+), first AS (
+    SELECT g, min(doc_id) AS m FROM win GROUP BY g
+), gone AS (
+    SELECT DISTINCT r, p FROM (SELECT r, i FROM win JOIN first USING (g) WHERE doc_id > m), unnest(range(i, i + 50)) AS t(p)
+), word AS (
+    SELECT r, p, w[p] AS word FROM doc, unnest(range(1, len(w) + 1)) AS t(p)
+), kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (r, p) GROUP BY r
+), lost AS (
+    SELECT r, count(*) AS n FROM gone GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
+"""
