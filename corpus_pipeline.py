@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.llm import decontaminate, language, near_dedup, packing, pii
+from rasterloom.llm.arrow import aside, back
 from rasterloom.session import stored
 
 LEAST_SCORE = 0.5
@@ -18,10 +19,9 @@ LEAST_SCORE = 0.5
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learned language: those without letters, or as likely in another language, go."""
     model = language.fit(docs)
-    own = {c: f"_llm_own_{i}" for i, c in enumerate(docs.columns)}  # the operator replaces columns of its names
-    labelled = language.identify(docs.withColumnsRenamed(own), model, text=own["text"])
-    kept = labelled.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.col(name).alias(c) for c, name in own.items()))
+    given, own = aside(docs)  # the operator replaces columns of its names
+    labelled = language.identify(given, model, text=own["text"])
+    return back(labelled.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), own)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

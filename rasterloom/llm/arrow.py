@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20
@@ -20,6 +20,17 @@ def without(df: DataFrame, schema: str | list[str]) -> DataFrame:
     return df.drop(*[name for name in df.columns if name.lower() in taken])
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns under names that no operator uses, and those names by the old ones."""
+    own = {name: f"_llm_own_{i}" for i, name in enumerate(df.columns)}
+    return df.toDF(*own.values()), own
+
+
+def back(df: DataFrame, own: dict[str, str]) -> DataFrame:
+    """The columns that were set aside, under their old names, and no others."""
+    return df.select(*(F.col(name).alias(old) for old, name in own.items()))
+
+
 def ddl(df: DataFrame, added: str) -> StructType:
     """Schema of ``df`` followed by the added columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.arrow import ddl, extended, slices, utf8, without
+from rasterloom.llm.arrow import aside, back, ddl, extended, slices, utf8, without
 from rasterloom.llm.words import Words, alphanumeric, covered, inside, per_text
 from rasterloom.session import stored
 
@@ -160,26 +160,27 @@ def contamination(
     return out
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
-    marked = contamination(docs, benchmark, **options)
-    return marked.where(F.col("n_hit") == 0).select(*without(docs, ADDED).columns)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without any benchmark window, with their own columns, whatever their names."""
+    given, own = aside(docs)
+    marked = contamination(given, benchmark, text=own[text], **options)
+    return back(marked.where(F.col("n_hit") == 0), own)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """All documents; the words hit are cut out of the text, from the first byte of a run to its last."""
-    marked = contamination(docs, benchmark, text=text, **options)
-    names = without(docs, ADDED).columns
+    given, own = aside(docs)
+    marked = contamination(given, benchmark, text=own[text], **options)
+    names, body = list(own.values()), own[text]
     schema = marked.select(*names).schema
-    place = names.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(alphanumeric(), lower=True)
         for batch in batches:
-            for part in slices(batch, text):
-                data, offsets = utf8(part.column(text))
+            for part in slices(batch, body):
+                data, offsets = utf8(part.column(body))
                 starts, ends, first = words.split(data, offsets)
-                values = part.column(text).to_pylist()
+                values = part.column(body).to_pylist()
                 for row, spans in enumerate(part.column("hits").to_pylist()):
                     if spans:
                         left, at = [], offsets[row]
@@ -187,6 +188,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
                             left.append(data[at : starts[first[row] + span["start"]]].tobytes())
                             at = ends[first[row] + span["stop"] - 1]
                         values[row] = b"".join([*left, data[at : offsets[row + 1]].tobytes()]).decode()
-                yield part.select(names).set_column(place, text, pa.array(values, part.column(text).type))
+                rows = part.select(names)
+                yield rows.set_column(names.index(body), body, pa.array(values, part.column(body).type))
 
-    return marked.mapInArrow(cut, schema)
+    return back(marked.mapInArrow(cut, schema), own)

@@ -53,6 +53,7 @@ NAMES = frozenset(
     " breadcrumbs pagination pager toolbar topbar header masthead footer copyright social share sharing sharebar related recommended"
     " recommendations trending comment comments commentlist reply replies respond disqus discussion outbrain taboola skip".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist respond disqus replies".split())
 ARTICLE_NAMES = frozenset("article entry post content title story".split())
 
 _NEXT = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
@@ -176,7 +177,8 @@ def _kept(tree: Tree) -> list[bool]:
         named = words & NAMES
         if named == {"header"} and (inside[i] or words & ARTICLE_NAMES):
             named = set()
-        if named and not article[i]:
+        # an element around the article is not cut off for its name, but comments may be articles themselves
+        if named and (not article[i] or inside[i] or named & COMMENT_NAMES and not words & ARTICLE_NAMES):
             kept[i] = False
     return kept
 

@@ -103,7 +103,6 @@ def fit(
 
     Which rows is decided by a hash of id and text. Entries seen once are left out unless there is room.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     known = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull())
     sizes = known.groupBy("lang").count()
