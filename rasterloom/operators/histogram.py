@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.operators.pixels import split_channels
-from rasterloom.schema import LEVELS, is_colour
+from rasterloom.schema import LEVELS, checked_level, is_colour
 
 SERIES = ["image_id", "band"]
 
@@ -32,7 +32,12 @@ def _level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> Da
         values = split_channels(pixels, bands or ("red", "green", "blue"))
     else:
         values = pixels.select("image_id", "v")
-    return values.groupBy(*_series(values), "v").agg(F.count(F.lit(1)).alias("n"))
+    return _checked(values.groupBy(*_series(values), "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _checked(counts: DataFrame) -> DataFrame:
+    """The job fails on a level outside 0..255; looked at once per level, not per pixel."""
+    return counts.withColumn("v", checked_level(F.col("v")))
 
 
 def level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
@@ -52,7 +57,7 @@ def byte_counts(pixels: DataFrame) -> DataFrame:
         values = pixels.select("image_id", F.explode(F.array(*channels)).alias("v")).where("v IS NOT NULL")
     else:
         values = pixels.select("image_id", "v")
-    return values.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    return _checked(values.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n")))
 
 
 _SHIFT = 50  # a count in the low bits, its level above them

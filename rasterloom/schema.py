@@ -23,7 +23,7 @@ def value_columns(pixels: DataFrame) -> list[str]:
 
 def checked_level(value: Column) -> Column:
     """The value itself; the job fails on one that does not fit a byte."""
-    message = F.concat(F.lit("pixel value outside 0..255: "), value.cast("string"))
+    message = F.concat(F.lit("pixel value outside 0..255: "), F.coalesce(value.cast("string"), F.lit("null")))
     return F.when(value.between(0, 255), value.cast("int")).otherwise(F.raise_error(message))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cpus: int = 8, app: str = "rasterloom", **conf: str) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -38,9 +40,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: dict[str, list[str]] = defaultdict(list)  # folders by application
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing has written to yet; :func:`release` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[spark.sparkContext.applicationId].append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that :func:`stored` and :func:`new_folder` made in this application.
+
+    DataFrames that read them can no longer be computed. Checkpoints are removed by Spark itself when they are no
+    longer referenced, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as it is in local sessions.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

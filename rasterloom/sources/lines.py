@@ -4,41 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rasterloom.operators.lookup import lookup_join
-from rasterloom.session import new_folder
 from rasterloom.sources.listing import listed_files, plain_path
 
+# columns that put the lines of a text in order: file, split of the file, place in the split
+PLACE = ("path", "block", "at")
 
-def numbered_lines(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """(path, line, value) plus the partition columns of the folder; blank lines take no number.
 
-    Files are split across tasks. The lines are first written to the shared folder with their split and
-    their place in it; a split's first line number is then the sum of the splits before it, so lines are
-    never sorted or shuffled. ``key`` names a partition column whose files, in name order, form one text.
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, at, value) plus the partition columns of the folder; blank lines are left out.
+
+    Files are split across tasks; ``at`` grows along a split.
     """
     raw = spark.read.text(path)
     extra = [c for c in raw.columns if c != "value"]
-    kept = raw.where(F.length("value") > 0).select(
+    return raw.where(F.length("value") > 0).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
         *extra,
         "value",
-        F.monotonically_increasing_id().alias("at"),
     )
-    folder = new_folder(spark, "lines")
-    kept.write.parquet(folder)
-    lines = spark.read.parquet(folder)
 
+
+def numbered_lines(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """(path, line, value) plus the partition columns of the folder; blank lines take no number.
+
+    A split's first line number is the sum of the splits before it, so lines are never sorted, shuffled or copied; the
+    text is read twice, once to count. ``key`` names a partition column whose files, in name order, form one text.
+    The counts are broadcast: they have a row per split, as the driver's own plan of the scan has.
+    """
+    lines = placed_lines(spark, path)
+    extra = [c for c in lines.columns if c not in (*PLACE, "value")]
     text = [key] if key else ["path"]
     splits = lines.groupBy(*dict.fromkeys([*text, "path", "block"])).agg(
         F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n_lines")
     )
     before = Window.partitionBy(*text).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
-        "path", "block", "first_at", "n_lines", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("start")
-    )
-    placed = lookup_join(lines, starts, ["path", "block"], "inner", row_bytes=256, weight="n_lines")
-    return placed.select("path", *extra, (F.col("at") - F.col("first_at") + F.col("start")).alias("line"), "value")
+    starts = splits.select("path", "block", "first_at", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("start"))
+    numbered = lines.join(F.broadcast(starts), ["path", "block"])
+    return numbered.select("path", *extra, (F.col("at") - F.col("first_at") + F.col("start")).alias("line"), "value")
 
 
 def files_without_lines(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:

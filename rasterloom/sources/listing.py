@@ -1,4 +1,4 @@
-"""Files of a folder, those without any byte included (a scan leaves them out)."""
+"""Files of a folder, those without any byte included (a scan leaves them out), and numbers for them."""
 
 from __future__ import annotations
 
@@ -16,6 +16,14 @@ def plain_path(uri: Column) -> Column:
 
 
 def listed_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path) of every file; the driver holds this listing for any scan of the folder."""
-    files = spark.read.format("binaryFile").load(path).inputFiles()
-    return spark.createDataFrame([(name,) for name in files], "path STRING").select(plain_path(F.col("path")).alias("path"))
+    """(path) of every file. The list is the one that Spark's driver makes for any scan; Python never holds it."""
+    found = spark.read.format("binaryFile").load(path)._jdf.inputFiles()  # stays in the JVM
+    return spark.range(1).select(F.explode(F.lit(found)).alias("uri")).select(plain_path(F.col("uri")).alias("path"))
+
+
+def path_number(path: Column, paths: DataFrame) -> Column:
+    """A 64-bit number of a path; the job fails if two of ``paths`` (path) have the same one."""
+    seen = paths.select("path").distinct().groupBy(F.xxhash64("path").alias("n")).agg(F.min("path").alias("a"), F.max("path").alias("b"))
+    clash = seen.where("a <> b").agg(F.min(F.concat("a", F.lit(" and "), "b"))).scalar()
+    refused = F.raise_error(F.concat(F.lit("files with the same number: "), clash))
+    return F.when(clash.isNotNull(), refused.cast("long")).otherwise(F.xxhash64(path))

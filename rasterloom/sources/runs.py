@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.pixel import round_half_away
 from rasterloom.functions.text import strip
-from rasterloom.sources.lines import numbered_lines
+from rasterloom.sources.lines import PLACE, placed_lines
 
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:
@@ -15,15 +15,15 @@ def key_values(spark: SparkSession, path: str) -> DataFrame:
     A line is split at its first ``=``; lines without one are skipped; a repeated key keeps its last line.
     """
     foldered = "run" in spark.read.text(path).columns
-    lines = numbered_lines(spark, path, key="run" if foldered else None)
+    lines = placed_lines(spark, path)
     run = F.col("run").cast("string") if foldered else F.col("path")
     pairs = lines.where(F.col("value").contains("=")).select(
         run.alias("run"),
-        "line",
+        F.struct(*PLACE).alias("place"),
         strip(F.substring_index("value", "=", 1)).alias("key"),
         strip(F.expr("substring(value, instr(value, '=') + 1)")).alias("value"),
     )
-    return pairs.groupBy("run", "key").agg(F.max_by("value", "line").alias("value"))
+    return pairs.groupBy("run", "key").agg(F.max_by("value", "place").alias("value"))
 
 
 def read_run_metadata(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rasterloom.operators import histogram
-from rasterloom.session import new_folder
+from rasterloom.session import new_folder, release
 from rasterloom.sources import gazetteer, images, lines, matrices, runs, sinks
 
 RNG = np.random.default_rng(21)
@@ -115,15 +115,15 @@ def test_gazetteer(spark, tmp_path):
     }
 
 
-def png(image):
+def png(image, depth=8):
     """Minimal PNG writer: 2-D gray, or 3-D RGB / RGBA."""
-    image = np.asarray(image, np.uint8)
+    image = np.asarray(image, ">u2" if depth == 16 else np.uint8)
     kind = {1: 0, 3: 2, 4: 6}[1 if image.ndim == 2 else image.shape[2]]
 
     def chunk(name, body):
         return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
-    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, kind, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], depth, kind, 0, 0, 0)
     rows = zlib.compress(b"".join(b"\0" + row.tobytes() for row in image))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", rows) + chunk(b"IEND", b"")
 
@@ -148,6 +148,45 @@ def test_images(spark, tmp_path, raster):
     assert sizes == {0: (12, 7), 1: (300, 90), 2: (5, 6)}
 
 
+def test_deep_images_are_refused(spark, tmp_path):
+    (tmp_path / "0.png").write_bytes(png(RNG.integers(0, 256, (4, 4))))
+    assert images.gray_pixels(images.load_images(spark, str(tmp_path))).count() == 16
+    (tmp_path / "1.png").write_bytes(png([[0, 256, 511], [1000, 65535, 7]], depth=16))
+    with pytest.raises(PySparkException, match="more than 8 bits per sample.*1.png"):
+        images.gray_pixels(images.load_images(spark, str(tmp_path))).collect()
+
+
+def test_declared_bits():
+    assert images.sample_bits(png([[1]])) == 8 and images.sample_bits(png([[1]], depth=16)) == 16
+    tiff = b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHIHH", 258, 3, 1, 16, 0)
+    assert images.sample_bits(tiff) == 16
+    wide = b"MM\0*" + struct.pack(">IH", 8, 1) + struct.pack(">HHII", 258, 3, 3, 26) + bytes(4) + struct.pack(">HHH", 8, 8, 12)
+    assert images.sample_bits(wide) == 12
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xc1\0\x0b\x0c" + bytes(20)
+    assert images.sample_bits(jpeg) == 12
+    assert images.sample_bits(b"") is None and images.sample_bits(b"GIF89a") is None
+
+
+def test_files_with_one_number_are_refused(spark, monkeypatch, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2\n")
+    (tmp_path / "b.csv").write_text("3,4\n")
+    assert matrices.read_matrices(spark, str(tmp_path)).select("image_id").distinct().count() == 2
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    with pytest.raises(PySparkException, match="files with the same number.*a.csv and .*b.csv"):
+        matrices.read_matrices(spark, str(tmp_path)).collect()
+
+
+def test_made_folders_are_removed(spark, tmp_path):
+    path = new_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    kept = tmp_path / "kept"
+    kept.mkdir()
+    release(spark)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(path)
+    assert kept.exists()
+
+
 def test_saved_tables_come_back(spark, gray):
     counts = histogram.level_counts(gray({i: RNG.integers(0, 256, (4, 4)) for i in range(5)}))
     folder = new_folder(spark, "saved")
