@@ -11,16 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rasterloom import fixed_values as fixed
+from rasterloom.functions import prefix_codes
+from rasterloom.functions.prefix_codes import Book
 from rasterloom.operators.histogram import byte_counts, dense_counts
-from rasterloom.operators.lookup import lookup_join
-from rasterloom.schema import LEVELS, image_shapes, is_colour
+from rasterloom.operators.lookup import Settled, lookup_join
+from rasterloom.schema import LEVELS, PIXELS, PIXELS_BGR, image_shapes, is_colour
 
 SEGMENT = 4096
-# 256 codes of a few characters each
-BOOK_ROW_BYTES = 8_000
 
 
 def _codes(counts: np.ndarray) -> list[str | None]:
@@ -78,142 +79,172 @@ def sizes(books: DataFrame, colour: bool) -> DataFrame:
     ).withColumn("compressed_bytes", F.lit(header) + F.ceil(F.col("payload_bits") / 8))
 
 
-def _byte_stream(pixels: DataFrame) -> tuple[DataFrame, int]:
-    """(image_id, y, x, c, v): one row per byte, channels in b, g, r, a order."""
-    if not is_colour(pixels):
-        return pixels.select("image_id", "y", "x", F.lit(0).alias("c"), "v"), 1
-    channels = [c for c in ("b", "g", "r", "a") if c in pixels.columns]
-    stream = pixels.select("image_id", "y", "x", F.posexplode(F.array(*channels)).alias("c", "v"))
-    return stream, len(channels)
+def encode(pixels: DataFrame, books: DataFrame | Settled, images: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
+    """(image_id, seg, height, width, channels, segment, n_values, payload_bits, marks, payload) (H4).
 
-
-def encode(pixels: DataFrame, books: DataFrame, images: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
-    """(image_id, seg, width, channels, segment, n_values, payload_bits, payload) (H4).
-
-    A segment is ``segment`` pixels in row order. Bits are packed most significant first and each segment
-    is padded with zeros to a whole byte. Pixels are shuffled once, as one integer per byte; the code books
-    meet whole segments.
+    A segment is ``segment`` pixels in row order, channels b, g, r[, a]. Bits are packed most significant first and
+    each segment is padded with zeros to a whole byte; ``marks`` are the bits at which every 64th value begins. A
+    colour image has three channels if alpha is null in all its pixels, and four if in none. The job fails on an
+    image with alpha in some pixels only, and on missing or repeated pixels. Pixels are shuffled once, as one
+    integer each; code books and sizes meet whole segments.
     """
-    stream, channels = _byte_stream(pixels)
-    size = segment * channels
-    shapes = image_shapes(pixels) if images is None else images
-    shaped = lookup_join(stream, shapes.select("image_id", "width"), ["image_id"], "inner", row_bytes=32)
-    at = (F.col("y").cast("long") * F.col("width") + F.col("x")) * channels + F.col("c")
+    colour = is_colour(pixels)
+    shapes = (image_shapes(pixels) if images is None else images).select("image_id", "height", "width")
+    if colour:
+        alpha = F.coalesce("a", F.lit(0)) if "a" in pixels.columns else F.lit(0)
+        value = ((F.col("b") * LEVELS + F.col("g")) * LEVELS + F.col("r")).cast("long") * LEVELS + alpha
+    else:
+        value = F.col("v").cast("long")
+    shaped = lookup_join(pixels.withColumn("_value", value).select("image_id", "y", "x", "_value"), shapes, ["image_id"], "inner")
+    at = F.col("y").cast("long") * F.col("width") + F.col("x")
+    inside = F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
+    outside = F.raise_error(F.concat(F.lit("pixel outside its image "), F.col("image_id").cast("string")))
     packed = shaped.select(
         "image_id",
+        "height",
         "width",
-        F.floor(at / size).alias("seg"),
+        F.when(inside, F.floor(at / segment)).otherwise(outside.cast("long")).alias("seg"),
         # place in the segment and value, in one sortable integer
-        ((at % size) * LEVELS + F.col("v")).cast("int").alias("item"),
+        ((at % segment) * (1 << 32) + F.col("_value")).alias("item"),
     )
     segments = packed.groupBy("image_id", "seg").agg(
-        F.first("width").alias("width"), F.sort_array(F.collect_list("item")).alias("items")
-    )
-    booked = lookup_join(
-        segments, books.select("image_id", "codes"), ["image_id"], "inner", row_bytes=BOOK_ROW_BYTES
+        F.first("height").alias("height"), F.first("width").alias("width"), F.sort_array(F.collect_list("item")).alias("items")
     )
-    codes = F.transform("items", lambda item: F.get("codes", item.bitwiseAND(F.lit(LEVELS - 1))))
-    spelled = booked.withColumn("bits", F.array_join(codes, ""))
-    return spelled.select(
-        "image_id",
-        "seg",
-        "width",
-        F.lit(channels).alias("channels"),
-        F.lit(segment).alias("segment"),
-        F.size("items").alias("n_values"),
-        F.length("bits").alias("payload_bits"),
-        _pack(F.col("bits")).alias("payload"),
-    )
-
-
-def _pack(bits: Column) -> Column:
-    """'0101...' to bytes, the last one padded with zeros."""
-    whole = F.rpad(bits, (F.ceil(F.length(bits) / 8) * 8).cast("int"), "0")
-    words = F.regexp_extract_all(whole, F.lit(".{1,32}"), F.lit(0))
-    return F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.conv(w, 2, 16), (F.length(w) / 4).cast("int"), F.lit("0"))), ""))
-
+    books = _with_total(books)
+    booked = lookup_join(segments, books, ["image_id"], "inner")
+    names = ["image_id", "seg", "height", "width", "total", "codes", "items"]
+    return booked.select(*names).mapInArrow(lambda it: _encoded(it, segment, colour), SEGMENTS)
 
-def _unpack(payload: Column, bits: Column) -> Column:
-    """Bytes to '0101...', without the padding."""
-    words = F.regexp_extract_all(F.hex(payload), F.lit(".{1,8}"), F.lit(0))
-    digits = F.transform(words, lambda w: F.lpad(F.conv(w, 16, 2), (F.length(w) * 4).cast("int"), F.lit("0")))
-    return F.substr(F.array_join(digits, ""), F.lit(1), bits)
 
-
-def _read_codes(bits: str, values: dict[str, int], lengths: list[int]) -> tuple[list[int], str | None]:
-    """Values spelled by a bit string, and what is wrong with it."""
-    out: list[int] = []
-    at, end = 0, len(bits)
-    while at < end:
-        for size in lengths:
-            value = values.get(bits[at : at + size])
-            if value is not None and at + size <= end:
-                out.append(value)
-                at += size
-                break
-        else:
-            return out, "corrupt payload"
-    return out, None
-
-
-@F.pandas_udf(
-    T.StructType([T.StructField("values", T.ArrayType(T.IntegerType())), T.StructField("problem", T.StringType())])
+SEGMENTS = (
+    "image_id BIGINT, seg BIGINT, height INT, width INT, channels INT, segment INT, n_values INT, payload_bits INT,"
+    " marks ARRAY<INT>, payload BINARY"
 )
-def _decode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for bits, books, expected in batches:
-        values, problems = [], []
-        for text, codes, n in zip(bits, books, expected):
-            by_code = {code: v for v, code in enumerate(codes) if code is not None}
-            got, problem = _read_codes(text, by_code, sorted({len(code) for code in by_code}))
-            if problem is None and len(got) != n:
-                problem = "too many values" if len(got) > n else "too few values"
-            values.append(got if problem is None else None)
-            problems.append(problem)
-        yield pd.DataFrame({"values": values, "problem": problems})
-
-
-def _decoded_segments(segments: DataFrame, books: DataFrame) -> DataFrame:
-    coded = lookup_join(segments, books.select("image_id", "codes"), ["image_id"], "left", row_bytes=BOOK_ROW_BYTES)
-    impossible = (
-        F.when(F.col("codes").isNull(), "no code book")
-        .when((F.col("width") <= 0) | (F.col("channels") <= 0), "zero dimensions")
-        .when(F.octet_length("payload") != F.ceil(F.col("payload_bits") / 8), "payload length differs")
-    )
-    bits = F.when(impossible.isNull(), _unpack(F.col("payload"), F.col("payload_bits"))).otherwise("")
-    codes = F.coalesce("codes", F.array().cast("array<string>"))
-    return coded.withColumn("decoded", _decode(bits, codes, F.col("n_values"))).withColumn(
-        "problem", F.coalesce(impossible, F.col("decoded.problem"))
-    )
 
 
-def decode(segments: DataFrame, books: DataFrame, channels: int = 1) -> DataFrame:
-    """Pixels of coded segments (H5): gray for one channel, b, g, r[, a] for more.
+def _with_total(books: DataFrame | Settled) -> DataFrame | Settled:
+    if isinstance(books, Settled):
+        return books.select("image_id", "total", "codes")
+    return books.select("image_id", "total", "codes")
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], segment: int, colour: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, book_of = [], {}
+        for row in range(batch.num_rows):
+            image, seg, height, width, total = (batch.column(c)[row].as_py() for c in ("image_id", "seg", "height", "width", "total"))
+            if image not in book_of:
+                book_of[image] = Book(batch.column("codes")[row].as_py())
+            items = batch.column("items")[row].values.to_numpy()
+            cells = height * width
+            channels = total // cells if cells else 0
+            if total != channels * cells or channels not in ((3, 4) if colour else (1,)):
+                raise ValueError(f"image {image}: {total} values do not fill {height} x {width} pixels")
+            places = items >> 32
+            if not np.array_equal(places, np.arange(min(segment, cells - seg * segment))):
+                raise ValueError(f"image {image}: missing or repeated pixels in segment {seg}")
+            values = (items & 0xFFFFFFFF).astype(">u4").view(np.uint8).reshape(-1, 4)
+            values = values[:, 3] if channels == 1 else values[:, :channels].ravel()
+            payload, bits, marks = book_of[image].encode(values)
+            rows.append((image, seg, height, width, channels, segment, len(values), bits, marks, payload))
+        columns = list(zip(*rows)) or [[]] * 10
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.int32()), pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)],
+            names=["image_id", "seg", "height", "width", "channels", "segment", "n_values", "payload_bits", "marks", "payload"],
+        )
+
+
+_READ = ["image_id", "seg", "width", "channels", "segment", "n_values", "payload_bits", "marks", "payload", "codes"]
+_TABLE_ENTRIES = 1 << 22  # entries of decoding tables that are held at once
+
+
+def _booked(segments: DataFrame, books: DataFrame | Settled) -> DataFrame:
+    return lookup_join(segments, _with_total(books), ["image_id"], "left").select(*_READ)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[str | None], np.ndarray, np.ndarray]]:
+    """Runs of segments with their faults, all their values, and where those of each segment begin."""
+    for batch in batches:
+        rows: list[dict] = []
+        book_of: dict[int, Book] = {}
+
+        def flush() -> tuple[list[dict], list[str | None], np.ndarray, np.ndarray]:
+            faults = [_impossible(r) for r in rows]
+            read = [r if f is None else None for r, f in zip(rows, faults)]
+            empty = Book([None] * LEVELS)
+            values, begins, sound = prefix_codes.decode(
+                [r["payload"] if r else b"" for r in read],
+                [r["payload_bits"] if r else 0 for r in read],
+                [r["marks"] if r else [] for r in read],
+                [r["n_values"] if r else 0 for r in read],
+                [book_of[r["image_id"]] if r else empty for r in read],
+            )
+            for i, r in enumerate(read):
+                if r and not sound[i]:
+                    faults[i] = prefix_codes.fault(r["payload"], r["payload_bits"], r["marks"], r["n_values"], book_of[r["image_id"]])
+            return rows, faults, values, begins
+
+        held = 0
+        for row in batch.to_pylist():
+            if row["codes"] is not None and row["image_id"] not in book_of:
+                book_of[row["image_id"]] = Book(row["codes"])
+                held += 1 << book_of[row["image_id"]].peek
+            row["codes"] = row["codes"] is not None
+            rows.append(row)
+            if held > _TABLE_ENTRIES or len(rows) == 1024:
+                yield flush()
+                rows, book_of, held = [], {}, 0
+        if rows:
+            yield flush()
+
+
+def _impossible(row: dict) -> str | None:
+    if not row["codes"]:
+        return "no code book"
+    if row["width"] <= 0 or row["channels"] <= 0:
+        return "zero dimensions"
+    if len(row["payload"]) != -(-row["payload_bits"] // 8):
+        return "payload length differs"
+    return None
+
+
+def decode(segments: DataFrame, books: DataFrame | Settled, colour: bool = False) -> DataFrame:
+    """Pixels of coded segments (H5): gray, or b, g, r, a with a null alpha for images of three channels.
 
     A damaged segment fails the job; :func:`damaged_segments` lists them instead.
     """
-    decoded = _decoded_segments(segments.where(F.col("channels") == channels), books)
-    where = F.concat_ws(" ", F.lit("image"), F.col("image_id"), F.lit("segment"), F.col("seg"))
-    failure = F.raise_error(F.concat_ws(": ", where, F.col("problem")))
-    values = F.when(F.col("problem").isNull(), F.col("decoded.values")).otherwise(failure)
-    names = ["v"] if channels == 1 else ["b", "g", "r", "a"][:channels]
-
-    def cell(i: Column) -> Column:
-        return F.struct(*[F.get(values, i * channels + c).alias(name) for c, name in enumerate(names)])
-
-    cells = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / channels).cast("int") - 1), cell)
-    rows = decoded.select("image_id", "seg", "segment", "width", F.posexplode_outer(cells).alias("at", "cell"))
-    at = F.col("seg") * F.col("segment") + F.col("at")
-    return rows.select(
-        "image_id",
-        F.floor(at / F.col("width")).cast("int").alias("y"),
-        (at % F.col("width")).cast("int").alias("x"),
-        "cell.*",
-    )
+    names = ["b", "g", "r", "a"] if colour else ["v"]
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, faults, values, begins in _read(batches):
+            for i, row in enumerate(rows):
+                if faults[i]:
+                    raise ValueError(f"image {row['image_id']} segment {row['seg']}: {faults[i]}")
+                bands = values[begins[i] : begins[i + 1]].reshape(-1, row["channels"]).astype(np.int32)
+                at = row["seg"] * row["segment"] + np.arange(len(bands))
+                y, x = np.divmod(at, row["width"])
+                columns = [np.full(len(bands), row["image_id"]), y.astype(np.int32), x.astype(np.int32), *bands.T]
+                arrays = [pa.array(c) for c in columns]
+                if len(arrays) < 3 + len(names):
+                    arrays.append(pa.nulls(len(bands), pa.int32()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["image_id", "y", "x", *names])
+
+    wanted = segments.where(F.col("channels") >= 3 if colour else F.col("channels") <= 1)
+    return _booked(wanted, books).mapInArrow(pixels, PIXELS_BGR if colour else PIXELS)
+
+
+def damaged_segments(segments: DataFrame, books: DataFrame | Settled) -> DataFrame:
+    """(image_id, seg, problem) of the segments that do not decode."""
 
+    def problems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, faults, _, _ in _read(batches):
+            bad = [(r["image_id"], r["seg"], f) for r, f in zip(rows, faults) if f]
+            columns = list(zip(*bad)) or [[]] * 3
+            kinds = [pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["image_id", "seg", "problem"])
 
-def damaged_segments(segments: DataFrame, books: DataFrame) -> DataFrame:
-    """(image_id, seg, problem) of the segments that do not decode."""
-    return _decoded_segments(segments, books).where("problem IS NOT NULL").select("image_id", "seg", "problem")
+    return _booked(segments, books).mapInArrow(problems, "image_id BIGINT, seg BIGINT, problem STRING")
 
 
 def differing_pixels(pixels: DataFrame, decoded: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rasterloom import schema
+from rasterloom.functions import prefix_codes
 from rasterloom.operators import huffman
+from rasterloom.operators.lookup import settled
 from rasterloom.sources import containers
 
 RNG = np.random.default_rng(9)
@@ -74,8 +76,56 @@ def test_colour_round_trip(spark, channels):
     pixels = spark.createDataFrame(rows, schema.PIXELS_BGR)
     pixels = pixels if channels == 4 else pixels.drop("a")
     books = huffman.code_books(pixels)
-    back = huffman.decode(huffman.encode(pixels, books, segment=10), books, channels)
+    back = huffman.decode(huffman.encode(pixels, books, segment=10), books, colour=True)
     assert huffman.differing_pixels(pixels, back).count() == 0
+    assert channels == 4 or back.where("a IS NOT NULL").count() == 0
+
+
+def test_a_fleet_of_images_with_and_without_alpha(spark):
+    rows = [(i, y, x, i, y, x, 7 * x if i % 2 else None) for i in range(6) for y in range(5) for x in range(7)]
+    pixels = spark.createDataFrame(rows, schema.PIXELS_BGR)
+    books = settled(huffman.code_books(pixels))
+    coded = huffman.encode(pixels, books, segment=16)
+    assert {(r.image_id, r.channels) for r in coded.collect()} == {(i, 4 if i % 2 else 3) for i in range(6)}
+    back = huffman.decode(coded, books, colour=True)
+    assert back.count() == 6 * 35 and huffman.differing_pixels(pixels, back).count() == 0
+
+
+def test_pixels_that_do_not_fill_an_image_fail(spark, gray):
+    flat = gray({0: RNG.integers(0, 256, (6, 7))})
+    rows = [(0, y, x, 1, 2, 3, 4 if x else None) for y in range(4) for x in range(5)]
+    colour = spark.createDataFrame(rows, schema.PIXELS_BGR)
+    cases = [
+        (flat.where("NOT (x = 2 AND y = 3)"), "do not fill"),
+        (flat.unionByName(flat.where("x = 1 AND y = 1")), "do not fill"),
+        (flat.where("NOT (x = 2 AND y = 3)").unionByName(flat.where("x = 1 AND y = 1")), "missing or repeated"),
+        (colour, "do not fill"),
+    ]
+    for pixels, message in cases:
+        with pytest.raises(PySparkException, match=message):
+            huffman.encode(pixels, huffman.code_books(pixels)).collect()
+
+
+def test_levels_outside_a_byte_are_refused(spark):
+    for level in (300, -1):
+        pixels = spark.createDataFrame([(0, 0, 0, level)], "image_id BIGINT, y INT, x INT, v INT")
+        with pytest.raises(PySparkException, match="outside 0..255"):
+            huffman.code_books(pixels).collect()
+
+
+def test_codes_longer_than_the_lookup():
+    """Counts that double give one code per length, up to 40 bits."""
+    codes = ["1" * i + "0" for i in range(40)] + ["1" * 40] + [None] * 215
+    book = prefix_codes.Book(codes)
+    rng = np.random.default_rng(4)
+    parts = [np.minimum(rng.geometric(p, n), 41).astype(np.uint8) - 1 for p, n in ((0.5, 1000), (0.05, 333), (0.9, 1), (0.02, 64), (0.3, 0))]
+    coded = [book.encode(p) for p in parts]
+    values, begins, sound = prefix_codes.decode(*map(list, zip(*[(c[0], c[1], c[2], len(p), book) for c, p in zip(coded, parts)])))
+    assert sound.all() and begins.tolist() == [0, 1000, 1333, 1334, 1398, 1398]
+    assert (values == np.concatenate(parts)).all()
+    assert all(prefix_codes.fault(c[0], c[1], c[2], len(p), book) is None for c, p in zip(coded, parts))
+    with pytest.raises(ValueError):
+        book.encode(np.array([200], np.uint8))
 
 
 def test_damage_is_found(pixels, books):
@@ -88,6 +138,7 @@ def test_damage_is_found(pixels, books):
         "zero dimensions": coded.withColumn("width", F.lit(0)),
         "payload length differs": coded.withColumn("payload", F.unhex(F.lit("00"))),
         "no code book": coded.withColumn("image_id", F.lit(99).cast("long")),
+        "marks differ": coded.withColumn("marks", F.array(F.lit(0), F.lit(1))),
     }
     for problem, broken in damages.items():
         assert [r.problem for r in huffman.damaged_segments(broken, books).collect()] == [problem]
