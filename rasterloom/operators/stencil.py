@@ -1,164 +1,220 @@
 """Neighbourhood operators on dense rasters.
 
-Pixels are cut into square tiles. A pixel near a tile edge is also sent to the neighbouring tile, and a
-pixel near an image edge is repeated where the reflected border wants it. One shuffle by tile then serves
-the horizontal and the vertical pass, and no task ever holds more than one tile row at a time, however
-large the image is.
+Pixels are packed into square tiles, one shuffle of one integer per pixel. A tile then sends its packed bytes to
+every tile that they lie near, a second shuffle of about one byte per channel. A task computes one tile at a time
+from the bytes around it, with running sums, so neither the window nor the image has a bound; a task holds about
+(tile + window)^2 bytes per channel. Borders mirror without repeating the edge pixel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from rasterloom import fixed_values as fixed
-from rasterloom.operators.lookup import lookup_join
-from rasterloom.schema import POSITION, image_shapes, is_colour, value_columns
-from rasterloom.session import settle
+from rasterloom.schema import LEVELS, PIXELS, PIXELS_BGR, is_colour
 
 TILE = 256
 _TILE_KEYS = ["image_id", "ty", "tx"]
+_PIECE = "image_id BIGINT, ty INT, tx INT, top INT, left INT, rows INT, cols INT, own BOOLEAN, planes BINARY"
+_STRIP = 64  # rows whose running sums are made at once
 
 
-def reflected_positions(index: Column, length: Column, radius: int) -> Column:
-    """All positions in -radius .. length-1+radius that show pixel ``index``.
+def mirrored(first: int, stop: int, length: int | None) -> np.ndarray:
+    """The pixel shown at each position first..stop-1 of an axis.
 
-    The border mirrors without repeating the edge pixel, with period 2 * (length - 1); a single pixel is
-    its own border.
+    Positions beyond the border mirror with period 2 * (length - 1); a single pixel is its own border. Without
+    ``length`` no position lies beyond the far border.
     """
+    at = np.arange(first, stop)
+    if length is None:
+        return np.abs(at)
+    if length == 1:
+        return np.zeros_like(at)
     period = 2 * (length - 1)
-    end = length - 1 + radius
-    reach = F.lit(radius)
-    none = F.array().cast("array<int>")
-
-    def repeats(start: Column) -> Column:
-        from_ = F.pmod(start + reach, period) - reach
-        return F.when(from_ <= end, F.sequence(from_, end, period)).otherwise(none)
-
-    mirrored = F.when((index > 0) & (index < length - 1), repeats(-index)).otherwise(none)
-    return F.when(length == 1, F.sequence(-reach, reach)).otherwise(F.concat(repeats(index), mirrored))
-
-
-def _placement(tile: Column, pos: Column, own: bool | Column) -> Column:
-    own = F.lit(own) if isinstance(own, bool) else own
-    return F.struct(tile.cast("int").alias("tile"), pos.cast("int").alias("pos"), own.alias("own"))
-
-
-def _placements(index: Column, length: Column, radius: int, tile: int) -> Column:
-    """array<struct<tile, pos, own>>: every tile that needs the pixel, and the position it takes there.
-
-    For axes longer than the radius, where a pixel is mirrored at most once per border. Entries that do
-    not apply are null; the expression has no lambda, so it stays in generated code.
-    """
-    home = F.floor(index / tile)
-    last = F.floor((length - 1) / tile)
-    within = F.pmod(index, F.lit(tile))
-    far = 2 * (length - 1) - index  # position beyond the far border
-    near_far_border = (index >= length - 1 - radius) & (index < length - 1)
-    inner = (within >= radius) & (within < tile - radius) & (index > radius) & (index < length - 1 - radius)
-    own = _placement(home, index, True)
-    copies = F.array(
-        own,
-        F.when((within < radius) & (home > 0), _placement(home - 1, index, False)),
-        F.when((within >= tile - radius) & (home < last), _placement(home + 1, index, False)),
-        F.when((index > 0) & (index <= radius), _placement(F.lit(0), -index, False)),
-        F.when(near_far_border, _placement(last, far, False)),
-        F.when(near_far_border & (last > 0) & (far < last * tile + radius), _placement(last - 1, far, False)),
+    at = np.mod(at, period)
+    return np.where(at < length, at, period - at)
+
+
+def _tiles(pixels: DataFrame, tile: int) -> DataFrame:
+    """(image_id, ty, tx, items): place and channels of a tile's pixels, one integer each."""
+    if is_colour(pixels):
+        alpha = F.col("a") if "a" in pixels.columns else F.lit(None).cast("int")
+        # one bit beside the channels says that alpha is missing
+        value = ((F.col("b") * LEVELS + F.col("g")) * LEVELS + F.col("r")).cast("long") * LEVELS + F.coalesce(alpha, F.lit(0))
+        value = value + F.when(alpha.isNull(), F.lit(1 << 32)).otherwise(F.lit(0).cast("long"))
+    else:
+        value = F.col("v").cast("long")
+    place = (F.pmod("y", F.lit(tile)) * tile + F.pmod("x", F.lit(tile))).cast("long")
+    rows = pixels.select(
+        "image_id",
+        F.floor(F.col("y") / tile).cast("int").alias("ty"),
+        F.floor(F.col("x") / tile).cast("int").alias("tx"),
+        (place * (1 << 33) + value).alias("item"),
     )
-    return F.when(inner, F.array(own)).otherwise(copies)
-
-
-def _all_placements(index: Column, length: Column, radius: int, tile: int) -> Column:
-    """The same for axes of any length, the short ones included."""
-
-    def tiles_of(p: Column) -> Column:
-        first = F.floor(F.greatest(p - radius, F.lit(0)) / tile)
-        last = F.floor(F.least(p + radius, length - 1) / tile)
-        return F.transform(
-            F.sequence(first, last), lambda t: _placement(t, p, (p == index) & (t == F.floor(index / tile)))
-        )
-
-    return F.flatten(F.transform(reflected_positions(index, length, radius), tiles_of))
-
-
-def _tiled(
-    pixels: DataFrame, images: DataFrame | None, radius: int, tile: int, broadcast_bytes: int | None = None
-) -> DataFrame:
-    """Pixels and their copies with tile (ty, tx), position (py, px) and whether they are the original."""
-    if tile <= 2 * radius:
-        raise ValueError(f"tile of {tile} is too small for radius {radius}")
-    short = F.least("height", "width") <= radius
-    shapes = settle(image_shapes(pixels) if images is None else images)
-    n_images, n_short = shapes.agg(F.count(F.lit(1)), F.count(F.when(short, 1))).first()
-    weight = "n_pixels" if "n_pixels" in shapes.columns else None
-    carried = [c for c in pixels.columns if c not in POSITION]
-
-    def spread(part: DataFrame, placements: Callable[..., Column]) -> DataFrame:
-        rows = lookup_join(pixels, part, ["image_id"], "inner", 48, weight, broadcast_bytes, n_images)
-        down = rows.withColumn("p", F.explode(placements(F.col("y"), F.col("height"), radius, tile))).where(
-            "p IS NOT NULL"
-        )
-        down = down.select(
-            "image_id", *carried, "x", "width", F.col("p.tile").alias("ty"), F.col("p.pos").alias("py"), F.col("p.own").alias("own_y")
-        )
-        across = down.withColumn("p", F.explode(placements(F.col("x"), F.col("width"), radius, tile))).where(
-            "p IS NOT NULL"
-        )
-        return across.select(
-            "image_id", *carried, "ty", "py", "own_y", F.col("p.tile").alias("tx"), F.col("p.pos").alias("px"), F.col("p.own").alias("own_x")
-        )
-
-    placed = spread(shapes.where(~short), _placements)
-    if n_short:
-        placed = placed.unionByName(spread(shapes.where(short), _all_placements))
-    return placed.repartition(*_TILE_KEYS)
-
-
-def _passes() -> tuple[WindowSpec, WindowSpec]:
-    across = Window.partitionBy(*_TILE_KEYS, "py").orderBy("px")
-    down = Window.partitionBy(*_TILE_KEYS, "px").orderBy("py")
-    return across, down
-
-
-def _originals(tiled: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of original pixels, where the tile position is the image position."""
-    return tiled.withColumns({"y": F.col("py"), "x": F.col("px")}).select(*columns)
-
-
-def box_sums(pixels: DataFrame, radius: int, images: DataFrame | None = None, tile: int = TILE) -> DataFrame:
-    """Every value column replaced by its exact sum over the (2r+1) x (2r+1) neighbourhood."""
-    across, down = _passes()
-    values = value_columns(pixels)
-    summed = _tiled(pixels, images, radius, tile)
-    for window, own in ((across, "own_x"), (down, "own_y")):
-        frame = window.rowsBetween(-radius, radius)
-        summed = summed.withColumns({c: F.sum(c).over(frame) for c in values}).where(own)
-    return _originals(summed, pixels.columns)
-
-
-def mean_filter(
-    pixels: DataFrame, window: int = fixed.MEAN_WINDOW, images: DataFrame | None = None, tile: int = TILE
-) -> DataFrame:
-    """Box mean with a mirrored border: rounded down on gray pixels (N2), to nearest on colour."""
+    return rows.groupBy(*_TILE_KEYS).agg(F.collect_list("item").alias("items"))
+
+
+def _planes(items: np.ndarray, tile: int, colour: bool, where: str) -> np.ndarray:
+    """Bytes of a tile as (channels, rows, cols); the last of a colour tile's five says that alpha is missing."""
+    items = np.sort(items)
+    place = items >> 33
+    rows, cols = int(place[-1]) // tile + 1, int((place % tile).max()) + 1
+    wanted = (np.arange(rows)[:, None] * tile + np.arange(cols)).ravel()
+    if not np.array_equal(place, wanted):
+        raise ValueError(f"{where}: missing or repeated pixels")
+    value = items & ((1 << 33) - 1)
+    shifts = (24, 16, 8, 0, 32) if colour else (0,)
+    return np.stack([(value >> s).astype(np.uint8) & (1 if s == 32 else 255) for s in shifts]).reshape(-1, rows, cols)
+
+
+def _near(tiles: DataFrame, radius: int, tile: int, colour: bool) -> DataFrame:
+    """Every tile's own bytes, and the parts of them that lie within ``radius`` of another tile."""
+    reach = -(-radius // tile)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(c).to_pylist() for c in _TILE_KEYS]
+            out = []
+            for row, (image, ty, tx) in enumerate(zip(*keys)):
+                planes = _planes(batch.column("items")[row].values.to_numpy(), tile, colour, f"image {image}, tile {ty}, {tx}")
+                _, rows, cols = planes.shape
+                # a tile that is not full is the last one of its axis
+                down = range(max(0, ty - reach), ty + 1 + (reach if rows == tile else 0))
+                across = range(max(0, tx - reach), tx + 1 + (reach if cols == tile else 0))
+                for dy in down:
+                    low, high = max(0, (dy * tile - radius) - ty * tile), min(rows, (dy + 1) * tile + radius - ty * tile)
+                    for dx in across:
+                        first, stop = max(0, (dx * tile - radius) - tx * tile), min(cols, (dx + 1) * tile + radius - tx * tile)
+                        if low < high and first < stop:
+                            part = planes[:, low:high, first:stop]
+                            out.append((image, dy, dx, ty * tile + low, tx * tile + first, high - low, stop - first, (dy, dx) == (ty, tx), part.tobytes()))
+                if sum(len(r[-1]) for r in out) > 1 << 24:
+                    yield _pieces(out)
+                    out = []
+            yield _pieces(out)
+
+    return tiles.mapInArrow(send, _PIECE)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.int32()] * 6, pa.bool_(), pa.binary()]
+    columns = list(zip(*rows)) or [[]] * 9
+    names = ["image_id", "ty", "tx", "top", "left", "rows", "cols", "own", "planes"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+class _Tile:
+    """One tile and what lies around it: ``view`` gives any rectangle of positions, mirrored at the borders."""
+
+    def __init__(self, pieces: list[dict], radius: int, tile: int, channels: int):
+        own = next(p for p in pieces if p["own"])
+        self.top, self.left, self.rows, self.cols = own["top"], own["left"], own["rows"], own["cols"]
+        self.y0, self.x0 = min(p["top"] for p in pieces), min(p["left"] for p in pieces)
+        bottom, right = max(p["top"] + p["rows"] for p in pieces), max(p["left"] + p["cols"] for p in pieces)
+        self.bytes = np.zeros((channels, bottom - self.y0, right - self.x0), np.uint8)
+        if sum(p["rows"] * p["cols"] for p in pieces) != self.bytes[0].size:
+            raise ValueError(f"image {own['image_id']}: missing or repeated pixels around tile {own['ty']}, {own['tx']}")
+        for p in pieces:
+            y, x = p["top"] - self.y0, p["left"] - self.x0
+            self.bytes[:, y : y + p["rows"], x : x + p["cols"]] = np.frombuffer(p["planes"], np.uint8).reshape(channels, p["rows"], p["cols"])
+        # if less came than the window reaches, the image ends there
+        self.height = bottom if bottom < self.top + tile + radius else None
+        self.width = right if right < self.left + tile + radius else None
+
+    def down(self, before: int, after: int) -> np.ndarray:
+        return mirrored(self.top - before, self.top + self.rows + after, self.height) - self.y0
+
+    def across(self, before: int, after: int) -> np.ndarray:
+        return mirrored(self.left - before, self.left + self.cols + after, self.width) - self.x0
+
+    def own(self, channel: int) -> np.ndarray:
+        y, x = self.top - self.y0, self.left - self.x0
+        return self.bytes[channel, y : y + self.rows, x : x + self.cols]
+
+    def box_sums(self, channel: int, radius: int) -> np.ndarray:
+        """Sum over the (2r+1) x (2r+1) neighbourhood of each own pixel."""
+        source, x = self.bytes[channel], self.across(radius, radius)
+        lines = np.empty((len(source), self.cols), np.int64)
+        for at in range(0, len(source), _STRIP):
+            running = np.cumsum(source[at : at + _STRIP][:, x], axis=1, dtype=np.int64)
+            lines[at : at + _STRIP] = running[:, 2 * radius :]
+            lines[at : at + _STRIP, 1:] -= running[:, : self.cols - 1]
+        running = np.cumsum(lines[self.down(radius, radius)], axis=0)
+        sums = running[2 * radius :].copy()
+        sums[1:] -= running[: self.rows - 1]
+        return sums
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Pieces of one tile after the other; rows come sorted by tile."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and tuple(held[0][k] for k in _TILE_KEYS) != tuple(row[k] for k in _TILE_KEYS):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _neighbourhoods(pixels: DataFrame, radius: int, tile: int, compute: Callable[[_Tile], list[np.ndarray]]) -> DataFrame:
+    """New channels of every pixel, computed tile by tile; alpha is carried over."""
+    colour = is_colour(pixels)
+    alpha = colour and "a" in pixels.columns
+    schema = PIXELS_BGR if colour else PIXELS
+    names = ["image_id", "y", "x", *(("b", "g", "r", "a") if colour else ("v",))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces in _grouped(batches):
+            if not any(p["own"] for p in pieces):  # beyond the image
+                continue
+            part = _Tile(pieces, radius, tile, 5 if colour else 1)
+            y, x = np.mgrid[part.top : part.top + part.rows, part.left : part.left + part.cols]
+            columns = [np.full(y.size, pieces[0]["image_id"], np.int64), y.ravel().astype(np.int32), x.ravel().astype(np.int32)]
+            columns += [c.ravel().astype(np.int32) for c in compute(part)]
+            arrays = [pa.array(c) for c in columns]
+            if colour:
+                arrays.append(pa.array(part.own(3).ravel().astype(np.int32), mask=part.own(4).ravel().astype(bool)))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    pieces = _near(_tiles(pixels, tile), radius, tile, colour)
+    placed = pieces.repartition(*_TILE_KEYS).sortWithinPartitions(*_TILE_KEYS)
+    out = placed.mapInArrow(run, schema)
+    return out if alpha or not colour else out.drop("a")
+
+
+def mean_filter(pixels: DataFrame, window: int = fixed.MEAN_WINDOW, tile: int = TILE, rounding: str | None = None) -> DataFrame:
+    """Box mean with a mirrored border (N2, N4). The window may be of any size.
+
+    ``rounding`` is ``down`` or ``nearest``; by default gray pixels are rounded down and colour to nearest. The job
+    fails on images with missing or repeated pixels.
+    """
     radius = int(window) // 2
     cells = (2 * radius + 1) ** 2
-    nearest = is_colour(pixels)
+    channels = 3 if is_colour(pixels) else 1
+    rounding = rounding or ("nearest" if channels == 3 else "down")
+    if rounding not in ("down", "nearest"):
+        raise ValueError(f"unknown rounding: {rounding}")
 
-    def mean(total: Column) -> Column:
+    def mean(part: _Tile) -> list[np.ndarray]:
+        sums = [part.box_sums(c, radius) for c in range(channels)]
         # the number of cells is odd, so a tie cannot occur
-        scaled = F.floor((2 * total + cells) / (2 * cells)) if nearest else F.floor(total / cells)
-        return scaled.cast("int")
+        return [(2 * s + cells) // (2 * cells) if rounding == "nearest" else s // cells for s in sums]
 
-    sums = box_sums(pixels, radius, images, tile)
-    return sums.withColumns({c: mean(F.col(c)) for c in value_columns(pixels)})
+    return _neighbourhoods(pixels, radius, tile, mean)
 
 
-def laplacian(pixels: DataFrame, images: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+def laplacian(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """|N + S + E + W - 4C| of gray pixels, saturated at 255, with a mirrored border."""
-    across, down = _passes()
-    v = F.col("v")
-    sides = _tiled(pixels, images, 1, tile).withColumn("sides", F.lag(v).over(across) + F.lead(v).over(across))
-    both = sides.where("own_x").withColumn("ends", F.lag(v).over(down) + F.lead(v).over(down)).where("own_y")
-    edge = F.least(F.lit(255), F.abs(F.col("sides") + F.col("ends") - 4 * v)).cast("int")
-    return _originals(both.withColumn("v", edge), pixels.columns)
+
+    def edges(part: _Tile) -> list[np.ndarray]:
+        wide = part.bytes[0].astype(np.int32)[part.down(1, 1)][:, part.across(1, 1)]
+        cross = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:]
+        return [np.minimum(255, np.abs(cross - 4 * wide[1:-1, 1:-1]))]
+
+    return _neighbourhoods(pixels, 1, tile, edges)

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.errors import PySparkException
 
 from rasterloom import schema
 from rasterloom.operators import stencil
@@ -29,10 +29,11 @@ def box(image, radius):
     return sum(wide[i : i + h, j : j + w] for i in range(2 * radius + 1) for j in range(2 * radius + 1))
 
 
-def test_reflected_positions(spark):
-    frame = spark.range(4).select(stencil.reflected_positions(F.col("id").cast("int"), F.lit(4), 2).alias("p"), "id")
-    shown = {p: r.id for r in frame.collect() for p in r.p}
-    assert [shown[p] for p in range(-2, 6)] == [2, 1, 0, 1, 2, 3, 2, 1]
+def test_mirrored_positions():
+    assert stencil.mirrored(-2, 6, 4).tolist() == [2, 1, 0, 1, 2, 3, 2, 1]
+    assert stencil.mirrored(-7, 8, 3).tolist() == [1, 2, 1, 0, 1, 2, 1, 0, 1, 2, 1, 0, 1, 2, 1]
+    assert stencil.mirrored(-3, 3, None).tolist() == [3, 2, 1, 0, 1, 2]
+    assert stencil.mirrored(-1, 2, 1).tolist() == [0, 0, 0]
 
 
 @pytest.mark.parametrize("shape", [(40, 37), (16, 33), (17, 16), (5, 48), (1, 20), (20, 1), (1, 1), (2, 2), (3, 18)])
@@ -74,23 +75,45 @@ def test_laplacian(gray, raster, shape):
     assert (raster(stencil.laplacian(gray({0: image}), tile=8)) == expected).all()
 
 
-def test_shapes_can_be_given_and_joined_by_shuffle(gray, raster, monkeypatch):
-    from rasterloom.operators import lookup
-
-    image = RNG.integers(0, 256, (30, 30))
-    pixels = gray({0: image, 1: image})
-    shapes = schema.image_shapes(pixels).drop("n_pixels")
-    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
-    assert (raster(stencil.mean_filter(pixels, 3, shapes, tile=8), 1) == box(image, 1) // 9).all()
+@pytest.mark.parametrize("shape", [(40, 30), (7, 90)])
+@pytest.mark.parametrize("window", [33, 65, 257])
+def test_windows_wider_than_a_tile_and_than_the_image(gray, raster, shape, window):
+    image = RNG.integers(0, 256, shape)
+    assert (raster(stencil.mean_filter(gray({0: image}), window, tile=16)) == box(image, window // 2) // window**2).all()
 
 
-def test_tile_must_exceed_window(gray):
+def test_rounding(gray, raster):
+    image = RNG.integers(0, 256, (20, 21))
+    near = stencil.mean_filter(gray({0: image}), 3, rounding="nearest")
+    assert (raster(near) == np.rint(box(image, 1) / 9)).all()
     with pytest.raises(ValueError):
-        stencil.mean_filter(gray({0: [[1]]}), 31, tile=16)
+        stencil.mean_filter(gray({0: image}), 3, rounding="up")
+
+
+def test_colour_can_be_rounded_down_and_alpha_may_be_missing(spark, raster):
+    image = RNG.integers(0, 256, (9, 8, 3))
+    rows = [(0, y, x, *map(int, image[y, x]), None) for y in range(9) for x in range(8)]
+    pixels = spark.createDataFrame(rows, schema.PIXELS_BGR)
+    out = stencil.mean_filter(pixels, 3, rounding="down")
+    assert (raster(out, value="g") == box(image[:, :, 1], 1) // 9).all()
+    assert out.where("a IS NOT NULL").count() == 0
+    assert "a" not in stencil.mean_filter(pixels.drop("a"), 3).columns
+
+
+@pytest.mark.parametrize("gone", ["x = 3 AND y = 4", "x >= 16 AND y >= 16", "x = 39 AND y = 39"])
+def test_missing_pixels_fail(gray, gone):
+    pixels = gray({0: RNG.integers(0, 256, (40, 40))}).where(f"NOT ({gone})")
+    with pytest.raises(PySparkException, match="missing or repeated"):
+        stencil.mean_filter(pixels, 3, tile=16).collect()
+
+
+def test_many_small_images(gray, raster):
+    images = {i: RNG.integers(0, 256, (5, 4)) for i in range(40)}
+    out = stencil.mean_filter(gray(images), 3).cache()
+    for i, image in images.items():
+        assert (raster(out, i) == box(image, 1) // 9).all()
 
 
-def test_one_pixel_shuffle(gray):
-    """Both passes share the shuffle by tile."""
-    shapes = schema.image_shapes(gray({0: [[1, 2], [3, 4]]}))
-    plan = stencil.mean_filter(gray({0: [[1, 2], [3, 4]]}), 3, shapes)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_pixels_are_shuffled_once_and_packed_bytes_once(gray):
+    plan = stencil.mean_filter(gray({0: [[1, 2], [3, 4]]}), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
