@@ -68,25 +68,18 @@ def cache_key(name: Column, rule: str = "slash") -> Column:
     return F.concat(F.translate(F.upper(strip(name)), replaced, "__"), F.lit(".png"))
 
 
-def composite_script() -> str:
-    """Per-pixel script of the request: the true-colour bands times the gain."""
-    bands = ", ".join(f'"{band}"' for band in sorted(fixed.COMPOSITE_BANDS))
-    values = ", ".join(f"px.{band} * {fixed.COMPOSITE_GAIN}" for band in fixed.COMPOSITE_BANDS)
-    return (
-        "//VERSION=3\n"
-        f"function setup() {{ return {{ input: [{bands}], output: {{ bands: {len(fixed.COMPOSITE_BANDS)} }} }}; }}\n"
-        f"function evaluatePixel(px) {{ return [{values}]; }}"
-    )
-
-
 def scene_request(
     box: Column,
     width: Column,
     height: Column,
     date_from: str = fixed.SCENE_FROM,
     date_to: str = fixed.SCENE_TO,
+    script: str = fixed.COMPOSITE_SCRIPT,
 ) -> Column:
-    """Nested request structure for one scene (M8); ``to_json`` turns it into the payload."""
+    """Nested request structure for one scene (M8); ``to_json`` turns it into the payload.
+
+    ``script`` computes the picture on the service's side, pixel by pixel.
+    """
     time_range = F.struct(F.lit(date_from).alias("from"), F.lit(date_to).alias("to"))
     data_filter = F.struct(time_range.alias("timeRange"), F.lit(fixed.SCENE_ORDER).alias("mosaickingOrder"))
     source = F.struct(F.lit(fixed.SCENE_COLLECTION).alias("type"), data_filter.alias("dataFilter"))
@@ -97,5 +90,5 @@ def scene_request(
     return F.struct(
         F.struct(bounds.alias("bounds"), F.array(source).alias("data")).alias("input"),
         F.struct(width.alias("width"), height.alias("height"), F.array(response).alias("responses")).alias("output"),
-        F.lit(composite_script()).alias("evalscript"),
+        F.lit(script).alias("evalscript"),
     )

@@ -57,16 +57,6 @@ def route(prompt: Column) -> Column:
 
 def clean_answer(text: Column) -> Column:
     """Answer of a model without its reasoning; null and empty give '' (T3)."""
-    answer = rf"({_one_of(fixed.ANSWER_HEADS)}){_BLANK}*:"
-    steps: list[tuple[str, str]] = [
-        (r"(?s)<think>.*?</think>", ""),
-        (
-            rf"(?isdU)^{_BLANK}*({_one_of(fixed.REASONING_HEADS)}){_BLANK}*:.*?(?=\n{_BLANK}*{answer}|\z)",
-            "",
-        ),
-        (rf"(?imdU)^{_BLANK}*{answer}{_BLANK}*", ""),
-        (rf"(?imdU)^{_BLANK}*({_one_of(fixed.STEP_HEADS)}){_BLANK}*\d+[^\n]*", ""),
-        (r"\n{3,}", "\n\n"),
-    ]
-    cleaned = reduce(lambda column, step: F.regexp_replace(column, *step), steps, F.coalesce(text, F.lit("")))
+    start = F.coalesce(text, F.lit(""))
+    cleaned = reduce(lambda column, step: F.regexp_replace(column, *step), fixed.ANSWER_CLEANING, start)
     return strip(cleaned)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.functions import geo
-from rasterloom.operators import cluster, histogram, huffman, pixels as px, stencil
+from rasterloom.operators import cluster, histogram, huffman, pixels as px, prompts, stencil
 from rasterloom.schema import image_shapes, is_colour
 from rasterloom.session import settle, stored
 
@@ -58,11 +58,11 @@ def _threshold(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
 
 def _mean_filter(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     window = max(fixed.MEAN_WINDOW, _int(params, "window", fixed.MEAN_WINDOW) | 1)
-    return _Step(stencil.mean_filter(image, window, shapes), {"window": window})
+    return _Step(stencil.mean_filter(image, window), {"window": window})
 
 
 def _laplacian(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
-    return _Step(stencil.laplacian(px.to_grayscale(image), shapes), {})
+    return _Step(stencil.laplacian(px.to_grayscale(image)), {})
 
 
 def _kmeans(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
@@ -116,20 +116,7 @@ HEAVY = {"meanfilter", "laplacian", "kmeans"}
 # these read their pixels more than once
 REPEATED = {"meanfilter", "laplacian", "kmeans", "huffman_compress", "histogram"}
 
-TITLES = {
-    "grayscale": "Grayscale",
-    "negative": "Negative",
-    "brightness": "Brightness",
-    "threshold": "Threshold",
-    "meanfilter": "Mean Filter",
-    "laplacian": "Laplacian",
-    "kmeans": "K-Means Clustering",
-    "huffman_compress": "Huffman Compression",
-    "huffman_decompress": "Huffman Decompression",
-    "distance": "Distance",
-    "statistics": "Statistics",
-    "histogram": "Histogram",
-}
+NAMES = {*OPERATIONS, "distance", "huffman_decompress"}
 
 
 def _metadata(shapes: DataFrame, number: int, name: str, step: _Step) -> DataFrame:
@@ -152,8 +139,11 @@ def run_chain(image: DataFrame | None, steps: list[tuple[str, Params]]) -> Chain
 
     ``distance`` measures a table of point pairs given as parameter ``points`` and leaves the image as it
     is; ``huffman_decompress`` starts from ``segments`` and ``books``; ``statistics`` and ``histogram`` put a
-    table into the result. Pixels that came out of a shuffle are written to the shared folder before a
-    step that reads them more than once.
+    table into the result.
+
+    Jobs that run now: the shapes of the images are settled once, for the metadata of all steps; pixels that came out
+    of a shuffle are written to the shared folder before a step that reads them more than once; and ``kmeans``
+    settles its lookups. Everything else is left to the caller's action.
     """
     result = ChainResult(image, None)
     shapes = None if image is None else settle(image_shapes(image))
@@ -162,14 +152,14 @@ def run_chain(image: DataFrame | None, steps: list[tuple[str, Params]]) -> Chain
         name = ALIASES.get(asked, asked)
         if not name:
             raise ValueError("No operation specified")
-        if name not in TITLES:
+        if name not in NAMES:
             raise ValueError(f"Unsupported operation: {name}")
         result.log.append(f"Operation: {name}")
         if name == "distance":
             _add(result, _distance_metadata(params["points"], number))
             continue
         if name == "huffman_decompress":
-            result.image = huffman.decode(params["segments"], params["books"], _int(params, "channels", 1))
+            result.image = huffman.decode(params["segments"], params["books"], _int(params, "channels", 1) > 1)
             result.image = stored(result.image)
             shapes = settle(image_shapes(result.image))
             _add(result, _metadata(shapes, number, name, _Step(result.image, {})))
@@ -189,6 +179,18 @@ def run_chain(image: DataFrame | None, steps: list[tuple[str, Params]]) -> Chain
     return result
 
 
+def run_prompts(image: DataFrame, texts: list[str], params: dict[str, Params] | None = None) -> ChainResult:
+    """Apply the operations that prompts ask for, in their order; other prompts are passed over.
+
+    ``texts`` is one user's dialogue, not a table. ``params`` holds parameters by the name a prompt is routed to; the
+    others have their defaults. ``distance`` is measured only with ``points`` in its parameters.
+    """
+    frame = image.sparkSession.createDataFrame(list(enumerate(texts)), "turn INT, prompt STRING")
+    asked = [r["operation"] for r in sorted(prompts.operations(frame).collect(), key=lambda r: r["turn"])]
+    params = params or {}
+    return run_chain(image, [(name, params.get(name, {})) for name in asked if name != "distance" or "points" in params.get(name, {})])
+
+
 def _add(result: ChainResult, rows: DataFrame) -> None:
     result.metadata = rows if result.metadata is None else result.metadata.unionByName(rows)
 

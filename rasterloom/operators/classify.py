@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rasterloom.functions.colour import default_colours, default_names, default_ranges, pick, ranges_literal
-from rasterloom.operators.cluster import LOOKUP_ROW_BYTES, count_between, range_lookup, range_table, with_cluster
-from rasterloom.operators.lookup import lookup_join
+from rasterloom.operators.cluster import count_between, level_lookup, range_lookup, with_cluster
+from rasterloom.operators.lookup import Settled, lookup_join, settled
 from rasterloom.schema import LEVELS
+from rasterloom.session import settle
 
 Ranges = list[tuple[int, int]] | DataFrame
 
@@ -16,7 +18,7 @@ def range_counts(counted: DataFrame, ranges: Ranges) -> DataFrame:
     """Pixels and share per range (A7): (image_id, cluster, lo, hi, n, share, percent, invalid).
 
     ``counted`` comes from :func:`histogram.image_counts` or a k-means model. A range with lo > hi counts nothing and is flagged.
-    ``share`` is the exact percentage, ``percent`` the same with one decimal.
+    ``share`` is the exact percentage; ``percent`` is that binary number rounded to one decimal, as it is shown.
     """
     if isinstance(ranges, DataFrame):
         rows = counted.join(ranges.select("image_id", "cluster", "lo", "hi"), "image_id")
@@ -25,10 +27,25 @@ def range_counts(counted: DataFrame, ranges: Ranges) -> DataFrame:
     n = F.when(F.col("lo") <= F.col("hi"), count_between(F.col("counts"), F.col("lo"), F.col("hi"))).otherwise(
         F.lit(0).cast("long")
     )
+    return _shares(rows.withColumn("n", n))
+
+
+def model_counts(model: DataFrame) -> DataFrame:
+    """The same for the ranges a k-means model found, whose pixels it has counted."""
+    rows = model.select("image_id", "total", F.explode(F.zip_with("ranges", "members", lambda r, n: F.struct(r.alias("r"), n.alias("n")))).alias("x"))
+    return _shares(rows.select("image_id", "total", "x.r.*", "x.n"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _one_decimal(share: pd.Series) -> pd.Series:
+    """Rounds the binary number itself; there are a few rows per image."""
+    return share.map(lambda x: round(x, 1))
+
+
+def _shares(rows: DataFrame) -> DataFrame:
     share = F.coalesce(F.try_divide(F.col("n"), F.col("total")) * 100, F.lit(0.0))
     return (
-        rows.withColumn("n", n)
-        .withColumn("share", share)
+        rows.withColumn("share", share)
         .select(
             "image_id",
             "cluster",
@@ -36,7 +53,7 @@ def range_counts(counted: DataFrame, ranges: Ranges) -> DataFrame:
             "hi",
             "n",
             "share",
-            F.bround("share", 1).alias("percent"),
+            _one_decimal("share").alias("percent"),
             (F.col("lo") > F.col("hi")).alias("invalid"),
         )
     )
@@ -82,17 +99,27 @@ def legend(
     names: list[str] | None = None,
     colours: list | None = None,
 ) -> DataFrame:
-    """(image_id, cluster, name, n, share, r, g, b) by cluster, those of the same name kept apart.
+    """(image_id, cluster, name, n, share, percent, text, r, g, b), clusters of one name kept apart.
 
-    Without ``ranges`` the default classification ranges are used, whatever k-means found: that is what
-    the legend of a freshly clustered image shows. Pass the k-means ranges to agree with its labels.
+    ``text`` is the line of a legend, ``name-percent%`` with one decimal. Without ``ranges`` the default classification
+    ranges are used, whatever k-means found: that is what the legend of a freshly clustered image shows. For the
+    ranges that k-means found see :func:`model_legend`. The rows are in no order.
     """
-    rows = range_counts(counted, default_ranges(k) if ranges is None else ranges)
-    columns = ["image_id", "cluster", "name", "n", "share", "r", "g", "b"]
-    return named(rows, k, names, colours).select(*columns).orderBy("image_id", "cluster")
+    return _legend(range_counts(counted, default_ranges(k) if ranges is None else ranges), k, names, colours)
 
 
-def land_cover_map(pixels: DataFrame, model: DataFrame, k: int, colours: list | None = None) -> DataFrame:
+def model_legend(model: DataFrame, k: int, names: list[str] | None = None, colours: list | None = None) -> DataFrame:
+    """The legend by the ranges of a k-means model, which agrees with its labels; needs nothing but the model."""
+    return _legend(model_counts(model), k, names, colours)
+
+
+def _legend(rows: DataFrame, k: int, names: list[str] | None, colours: list | None) -> DataFrame:
+    text = F.concat("name", F.lit("-"), F.col("percent").cast("decimal(5,1)").cast("string"), F.lit("%"))
+    columns = ["image_id", "cluster", "name", "n", "share", "percent", "text", "r", "g", "b"]
+    return named(rows, k, names, colours).withColumn("text", text).select(*columns)
+
+
+def land_cover_map(pixels: DataFrame, model: DataFrame | Settled, k: int, colours: list | None = None) -> DataFrame:
     """(image_id, y, x, cluster, r, g, b): k-means labels painted in map colours."""
     painted = with_colour(with_cluster(pixels, model), k, colours)
     return painted.select("image_id", "y", "x", "cluster", "r", "g", "b")
@@ -109,11 +136,16 @@ def land_cover(
     """The land-cover map and its legend (C11).
 
     ``range_source`` chooses the ranges the legend counts: ``preset`` for the default classification
-    ranges, ``kmeans`` for the ranges the labels of the map come from.
+    ranges, ``kmeans`` for the ranges the labels of the map come from. The model is settled now, once for both.
     """
-    sources = {"preset": default_ranges(k), "kmeans": range_table(model)}
-    counted = model.select("image_id", "counts", "total")
-    return land_cover_map(pixels, model, k, colours), legend(counted, k, sources[range_source], names, colours)
+    if range_source not in ("preset", "kmeans"):
+        raise KeyError(range_source)
+    known = settle(model)
+    if range_source == "kmeans":
+        rows = model_legend(known, k, names, colours)
+    else:
+        rows = legend(known.select("image_id", "counts", "total"), k, None, names, colours)
+    return land_cover_map(pixels, settled(level_lookup(known)), k, colours), rows
 
 
 def display_image(pixels: DataFrame, model: DataFrame, k: int, colours: list | None = None) -> DataFrame:
@@ -143,9 +175,7 @@ def recolour(
             .agg(F.array_sort(F.collect_list(F.struct("cluster", "lo", "hi"))).alias("ranges"))
             .select("image_id", range_lookup(F.col("ranges")).alias("lookup"))
         )
-        joined = lookup_join(
-            pixels, per_image, ["image_id"], "left", row_bytes=LOOKUP_ROW_BYTES, broadcast_bytes=broadcast_bytes
-        )
+        joined = lookup_join(pixels, per_image, ["image_id"], "left", broadcast_bytes=broadcast_bytes)
         clustered = joined.withColumn("cluster", F.get("lookup", F.col("v")).cast("int")).drop("lookup")
     else:
         hit = F.get(_shared_lookup(ranges), F.col("v"))

@@ -16,7 +16,7 @@ from rasterloom import fixed_values as fixed
 from rasterloom.functions.colour import equal_ranges, ranges_literal
 from rasterloom.functions.pixel import in_range, round_half_away
 from rasterloom.operators.histogram import image_counts
-from rasterloom.operators.lookup import lookup_join
+from rasterloom.operators.lookup import Settled, lookup_join
 from rasterloom.schema import LEVELS
 
 _FIT = "centroids array<double>, iterations int, converged boolean"
@@ -150,16 +150,15 @@ def run_table(model: DataFrame) -> DataFrame:
 
 
 def range_lookup(ranges: Column) -> Column:
-    """array<tinyint> of 256: the cluster of each level, null where no range covers it.
+    """array<int> of 256: the cluster of each level, null where no range covers it.
 
-    Where ranges overlap, the highest cluster wins. One byte per level keeps the lookups of a few hundred
-    thousand images within the broadcast bound.
+    Where ranges overlap, the highest cluster wins.
     """
     return F.transform(
         F.sequence(F.lit(0), F.lit(LEVELS - 1)),
         lambda v: F.array_max(
             F.transform(ranges, lambda r: F.when(in_range(v, r["lo"], r["hi"]), r["cluster"]))
-        ).cast("tinyint"),
+        ),
     )
 
 
@@ -173,25 +172,19 @@ def nearest_lookup(centroids: Column) -> Column:
     )
 
 
-# 256 one-byte clusters, their null bits and the row around them
-LOOKUP_ROW_BYTES = 400
+def level_lookup(model: DataFrame) -> DataFrame:
+    """(image_id, lookup, n_pixels): what :func:`with_cluster` joins to the pixels, one row per image."""
+    return model.select("image_id", range_lookup(F.col("ranges")).alias("lookup"), F.col("total").alias("n_pixels"))
 
 
-def with_cluster(pixels: DataFrame, model: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
+def with_cluster(pixels: DataFrame, model: DataFrame | Settled, broadcast_bytes: int | None = None) -> DataFrame:
     """Pixels with the cluster of their final range, 0 where no range covers the level.
 
-    Pixels are scanned, not shuffled: each image contributes one 256-entry lookup row.
+    Pixels are scanned, not shuffled: each image contributes one 256-entry lookup row. The lookups are settled now, to
+    measure them; pass ``settled(level_lookup(model))`` instead of the model to do that once for several uses.
     """
-    lookup = model.select("image_id", range_lookup(F.col("ranges")).alias("lookup"), F.col("total").alias("n_pixels"))
-    joined = lookup_join(
-        pixels,
-        lookup,
-        ["image_id"],
-        "inner",
-        row_bytes=LOOKUP_ROW_BYTES,
-        weight="n_pixels",
-        broadcast_bytes=broadcast_bytes,
-    )
+    lookup = model if isinstance(model, Settled) else level_lookup(model)
+    joined = lookup_join(pixels, lookup, ["image_id"], "inner", weight="n_pixels", broadcast_bytes=broadcast_bytes)
     cluster = F.coalesce(F.get("lookup", F.col("v")).cast("int"), F.lit(0))
     return joined.withColumn("cluster", cluster).drop("lookup")
 

@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterloom.functions import geo, pixel
-from rasterloom.operators.lookup import fits_broadcast, lookup_join
+from rasterloom.operators.lookup import Settled, fits_broadcast, lookup_join
 from rasterloom.schema import is_colour
 from rasterloom.session import settle
 
 
-def in_bounds(points: DataFrame, images: DataFrame) -> DataFrame:
-    """Points that lie on their image; ``images`` holds (image_id, height, width) (F2)."""
-    shaped = lookup_join(points, images.select("image_id", "height", "width"), ["image_id"], "inner", row_bytes=48)
+def in_bounds(points: DataFrame, images: DataFrame | Settled) -> DataFrame:
+    """Points that lie on their image; ``images`` holds (image_id, height, width) (F2). It is settled now if it is not."""
+    shaped = lookup_join(points, images.select("image_id", "height", "width"), ["image_id"], "inner")
     inside = F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1)
     return shaped.where(inside).drop("height", "width")
 
 
-def pair_clicks(clicks: DataFrame, bucket: int = 100_000) -> DataFrame:
+STRETCHES = 4096
+
+
+def _stretch_cuts(clicks: DataFrame, clicks_each: int) -> np.ndarray:
+    """Event ids that cut all clicks into stretches of about equal numbers, at most ``STRETCHES`` of them."""
+    n = clicks.count()
+    stretches = min(STRETCHES, -(-n // clicks_each))
+    if stretches <= 1:
+        return np.zeros(0, np.int64)
+    shares = [i / stretches for i in range(1, stretches)]
+    return np.unique(np.array(clicks.agg(F.percentile_approx("event_id", shares, 4 * stretches)).first()[0], np.int64))
+
+
+def pair_clicks(clicks: DataFrame, clicks_each: int = 100_000) -> DataFrame:
     """Two clicks in a row on one image make a measurement.
 
     ``clicks``: (user_id, event_id, image_id, x, y, ...), already limited to points on an image; event_id
-    orders them. A click on another image drops the pending point and becomes the first one.
+    orders them. A click on another image drops the pending point and becomes the first one. Clicks without a
+    user or an event id belong to no run and are left out.
 
-    A user may hold any share of the clicks, so users are cut into ``bucket`` wide stretches of event_id:
-    runs are found inside a stretch, one summary row per stretch carries the open run and the last click
+    A user may hold any share of the clicks, so users are cut into stretches of event_id that hold about
+    ``clicks_each`` clicks of all users, whatever the ids look like; their bounds are looked up now, in two small jobs.
+    Runs are found inside a stretch, one summary row per stretch carries the open run and the last click
     to the next one. Extra columns are taken from the second click.
     """
     keys = ["user_id", "bucket"]
     local = Window.partitionBy(*keys).orderBy("event_id")
     point = F.struct("image_id", "x", "y")
     known = clicks.where("user_id IS NOT NULL AND event_id IS NOT NULL")
-    # never null, so that both uses of the rows below keep one plan and share its shuffle
-    rows = known.withColumn("bucket", F.coalesce(F.floor(F.col("event_id") / bucket), F.lit(0)))
+    cuts = _stretch_cuts(known, clicks_each)
+
+    @F.pandas_udf("int")
+    def stretch(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    rows = known.withColumn("bucket", stretch("event_id") if len(cuts) else F.lit(0))
     rows = rows.withColumn("before", F.lag(point).over(local))
     rows = rows.withColumn("turn", (F.col("before.image_id") != F.col("image_id")).cast("int"))
     rows = rows.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(local))
@@ -84,7 +106,7 @@ def inspect(points: DataFrame, pixels: DataFrame, broadcast_bytes: int | None =
     """
     keys = ["image_id", "y", "x"]
     asked = settle(points.select(*keys).distinct())
-    small = fits_broadcast(asked, 48, broadcast_bytes)
+    small = fits_broadcast(asked, limit=broadcast_bytes)
     hits = pixels.join(F.broadcast(asked) if small else asked.hint("merge"), keys)
     if is_colour(pixels):
         alpha = F.col("a") if "a" in pixels.columns else None
@@ -92,5 +114,5 @@ def inspect(points: DataFrame, pixels: DataFrame, broadcast_bytes: int | None =
     else:
         text = pixel.gray_text(F.col("x"), F.col("y"), F.col("v"))
     texts = hits.select(*keys, text.alias("text"))
-    found = lookup_join(points, texts, keys, "left", row_bytes=96, broadcast_bytes=broadcast_bytes)
+    found = lookup_join(points, texts, keys, "left", broadcast_bytes=broadcast_bytes)
     return found.withColumn("text", F.coalesce("text", F.lit("x: -, y: -, value: -")))

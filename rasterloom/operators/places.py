@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rasterloom import fixed_values as fixed
 from rasterloom.functions import geo
 from rasterloom.functions.text import strip
-from rasterloom.operators.lookup import fits_broadcast, lookup_join, salted_join
+from rasterloom.operators.lookup import Settled, fits_broadcast, lookup_join, salted_join
 from rasterloom.session import settle
 
 
@@ -26,19 +26,25 @@ def resolve(
     aliases: DataFrame,
     strict: bool = False,
     broadcast_bytes: int | None = None,
+    literal: bool = False,
 ) -> DataFrame:
     """Add code, lat, lon and ``resolved`` to a ``name`` column.
 
     The trimmed name is looked up as a code in upper case, then as an alias in lower case. Unknown names
     stay with nulls, or fail the job if ``strict``. An alias to a missing code resolves to nothing.
+
+    Both tables are settled now, to measure them, unless they are ``literal``, such as the built-in ones: then their
+    size is known to be small.
     """
     place = F.struct("code", "lat", "lon")
     by_code = locations.select(F.col("code").alias("as_code"), place.alias("by_code"))
     by_alias = aliases.join(locations, "code").select(F.col("alias").alias("as_alias"), place.alias("by_alias"))
+    if literal:
+        by_code, by_alias = Settled(by_code, 0), Settled(by_alias, 0)
     clean = strip(F.coalesce("name", F.lit("")))
     keyed = names.withColumns({"as_code": F.upper(clean), "as_alias": F.lower(clean)})
-    found = lookup_join(keyed, by_code, ["as_code"], "left", 128, broadcast_bytes=broadcast_bytes)
-    found = lookup_join(found, by_alias, ["as_alias"], "left", 128, broadcast_bytes=broadcast_bytes)
+    found = lookup_join(keyed, by_code, ["as_code"], "left", broadcast_bytes=broadcast_bytes)
+    found = lookup_join(found, by_alias, ["as_alias"], "left", broadcast_bytes=broadcast_bytes)
     found = found.withColumn("place", F.coalesce("by_code", "by_alias"))
     if strict:
         unknown = F.raise_error(F.concat(F.lit("Unknown location: "), F.coalesce("name", F.lit(""))))
@@ -120,25 +126,33 @@ def points_in_boxes(
 ) -> DataFrame:
     """Every (point, box) pair where the point lies in the box, edges included.
 
-    ``points``: lat, lon and any other columns; ``boxes``: code and box. A box is listed under each grid
-    cell it touches, so both sides meet on the cell and only then compare coordinates.
+    ``points``: lat, lon and any other columns; ``boxes``: code and box. There is a grid for every doubling of the
+    ``cell``; a box is listed in the first grid whose cells are not smaller than it, so under four cells at most,
+    and a point once in every grid that has a box. Both sides meet on the cell and only then compare coordinates.
+    The listing is settled now, to measure it and to see which grids there are.
     """
+    spread = F.greatest(F.col("box.east") - F.col("box.west"), F.col("box.north") - F.col("box.south"))
 
     def grid(v: Column) -> Column:
-        return F.floor(v / cell)
+        return F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("grid"))))
 
+    sized = boxes.select("code", "box").where(spread >= 0)
+    gridded = sized.withColumn("grid", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(spread, F.lit(cell)) / cell))).cast("int"))
     columns = F.explode(F.sequence(grid(F.col("box.west")), grid(F.col("box.east"))))
     rows = F.explode(F.sequence(grid(F.col("box.south")), grid(F.col("box.north"))))
-    listed = settle(boxes.select("code", "box").withColumn("cx", columns).withColumn("cy", rows))
-    placed = points.withColumns({"cx": grid(F.col("lon")), "cy": grid(F.col("lat"))})
-    if fits_broadcast(listed, 128, broadcast_bytes):
-        near = placed.join(F.broadcast(listed), ["cx", "cy"])
+    listed = settle(gridded.withColumn("cx", columns).withColumn("cy", rows))
+    grids = sorted(r["grid"] for r in listed.select("grid").distinct().collect())  # at most a few dozen doublings
+    keys = ["grid", "cx", "cy"]
+    placed = points.withColumn("grid", F.explode(F.array(*map(F.lit, grids)).cast("array<int>")))
+    placed = placed.withColumns({"cx": grid(F.col("lon")), "cy": grid(F.col("lat"))})
+    if fits_broadcast(listed, limit=broadcast_bytes):
+        near = placed.join(F.broadcast(listed), keys)
     else:
-        near = salted_join(placed, listed, ["cx", "cy"], ["lat", "lon", *_identity(points)])
+        near = salted_join(placed, listed, keys, ["lat", "lon", *_identity(points)])
     inside = F.col("lon").between(F.col("box.west"), F.col("box.east")) & F.col("lat").between(
         F.col("box.south"), F.col("box.north")
     )
-    return near.where(inside).drop("cx", "cy")
+    return near.where(inside).drop(*keys)
 
 
 def _identity(points: DataFrame) -> list[str]:

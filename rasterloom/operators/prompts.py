@@ -18,10 +18,18 @@ def intent_counts(prompts: DataFrame) -> DataFrame:
     return routed(prompts).groupBy("intent", "operation").agg(F.count(F.lit(1)).alias("n"))
 
 
-def requested_scenes(prompts: DataFrame, locations: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Scene requests of the prompts that ask for imagery of a known place, with box, size and payload."""
+def requested_scenes(prompts: DataFrame, locations: DataFrame, aliases: DataFrame, literal: bool = False) -> DataFrame:
+    """Scene requests of the prompts that ask for imagery of a known place, with box, size and payload.
+
+    ``literal`` says that the gazetteer's tables are small by construction, as the built-in ones are.
+    """
     asked = routed(prompts).where("intent = 'fetch_satellite'").withColumnRenamed("location", "name")
-    return scene_manifest(resolve(asked.drop("intent", "operation", "question"), locations, aliases))
+    return scene_manifest(resolve(asked.drop("intent", "operation", "question"), locations, aliases, literal=literal))
+
+
+def operations(prompts: DataFrame) -> DataFrame:
+    """The prompts that ask for an operation on the image, with its name; see ``chain.run_prompts``."""
+    return routed(prompts).where("intent = 'process_image'").drop("intent", "location", "question")
 
 
 def cleaned(answers: DataFrame) -> DataFrame:

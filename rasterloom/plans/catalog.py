@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rasterloom import schema
 from rasterloom.functions.colour import default_ranges
 from rasterloom.operators import chain, classify, cluster, histogram, huffman, measure, pixels as px, places, prompts, stencil
+from rasterloom.operators.lookup import lookup_join, settled
 from rasterloom.plans import fixtures as fx
-from rasterloom.session import new_folder, settle
-from rasterloom.sources import gazetteer, images, matrices, runs, sinks
+from rasterloom.session import new_folder
+from rasterloom.sources import containers, gazetteer, images, matrices, runs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,8 @@ QUERIES |= {
     "img_shape": _on(GRAY, schema.image_shapes),
     "mean_filter_3": _on(GRAY, stencil.mean_filter),
     "mean_filter_color_5": _on(COLOUR, lambda p: stencil.mean_filter(p, 5)),
+    "mean_filter_257": _on(GRAY, lambda p: stencil.mean_filter(p, 257)),
+    "mean_filter_gray_nearest": _on(GRAY, lambda p: stencil.mean_filter(p, 5, rounding="nearest")),
     "laplacian": _on(GRAY, stencil.laplacian),
     "hist_exact": _on(GRAY, histogram.exact_histogram),
     "hist_rgb": _on(COLOUR, histogram.exact_histogram),
@@ -101,6 +104,7 @@ QUERIES |= {
     "kmeans_runs": lambda spark, sf: cluster.run_table(_model(spark, sf)),
     "kmeans_counts": lambda spark, sf: cluster.member_table(_model(spark, sf)),
     "kmeans_labels": lambda spark, sf: cluster.labels(GRAY(spark, sf), _model(spark, sf)),
+    "kmeans_labels_150": lambda spark, sf: cluster.labels(GRAY(spark, sf), _model(spark, sf, 150)),
 }
 
 
@@ -109,6 +113,12 @@ def kmeans_from_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.centroid_table(_model(spark, sf, ranges=default_ranges(6)))
 
 
+@_query
+def kmeans_from_edited_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """A rerun that starts from the bounds a user has edited, image by image."""
+    return cluster.centroid_table(_model(spark, sf, ranges=_edited_ranges(spark, sf)))
+
+
 @_query
 def kmeans_nearest_levels(spark: SparkSession, sf: str) -> DataFrame:
     nearest = cluster.nearest_lookup(F.col("centroids"))
@@ -123,13 +133,13 @@ def _edited_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def classify_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.range_counts(histogram.image_counts(GRAY(spark, sf)), default_ranges(6)).drop("percent")
+    return classify.range_counts(histogram.image_counts(GRAY(spark, sf)), default_ranges(6))
 
 
 @_query
 def classify_edit_bounds(spark: SparkSession, sf: str) -> DataFrame:
     counted = histogram.image_counts(GRAY(spark, sf))
-    return classify.range_counts(counted, _edited_ranges(spark, sf)).drop("percent")
+    return classify.range_counts(counted, _edited_ranges(spark, sf))
 
 
 @_query
@@ -154,8 +164,8 @@ def land_cover_legend_9(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def land_cover_legend_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    """Histogram, Lloyd, ranges, counts, names: the pixels are read once."""
-    return classify.land_cover(GRAY(spark, sf), _model(spark, sf), 6, "kmeans")[1]
+    """Histogram, Lloyd, ranges, counts, names: one plan, the pixels are read once."""
+    return classify.model_legend(_model(spark, sf), 6)
 
 
 @_query
@@ -275,8 +285,6 @@ def least_cloud_mosaic(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def scene_search(spark: SparkSession, sf: str) -> DataFrame:
-    from rasterloom.operators.lookup import lookup_join
-
     tiles = places.with_box(fx.locations(spark, sf)).select(F.col("code").alias("tile"), "box")
     area = F.struct(*[F.lit(v).alias(c) for c, v in zip(_CORNERS, (72.6, 33.2, 73.0, 33.9))])
     dated = places.scene_filter(fx.scenes(spark, sf), "1995-01-01", "1997-01-01")
@@ -284,6 +292,12 @@ def scene_search(spark: SparkSession, sf: str) -> DataFrame:
     return places.scene_filter(boxed, "1995-01-01", "1997-01-01", area).select("scene_id", "tile", "cloud_pct")
 
 
+@_query
+def scene_search_collection(spark: SparkSession, sf: str) -> DataFrame:
+    found = places.scene_filter(fx.scenes(spark, sf), "1994-06-01", "1995-06-01", collection="sentinel-2-l2a")
+    return found.select("scene_id", "tile", "collection", "cloud_pct")
+
+
 @_query
 def route_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.routed(fx.prompts(spark, sf)).drop("prompt")
@@ -293,7 +307,7 @@ def route_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_scene_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts to places of the built-in gazetteer to requests."""
     gazetteer_tables = places.built_in_locations(spark), places.built_in_aliases(spark)
-    asked = prompts.requested_scenes(fx.prompts(spark, sf), *gazetteer_tables)
+    asked = prompts.requested_scenes(fx.prompts(spark, sf), *gazetteer_tables, literal=True)
     return asked.select("conv_id", "turn", "name", "code", "cache_key", "size.width", "size.height")
 
 
@@ -320,6 +334,22 @@ def ingest_images(spark: SparkSession, sf: str) -> DataFrame:
     return images.colour_pixels(images.load_images(spark, f"{folder}/*.png", number))
 
 
+def _loaded(spark: SparkSession, pixels: DataFrame) -> DataFrame:
+    folder = new_folder(spark, "pngs")
+    fx.write_pngs(pixels, folder)
+    return images.load_images(spark, f"{folder}/*.png", F.regexp_extract("path", r"(\d+)\.png$", 1))
+
+
+@_query
+def ingest_images_gray(spark: SparkSession, sf: str) -> DataFrame:
+    return images.gray_pixels(_loaded(spark, GRAY(spark, sf)))
+
+
+@_query
+def ingest_images_rgb(spark: SparkSession, sf: str) -> DataFrame:
+    return images.colour_pixels(_loaded(spark, COLOUR(spark, sf).drop("a")))
+
+
 @_query
 def ingest_runs(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "runs")
@@ -399,6 +429,51 @@ def operation_chain_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return _chain(spark, sf).metadata.select("image_id", "step", "operation", F.explode("metadata"))
 
 
+def _after(steps: list[tuple[str, dict]], fixture: Query = GRAY) -> Query:
+    return lambda spark, sf: chain.run_chain(fixture(spark, sf), steps).image
+
+
+def _notes(result: chain.ChainResult) -> DataFrame:
+    return result.metadata.select("image_id", "step", "operation", F.explode("metadata"))
+
+
+QUERIES |= {
+    "chain_kmeans": _after([("kmeans", {"K": 6})]),
+    "chain_laplacian": _after([("negative", {}), ("laplacian", {})]),
+    "chain_gray_brightness": _after([("grayscale", {}), ("brightness", {"value": 40})], COLOUR),
+    "chain_compress": _on(GRAY, lambda p: _notes(chain.run_chain(p, [("huffman_compress", {})]))),
+    "chain_prompts": _on(
+        GRAY, lambda p: chain.run_prompts(p, ["make it negative", "What is this?", "Show F-7", "now a mean filter"]).image
+    ),
+}
+
+
+@_query
+def chain_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    found = chain.run_chain(GRAY(spark, sf), [("negative", {}), ("statistics", {})]).tables[1]
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std_dev")})
+
+
+@_query
+def chain_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    binned = chain.run_chain(GRAY(spark, sf), [("histogram", {"bins": 100})]).tables[0]
+    return binned.withColumns({"lo": F.round("lo", 9), "hi": F.round("hi", 9), "mass": F.round("mass", 6)})
+
+
+@_query
+def chain_distance(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _measures(spark, sf).select("image_id", "x1", "y1", "x2", "y2")
+    return _notes(chain.run_chain(None, [("distance", {"points": asked})]))
+
+
+@_query
+def chain_decompress(spark: SparkSession, sf: str) -> DataFrame:
+    pixels = GRAY(spark, sf)
+    books = settled(huffman.code_books(pixels))
+    segments = huffman.encode(pixels, books, segment=700)
+    return chain.run_chain(None, [("huffman_decompress", {"segments": segments, "books": books})]).image
+
+
 QUERIES |= {
     "huffman_codes": _on(GRAY, lambda p: huffman.code_table(huffman.code_books(p))),
     "huffman_sizes": _on(GRAY, lambda p: huffman.sizes(huffman.code_books(p), colour=False)),
@@ -413,19 +488,27 @@ def huffman_segments(spark: SparkSession, sf: str) -> DataFrame:
     return coded.select("image_id", "seg", "n_values", "payload_bits", F.hex("payload").alias("payload"))
 
 
-def _roundtrip(pixels: DataFrame, channels: int) -> DataFrame:
-    books = settle(huffman.code_books(pixels))
-    return huffman.decode(huffman.encode(pixels, books), books, channels)
+def _roundtrip(pixels: DataFrame, colour: bool = False) -> DataFrame:
+    books = settled(huffman.code_books(pixels))
+    return huffman.decode(huffman.encode(pixels, books), books, colour)
+
 
+QUERIES["huffman_roundtrip"] = _on(GRAY, _roundtrip)
+QUERIES["huffman_roundtrip_color"] = _on(COLOUR, lambda p: _roundtrip(p, True))
+QUERIES["huffman_roundtrip_rgb"] = lambda spark, sf: _roundtrip(ingest_images_rgb(spark, sf), True)
 
-QUERIES["huffman_roundtrip"] = _on(GRAY, lambda p: _roundtrip(p, 1))
-QUERIES["huffman_roundtrip_color"] = _on(COLOUR, lambda p: _roundtrip(p, 4))
+
+@_query
+def huffman_roundtrip_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A fleet in which every other image has no alpha."""
+    alpha = F.when(F.col("image_id") % 2 == 1, F.col("a"))
+    return _roundtrip(COLOUR(spark, sf).withColumn("a", alpha), True)
 
 
 @_query
 def huffman_lossless(spark: SparkSession, sf: str) -> DataFrame:
     pixels = GRAY(spark, sf)
-    return huffman.differing_pixels(pixels, _roundtrip(pixels, 1)).agg(F.count(F.lit(1)).alias("differing"))
+    return huffman.differing_pixels(pixels, _roundtrip(pixels)).agg(F.count(F.lit(1)).alias("differing"))
 
 
 @_query
@@ -433,3 +516,14 @@ def huffman_audit(spark: SparkSession, sf: str) -> DataFrame:
     pixels = GRAY(spark, sf)
     heads = huffman.container_heads(huffman.code_books(pixels), schema.image_shapes(pixels), colour=False)
     return huffman.audit(heads)
+
+
+@_query
+def huffman_audit_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Gray and colour containers as files, most of them damaged."""
+    folder = new_folder(spark, "containers")
+    for name, pixels, channels in (("gray", GRAY(spark, sf), 1), ("colour", COLOUR(spark, sf), 4)):
+        heads = huffman.container_heads(huffman.code_books(pixels), schema.image_shapes(pixels), name == "colour", channels)
+        fx.write_containers(heads.withColumn("path", F.concat(F.lit(f"{name}-"), "path")), f"{folder}/{name}")
+    found = huffman.audit(containers.read_containers(spark, f"{folder}/*/*.bin"))
+    return found.withColumn("path", F.regexp_extract("path", r"([^/]+)\.bin$", 1))

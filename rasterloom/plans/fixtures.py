@@ -10,20 +10,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 HEIGHT, WIDTH = 100, 64
 
 TEMPLATES = [
-    "Show me F-8 imagery",
-    "Load Centaurus",
-    "Fetch satellite imagery of NUST",
-    "Open Blue Area",
-    "Display I-8",
-    "What is NDVI?",
-    "Explain KMeans",
-    "Apply Mean Filter",
-    "Increase Brightness",
-    "Generate Histogram",
-    "Getting started",
-    "classify this area",
-    "use compression please",
-    "measure distance now",
+    "Show the G-9 satellite picture",
+    "Load Melody Market",
+    "Fetch sentinel imagery for PIMS",
+    "Open Lok Virsa",
+    "Display H-10",
+    "How is cloud cover measured?",
+    "Why do clusters differ",
+    "Smooth it with a mean filter",
+    "More brightness here",
+    "Plot the histogram",
+    "Get I-9",
+    "classify the northern part",
+    "apply compression now",
+    "distance between both corners",
 ]
 
 
@@ -117,6 +117,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('N-', o_custkey % 25) AS tile",
         "o_orderdate AS ts",
         "CAST((o_orderkey * 37) % 101 AS INT) AS cloud_pct",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'sentinel-2-l2a' ELSE 'landsat-c2' END AS collection",
     )
 
 
@@ -128,12 +129,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1t: every eighth turn keeps its text, the others take a template."""
+    """C1t: every text as it is, and beside each of them a template, 1000 turns later."""
     choices = F.array(*[F.lit(t) for t in TEMPLATES])
     pick = F.get(choices, ((F.col("conv_id") * 3 + F.col("turn")) % len(TEMPLATES)).cast("int"))
-    own = (F.col("conv_id") + F.col("turn")) % 8 == 7
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.when(own, F.col("text")).otherwise(pick).alias("prompt"))
+    both = F.array(F.struct("turn", F.col("text").alias("prompt")), F.struct((F.col("turn") + 1000).alias("turn"), pick.alias("prompt")))
+    return table(spark, sf_dir, "conversations").select("conv_id", F.inline(both))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,29 +161,63 @@ def edited_bounds(images: DataFrame) -> DataFrame:
 
 
 def write_pngs(pixels: DataFrame, folder: str) -> None:
-    """Write colour fixture rasters as PNG files ``<image_id>.png``; each of them is one small group."""
+    """Write fixture rasters as PNG files ``<image_id>.png``, each of them one small group; gray, RGB or RGBA by the columns."""
     import struct
     import zlib
 
     import pandas as pd
 
-    def png(cells: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
+    bands = [c for c in ("v", "r", "g", "b", "a") if c in pixels.columns]
+    kind = {1: 0, 3: 2, 4: 6}[len(bands)]
 
+    def png(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values(["y", "x"])
         height, width = int(cells.y.max()) + 1, int(cells.x.max()) + 1
-        rows = cells[["r", "g", "b", "a"]].to_numpy("uint8").reshape(height, width * 4)
+        rows = cells[bands].to_numpy("uint8").reshape(height, width * len(bands))
 
-        def chunk(kind: bytes, body: bytes) -> bytes:
-            return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        def chunk(name: bytes, body: bytes) -> bytes:
+            return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
-        head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+        head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
         body = zlib.compress(b"".join(b"\0" + row.tobytes() for row in rows))
         image = int(cells["image_id"].iloc[0])
-        store, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/{image}.png") as out:
-            out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b""))
+        _put(folder, f"{image}.png", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", body) + chunk(b"IEND", b""))
         return pd.DataFrame({"image_id": [image]})
 
     pixels.groupBy("image_id").applyInPandas(png, "image_id BIGINT").write.parquet(folder + "/written")
+
+
+def _put(folder: str, name: str, content: bytes) -> None:
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{name}") as out:
+        out.write(content)
+
+
+def write_containers(heads: DataFrame, folder: str) -> None:
+    """Write containers ``<path>.bin`` of the heads, with an empty payload; by the image's number some are damaged.
+
+    Of five images the second is cut inside its head, the third has another magic, the fourth misses its last byte
+    and the fifth has no rows.
+    """
+    import pandas as pd
+
+    def write(batches):
+        for batch in batches:
+            for path, length, content in zip(batch.path, batch.length, batch.content):
+                damage = int(path.rsplit("-", 1)[1]) % 5
+                whole = bytearray(bytes(content).ljust(length, b"\0"))
+                if damage == 1:
+                    whole = whole[:700]
+                elif damage == 2:
+                    whole[:4] = b"NONE"
+                elif damage == 3:
+                    whole = whole[:-1]
+                elif damage == 4:
+                    whole[4:8] = bytes(4)
+                _put(folder, f"{path}.bin", bytes(whole))
+            yield pd.DataFrame({"path": batch.path})
+
+    heads.mapInPandas(write, "path STRING").write.parquet(folder + "/written")

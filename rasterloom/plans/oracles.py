@@ -3,10 +3,37 @@
 from __future__ import annotations
 
 from rasterloom import fixed_values as fixed
-from rasterloom.functions.colour import default_colours, default_names, default_ranges, equal_ranges
-from rasterloom.functions.geo import composite_script
 from rasterloom.plans.fixtures import HEIGHT, TEMPLATES, WIDTH
 
+# expectations written out, not computed by the code they check
+PRESET = [(0, 69), (70, 85), (86, 130), (131, 145), (146, 216), (217, 255)]
+EQUAL = {
+    6: [(0, 41), (42, 84), (85, 127), (128, 169), (170, 212), (213, 255)],
+    7: [(0, 35), (36, 72), (73, 108), (109, 145), (146, 181), (182, 218), (219, 255)],
+    9: [(0, 27), (28, 55), (56, 84), (85, 112), (113, 141), (142, 169), (170, 198), (199, 226), (227, 255)],
+}
+PRESET_NAMES = [
+    "Shadows", "Dark Trees / Forest", "Buildings / Rooftops", "Bare Soil / Ground", "Grass / Lawn", "Buildings / Rooftops",
+]
+NAMES = [
+    "Shadows", "Dark Trees / Forest", "Roads / Pathways", "Bare Soil / Ground", "Grass / Lawn", "Buildings / Rooftops",
+    "Parking / Open Area", "Urban / Mixed", "Water Body",
+]
+PRESET_COLOURS = [(0, 0, 0), (0, 180, 0), (128, 128, 128), (100, 200, 0), (180, 180, 180), (255, 255, 255)]
+# hues of 255 * cluster / clusters degrees at saturation 180 and value 220
+COLOURS = {
+    7: [(220, 64, 64), (220, 158, 64), (189, 220, 64), (93, 220, 64), (64, 220, 129), (64, 215, 220), (64, 122, 220)],
+    9: [(220, 64, 64), (220, 137, 64), (220, 210, 64), (155, 220, 64), (83, 220, 64), (64, 220, 119), (64, 220, 194), (64, 174, 220), (64, 101, 220)],
+}
+DIMS = {
+    6: (PRESET, PRESET_NAMES, PRESET_COLOURS),
+    7: (EQUAL[7], NAMES[:7], COLOURS[7]),
+    9: (EQUAL[9], NAMES, COLOURS[9]),
+}
+SCRIPT = """//VERSION=3
+function setup() { return { input: ["B02", "B03", "B04"], output: { bands: 3 } }; }
+function evaluatePixel(px) { return [px.B04 * 2.5, px.B03 * 2.5, px.B02 * 2.5]; }"""
+
 
 def _level(e: str) -> str:
     return (
@@ -82,12 +109,14 @@ def _with(*parts: str) -> str:
 
 
 # -- k-means: the Lloyd step written out, frozen per image once it has converged ------------------
-def _lloyd(ranges: list[tuple[int, int]], steps: int = fixed.KMEANS_MAX_ITER) -> list[str]:
-    start = ", ".join(f"({i}, {(lo + hi) / 2.0}::DOUBLE)" for i, (lo, hi) in enumerate(ranges))
-    parts = [
-        f"c0 AS MATERIALIZED (SELECT image_id, cluster, centroid, false AS done, 0 AS it"
-        f" FROM (SELECT DISTINCT image_id FROM hist) CROSS JOIN (VALUES {start}) AS s(cluster, centroid))"
-    ]
+def _lloyd(ranges: list[tuple[int, int]] | str, steps: int = fixed.KMEANS_MAX_ITER) -> list[str]:
+    """From ranges that all images share, or from the name of a table of them."""
+    if isinstance(ranges, str):
+        start = f"(SELECT image_id, cluster, (lo + hi) / 2::DOUBLE AS centroid FROM {ranges})"
+    else:
+        rows = ", ".join(f"({i}, {(lo + hi) / 2.0}::DOUBLE)" for i, (lo, hi) in enumerate(ranges))
+        start = f"(SELECT DISTINCT image_id FROM hist) CROSS JOIN (VALUES {rows}) AS s(cluster, centroid)"
+    parts = [f"c0 AS MATERIALIZED (SELECT image_id, cluster, centroid, false AS done, 0 AS it FROM {start})"]
     for i in range(1, steps + 1):
         parts.append(
             f"""c{i} AS MATERIALIZED (
@@ -119,16 +148,14 @@ def _lloyd(ranges: list[tuple[int, int]], steps: int = fixed.KMEANS_MAX_ITER) ->
 
 
 def _kmeans(select: str, ranges: list[tuple[int, int]] | None = None) -> str:
-    return _with(R1, HIST, *_lloyd(ranges or equal_ranges(6)), select)
+    return _with(R1, HIST, *_lloyd(ranges or EQUAL[6]), select)
 
 
 # -- classification -------------------------------------------------------------------------------
 def _dims(k: int) -> str:
     rows = ", ".join(
         f"({i}, {lo}, {hi}, {_text(name)}, {r}, {g}, {b})"
-        for i, ((lo, hi), name, (r, g, b)) in enumerate(
-            zip(default_ranges(k), default_names(k), default_colours(k))
-        )
+        for i, ((lo, hi), name, (r, g, b)) in enumerate(zip(*DIMS[k]))
     )
     return f"dims AS (SELECT * FROM (VALUES {rows}) AS d(cluster, lo, hi, name, r, g, b))"
 
@@ -154,9 +181,15 @@ edited AS MATERIALIZED (
               WHEN e.cluster = d.cluster + 1 AND NOT e.upper_bound THEN greatest(0, e.value - 1) ELSE d.hi END AS INT) AS hi
   FROM totals t CROSS JOIN dims d JOIN edits e ON e.image_id = t.image_id)"""
 
+# the binary number, rounded once
+_SHOWN = "format('{:.1f}', c.n::DOUBLE / c.total * 100)"
 _LEGEND = (
-    "SELECT c.image_id, c.cluster, d.name, c.n, c.n::DOUBLE / c.total * 100 AS share, d.r, d.g, d.b"
-    " FROM counted c JOIN dims d ON d.cluster = c.cluster"
+    f"SELECT c.image_id, c.cluster, d.name, c.n, c.n::DOUBLE / c.total * 100 AS share, CAST({_SHOWN} AS DOUBLE) AS percent,"
+    f" concat(d.name, '-', {_SHOWN}, '%') AS text, d.r, d.g, d.b FROM counted c JOIN dims d ON d.cluster = c.cluster"
+)
+_COUNTS = (
+    f"SELECT image_id, cluster, lo, hi, n, n::DOUBLE / total * 100 AS share, CAST({_SHOWN} AS DOUBLE) AS percent,"
+    " lo > hi AS invalid FROM counted c"
 )
 
 
@@ -232,6 +265,22 @@ def _box(source: str, values: list[str], radius: int, extra: str = "") -> str:
   GROUP BY {group})"""
 
 
+def _fold(i: str, n: int) -> str:
+    """Mirrored position, however far outside."""
+    turn = f"((({i}) % {2 * (n - 1)}) + {2 * (n - 1)}) % {2 * (n - 1)}"
+    return f"least({turn}, {2 * (n - 1)} - ({turn}))"
+
+
+def _two_passes(source: str, radius: int) -> list[str]:
+    around = f"range(-{radius}, {radius + 1}) AS i(d)"
+    return [
+        f"wide AS MATERIALIZED (SELECT p.image_id, p.y, p.x, sum(o.v)::BIGINT AS s FROM {source} p CROSS JOIN {around}"
+        f" JOIN {source} o ON o.image_id = p.image_id AND o.y = p.y AND o.x = {_fold('p.x + d', WIDTH)} GROUP BY ALL)",
+        f"tall AS (SELECT p.image_id, p.y, p.x, sum(o.s)::BIGINT AS s FROM {source} p CROSS JOIN {around}"
+        f" JOIN wide o ON o.image_id = p.image_id AND o.x = p.x AND o.y = {_fold('p.y + d', HEIGHT)} GROUP BY ALL)",
+    ]
+
+
 # -- clicks ---------------------------------------------------------------------------------------
 PAIRS = f"""inside AS (SELECT * FROM e1 WHERE x BETWEEN 0 AND {WIDTH - 1} AND y BETWEEN 0 AND {HEIGHT - 1}
   AND image_id IN (SELECT vec_id // 100 FROM embeddings)),
@@ -245,8 +294,8 @@ pairs AS (SELECT user_id, event_id, image_id, x1, y1, x AS x2, y AS y2, unit, pp
 
 # -- prompts --------------------------------------------------------------------------------------
 PROMPTS = """prompts AS (
-  SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 8 = 7 THEN text
-         ELSE ([{}])[1 + (conv_id * 3 + turn) % {}] END AS prompt FROM conversations)""".format(
+  SELECT conv_id, turn, text AS prompt FROM conversations UNION ALL
+  SELECT conv_id, turn + 1000, ([{}])[1 + (conv_id * 3 + turn) % {}] FROM conversations)""".format(
     ", ".join(_text(t) for t in TEMPLATES), len(TEMPLATES)
 )
 
@@ -268,9 +317,7 @@ routed AS (
 
 
 def _cleaned() -> str:
-    answer = "|".join(fixed.ANSWER_HEADS)
-    heads = "|".join(fixed.REASONING_HEADS)
-    steps = "|".join(fixed.STEP_HEADS)
+    answer, heads, steps = "final answer|answer|response", "thinking process|reasoning|analysis|thought process", "step|stage"
     return f"""WITH answers AS (
   SELECT conv_id, turn, CASE (conv_id + turn) % 5
     WHEN 1 THEN concat('<think>', text, '</think>', text)
@@ -324,6 +371,31 @@ def _sizes(kind: str) -> str:
   FROM hist JOIN bits USING (image_id) GROUP BY 1"""
 
 
+def _audited(kind: str, channels: int) -> str:
+    """Container files of which four in five are damaged, as the fixture damages them."""
+    magic = fixed.GRAY_MAGIC if kind == "gray" else fixed.COLOUR_MAGIC
+    known = "CASE WHEN image_id % 5 = 2 THEN NULL ELSE {} END"
+    cells = HEIGHT * WIDTH * channels
+    version = known.format("1::BIGINT") if kind == "colour" else "NULL::BIGINT"
+    head = _HEAD[kind]
+    # a file that is cut at 700 bytes still has its first count entries
+    kept = (700 - (head - 1024)) // 4
+    counted = (
+        f"CASE WHEN image_id % 5 = 1 THEN (SELECT coalesce(sum(n), 0) FROM hist h WHERE h.image_id = bits.image_id AND h.v < {kept})"
+        f" WHEN image_id % 5 = 2 THEN NULL ELSE {cells} END::BIGINT"
+    )
+    whole = f"CAST({head} + ceil(payload_bits / 8.0) AS BIGINT)"
+    return f"""SELECT concat('{kind}-image-', image_id) AS path,
+  CASE image_id % 5 WHEN 1 THEN 700 WHEN 3 THEN {whole} - 1 ELSE {whole} END::BIGINT AS length,
+  {known.format(f"'{magic}'")} AS magic,
+  {known.format(f"CASE WHEN image_id % 5 = 4 THEN 0 ELSE {HEIGHT} END::BIGINT")} AS "rows",
+  {known.format(f"{WIDTH}::BIGINT")} AS cols, MISSING_CHANNELS AS channels, {known.format("payload_bits")} AS payload_bits,
+  {version} AS version, COUNTED AS counted,
+  CASE image_id % 5 WHEN 1 THEN 'truncated header' WHEN 2 THEN 'bad magic' WHEN 3 THEN 'payload length differs'
+       WHEN 4 THEN 'zero dimensions' END AS problem
+  FROM bits""".replace("MISSING_CHANNELS", known.format(f"{channels}::BIGINT")).replace("COUNTED", counted)
+
+
 def sql() -> dict[str, str]:
     out: dict[str, str] = {}
     r1 = lambda select: _with(R1, select)
@@ -373,6 +445,12 @@ def sql() -> dict[str, str]:
     out["mean_filter_color_5"] = _with(
         R2, _box("r2", ["b", "g", "r"], 2, "a"), f"SELECT image_id, y, x, {nearest}, a FROM box"
     )
+    out["mean_filter_gray_nearest"] = _with(
+        R1, _box("r1", ["v"], 2), "SELECT image_id, y, x, CAST((2 * v + 25) // 50 AS INT) AS v FROM box"
+    )
+    out["mean_filter_257"] = _with(
+        R1, *_two_passes("r1", 128), f"SELECT image_id, y, x, CAST(s // {257 * 257} AS INT) AS v FROM tall"
+    )
     sides = [(0, -1), (0, 1), (-1, 0), (1, 0)]
     offsets = ", ".join(f"({dy}, {dx})" for dy, dx in sides)
     out["laplacian"] = r1(
@@ -400,15 +478,23 @@ def sql() -> dict[str, str]:
         "SELECT image_id, CAST(l.v AS INT) AS v, cluster FROM fin CROSS JOIN range(256) AS l(v)"
         " QUALIFY row_number() OVER (PARTITION BY image_id, l.v ORDER BY abs(l.v - centroid), cluster) = 1"
     )
-    out["kmeans_from_ranges"] = _kmeans("SELECT image_id, cluster, centroid FROM fin", default_ranges(6))
+    out["kmeans_from_ranges"] = _kmeans("SELECT image_id, cluster, centroid FROM fin", PRESET)
+    out["kmeans_from_edited_ranges"] = _with(
+        R1, HIST, TOTALS, _dims(6), EDITED, *_lloyd("edited"), "SELECT image_id, cluster, centroid FROM fin"
+    )
+    out["kmeans_labels_150"] = _with(
+        R1, HIST, *_lloyd([(i * 256 // 150, (i + 1) * 256 // 150 - 1) for i in range(150)]),
+        "SELECT r1.image_id, y, x, max(cluster) AS cluster FROM r1 JOIN km ON km.image_id = r1.image_id"
+        " AND v BETWEEN lo AND hi GROUP BY 1, 2, 3",
+    )
 
     out["classify_counts"] = _with(
         R1, HIST, TOTALS, _dims(6), _counted("dims"),
-        "SELECT image_id, cluster, lo, hi, n, n::DOUBLE / total * 100 AS share, lo > hi AS invalid FROM counted",
+        _COUNTS,
     )
     out["classify_edit_bounds"] = _with(
         R1, HIST, TOTALS, _dims(6), EDITED, _counted("edited", "d.image_id = t.image_id"),
-        "SELECT image_id, cluster, lo, hi, n, n::DOUBLE / total * 100 AS share, lo > hi AS invalid FROM counted",
+        _COUNTS,
     )
     out["classify_recolor"] = _with(
         R1, HIST, TOTALS, _dims(6), EDITED, _recolour("edited", "e.image_id = r1.image_id")
@@ -417,18 +503,18 @@ def sql() -> dict[str, str]:
     out["land_cover_legend"] = _with(R1, HIST, TOTALS, _dims(6), _counted("dims"), _LEGEND)
     out["land_cover_legend_9"] = _with(R1, HIST, TOTALS, _dims(9), _counted("dims"), _LEGEND)
     out["land_cover_legend_kmeans"] = _with(
-        R1, HIST, *_lloyd(equal_ranges(6)), TOTALS, _dims(6), _counted("km", "d.image_id = t.image_id"), _LEGEND
+        R1, HIST, *_lloyd(EQUAL[6]), TOTALS, _dims(6), _counted("km", "d.image_id = t.image_id"), _LEGEND
     )
     labelled = (
         "lab AS (SELECT r1.image_id, y, x, max(cluster) AS cluster FROM r1 JOIN km ON km.image_id = r1.image_id"
         " AND v BETWEEN lo AND hi GROUP BY 1, 2, 3)"
     )
     out["land_cover_map"] = _with(
-        R1, HIST, *_lloyd(equal_ranges(6)), _dims(6), labelled,
+        R1, HIST, *_lloyd(EQUAL[6]), _dims(6), labelled,
         "SELECT image_id, y, x, lab.cluster, d.r, d.g, d.b FROM lab JOIN dims d ON d.cluster = lab.cluster",
     )
     out["map_recolor_bgr"] = _with(
-        R1, HIST, *_lloyd(equal_ranges(7)), _dims(7), labelled,
+        R1, HIST, *_lloyd(EQUAL[7]), _dims(7), labelled,
         "SELECT image_id, y, x, d.b, d.g, d.r FROM lab JOIN dims d ON d.cluster = lab.cluster",
     )
     out["distinct_values"] = _with(
@@ -472,7 +558,7 @@ def sql() -> dict[str, str]:
         G1, G2, RESOLVED, _boxed("resolved"),
         f"SELECT c_custkey, concat(translate(upper(trim(name)), ' /', '__'), '.png') AS cache_key, {size}, {corners},"
         f" '{fixed.SCENE_COLLECTION}' AS collection, '{fixed.SCENE_FROM}' AS date_from, '{fixed.SCENE_TO}' AS date_to,"
-        f" '{fixed.SCENE_ORDER}' AS mosaicking, {_text(composite_script())} AS script FROM boxed WHERE code IS NOT NULL",
+        f" '{fixed.SCENE_ORDER}' AS mosaicking, {_text(SCRIPT)} AS script FROM boxed WHERE code IS NOT NULL",
     )
 
     def requests(rule: str) -> list[str]:
@@ -510,6 +596,11 @@ def sql() -> dict[str, str]:
         " AND west <= 73.0 AND east >= 72.6 AND south <= 33.9 AND north >= 33.2",
     )
 
+    out["scene_search_collection"] = _with(
+        scenes,
+        "SELECT scene_id, tile, 'sentinel-2-l2a' AS collection, cloud_pct FROM scenes WHERE scene_id % 3 = 0"
+        " AND ts >= TIMESTAMP '1994-06-01' AND ts < TIMESTAMP '1995-06-01'",
+    )
     out["route_prompts"] = _with(PROMPTS, _routed(), "SELECT conv_id, turn, intent, location, operation, question FROM routed")
     out["intent_counts"] = _with(
         PROMPTS, _routed(), "SELECT intent, operation, count(*)::BIGINT AS n FROM routed GROUP BY 1, 2"
@@ -548,6 +639,8 @@ def sql() -> dict[str, str]:
     out["export_csv_matrix"] = r1(
         "SELECT image_id, y, string_agg(v::VARCHAR, ',' ORDER BY x) AS value FROM r1 GROUP BY 1, 2"
     )
+    out["ingest_images_gray"] = r1("SELECT image_id, y, x, v FROM r1")
+    out["ingest_images_rgb"] = r2("SELECT image_id, y, x, b, g, r, NULL::INT AS a FROM r2")
     out["ingest_images"] = r2("SELECT image_id, y, x, b, g, r, a FROM r2")
     out["ingest_runs"] = r1(
         "SELECT image_id::VARCHAR AS run, unnest(['operation', 'rows', 'cols', 'note']) AS key,"
@@ -588,6 +681,33 @@ def sql() -> dict[str, str]:
         f" CROSS JOIN (VALUES {rows}) AS m(step, operation, key, value)"
     )
 
+    out["chain_kmeans"] = _kmeans(
+        "SELECT r1.image_id, y, x, max(cluster) AS v FROM r1 JOIN km ON km.image_id = r1.image_id"
+        " AND v BETWEEN lo AND hi GROUP BY 1, 2, 3"
+    )
+    out["chain_laplacian"] = out["laplacian"]  # the sign goes, so the negative has the same edges
+    out["chain_gray_brightness"] = r2(f"SELECT image_id, y, x, greatest(0, least(255, {LUMA} + 40)) AS v FROM r2")
+    out["chain_statistics"] = r1(
+        "SELECT image_id, 255 - max(v) AS min_value, 255 - min(v) AS max_value, round(avg(255 - v), 6) AS mean,"
+        " round(stddev_pop(v), 6) AS std_dev FROM r1 GROUP BY 1"
+    )
+    out["chain_histogram"] = out["hist_rebin_100"]
+    out["chain_distance"] = _with(
+        E1, PAIRS,
+        "SELECT image_id, 0 AS step, 'distance' AS operation, unnest(['operation', 'x1', 'y1', 'x2', 'y2', 'distance']) AS key,"
+        " unnest(['distance', x1::VARCHAR, y1::VARCHAR, x2::VARCHAR, y2::VARCHAR, printf('%.3f', distance)]) AS value FROM pairs",
+    )
+    out["chain_compress"] = _huffman(
+        f"""SELECT image_id, 0 AS step, 'huffman_compress' AS operation,
+  unnest(['operation', 'rows', 'cols', 'original_bytes', 'compressed_bytes', 'payload_bits', 'unique_values']) AS key,
+  unnest(['huffman_compress', '{HEIGHT}', '{WIDTH}', sum(n)::VARCHAR,
+          CAST({_HEAD['gray']} + ceil(any_value(payload_bits) / 8.0) AS BIGINT)::VARCHAR, any_value(payload_bits)::VARCHAR,
+          count(*)::VARCHAR]) AS value
+  FROM hist JOIN bits USING (image_id) GROUP BY image_id"""
+    )
+    out["chain_decompress"] = r1("SELECT image_id, y, x, v FROM r1")
+    out["chain_prompts"] = _with(*chain, "SELECT image_id, y, x, CAST(v // 9 AS INT) AS v FROM box")
+
     out["huffman_codes"] = _huffman(
         "SELECT image_id, v, n, code, CAST(length(code) AS INT) AS code_len FROM codes JOIN hist USING (image_id, v)"
     )
@@ -606,6 +726,10 @@ FROM padded"""
     )
     out["huffman_roundtrip"] = r1("SELECT image_id, y, x, v FROM r1")
     out["huffman_roundtrip_color"] = r2("SELECT image_id, y, x, b, g, r, a FROM r2")
+    out["huffman_roundtrip_rgb"] = r2("SELECT image_id, y, x, b, g, r, NULL::INT AS a FROM r2")
+    out["huffman_roundtrip_mixed"] = r2(
+        "SELECT image_id, y, x, b, g, r, CASE WHEN image_id % 2 = 1 THEN a END AS a FROM r2"
+    )
     out["huffman_lossless"] = "SELECT 0::BIGINT AS differing"
     out["huffman_audit"] = _huffman(
         f"""SELECT concat('image-', image_id) AS path, CAST({_HEAD['gray']} + ceil(payload_bits / 8.0) AS BIGINT) AS length,
@@ -613,4 +737,9 @@ FROM padded"""
   NULL::BIGINT AS version, {HEIGHT * WIDTH}::BIGINT AS counted, NULL::VARCHAR AS problem
   FROM bits"""
     )
+    gray = _audited("gray", 1)
+    colour = _audited("colour", 4)
+    out["huffman_audit_files"] = (
+        f"SELECT * FROM ({_huffman(gray)}) UNION ALL SELECT * FROM ({_huffman(colour, R2, BYTE_HIST)})"
+    )
     return out

@@ -68,6 +68,14 @@ def test_silent_and_colour_steps(spark, raster):
     assert chain.run_chain(pixels, [("grayscale", {})]).image.first().v == 22
 
 
+def test_prompts_become_a_chain(gray, raster):
+    texts = ["Show F-7", "make it negative", "What is this?", "measure the distance", "raise the threshold"]
+    result = chain.run_prompts(gray(IMAGES), texts, {"threshold": {"value": 100}})
+    assert [notes(result)[i]["operation"] for i in (0, 1)] == ["negative", "threshold"]
+    assert (raster(result.image) == np.where(255 - IMAGES[0] > 100, 255, 0)).all()
+    assert chain.run_prompts(gray(IMAGES), ["hello"]).log == ["Done!"]
+
+
 def test_errors(gray):
     for steps, message in (
         ([("sharpen", {})], "Unsupported operation: sharpen"),

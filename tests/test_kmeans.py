@@ -15,6 +15,13 @@ IMAGES = {
 }
 
 
+def test_default_ranges_and_colours():
+    assert equal_ranges(5) == [(0, 50), (51, 101), (102, 152), (153, 203), (204, 255)]
+    assert default_ranges(6) == [(0, 69), (70, 85), (86, 130), (131, 145), (146, 216), (217, 255)]
+    assert default_ranges(4) == [(0, 63), (64, 127), (128, 191), (192, 255)]
+    assert default_colours(6)[3] == (100, 200, 0)
+
+
 def lloyd(image, ranges, max_iter=30):
     """Lloyd's algorithm over every pixel."""
     pixels = np.asarray(image, float).ravel()
@@ -136,6 +143,7 @@ def test_edited_bounds_move_one_neighbour(spark):
 
 def test_legend_keeps_equal_names_apart(gray):
     legend = classify.legend(histogram.image_counts(gray({0: IMAGES[0]})), 6).orderBy("cluster").collect()
+    assert all(r.text == f"{r.name}-{100 * r.n / 2500:.1f}%" for r in legend)
     assert [r.name for r in legend].count("Buildings / Rooftops") == 2
     assert sum(r.n for r in legend) == IMAGES[0].size and abs(sum(r.share for r in legend) - 100) < 1e-9
     assert (legend[1].r, legend[1].g, legend[1].b) == (0, 180, 0)
@@ -150,8 +158,33 @@ def test_land_cover_by_range_source(gray, raster):
     counts = {r.cluster: r.n for r in found.where("image_id = 1").collect()}
     labels = raster(picture, 1, "cluster")
     assert counts == {c: int((labels == c).sum()) for c in range(6)}
-    assert [r.n for r in preset.where("image_id = 1").collect()] == [
+    assert [r.n for r in preset.where("image_id = 1").orderBy("cluster").collect()] == [
         int(((image >= lo) & (image <= hi)).sum()) for lo, hi in default_ranges(6)
     ]
     with pytest.raises(KeyError):
         classify.land_cover(pixels, model, 6, "other")
+
+
+def test_percent_rounds_the_binary_number(spark):
+    """As text shows it, ties of the decimal spelling included."""
+    rows = [(t, n) for t in (400, 1000, 1600, 2000) for n in range(t + 1)]
+    shown = classify._shares(spark.createDataFrame([(0, 0, 0, 0, n, t) for t, n in rows], "image_id INT, cluster INT, lo INT, hi INT, n INT, total INT"))
+    for r in shown.collect():
+        assert r.percent == round(r.share, 1)
+    assert {r.percent for r in shown.where("n = 1").collect()} >= {0.1}
+
+
+def test_the_models_legend_needs_no_join(gray):
+    model = cluster.kmeans(gray(IMAGES), 6)
+    legend = classify.model_legend(model, 6)
+    plan = legend._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "rangepartitioning" not in plan
+    found = {(r.image_id, r.cluster): r.n for r in legend.collect()}
+    assert found == {(r.image_id, r.cluster): r.n for r in cluster.member_table(model).collect()}
+
+
+def test_more_clusters_than_a_byte_has_signed_values(gray, raster):
+    image = np.arange(256).reshape(16, 16)
+    model = cluster.kmeans(gray({0: image}), 150)
+    out = raster(cluster.with_cluster(gray({0: image}), model), value="cluster")
+    assert out.max() == 149 and (np.diff(out.ravel()) >= 0).all()

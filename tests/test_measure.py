@@ -39,6 +39,23 @@ def test_pairs_equal_a_replay(spark, bucket):
     assert found == expected and len(got) == len(expected)
 
 
+def test_sparse_ids_are_cut_by_count(spark, monkeypatch):
+    """Ids like clock values: stretches of equal width would hold one click each."""
+    rows = [(0, 10**15 + 7_919_000_000 * i, 0, i % 50, 0) for i in range(300)]
+    frame = spark.createDataFrame(rows, "user_id BIGINT, event_id BIGINT, image_id BIGINT, x INT, y INT")
+    cuts = measure._stretch_cuts(frame, 50)
+    assert len(cuts) == 5 and measure.pair_clicks(frame, 50).count() == 150
+    monkeypatch.setattr(measure, "STRETCHES", 3)
+    assert len(measure._stretch_cuts(frame, 50)) == 2
+    assert measure.pair_clicks(frame.limit(0)).count() == 0
+
+
+def test_clicks_without_user_or_id_are_left_out(spark):
+    rows = [(1, 1, 0, 0, 0), (None, 2, 0, 1, 1), (1, None, 0, 2, 2), (1, 3, 0, 3, 3)]
+    frame = spark.createDataFrame(rows, "user_id BIGINT, event_id BIGINT, image_id BIGINT, x INT, y INT")
+    assert [(r.x1, r.x2) for r in measure.pair_clicks(frame).collect()] == [(0, 3)]
+
+
 def test_bounds(spark):
     points = spark.createDataFrame(
         [(0, 0, 0), (0, 3, 1), (0, 4, 1), (0, -1, 0), (0, 2, 2), (9, 0, 0)], "image_id BIGINT, x INT, y INT"

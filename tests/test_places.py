@@ -93,6 +93,29 @@ def test_points_in_boxes(spark, broadcast_bytes):
     assert got == {(i, c) for i, lat, lon in points for c, w, s, e, n in boxes if w <= lon <= e and s <= lat <= n}
 
 
+def test_large_boxes_are_listed_under_few_cells(spark):
+    boxes = [("world", -180.0, -90.0, 180.0, 90.0), ("point", 1.0, 1.0, 1.0, 1.0), ("wide", -60.0, 0.99, 60.0, 1.01), ("none", 3.0, 3.0, 2.0, 2.0)]
+    table = spark.createDataFrame(
+        [(c, (w, s, e, n)) for c, w, s, e, n in boxes],
+        "code STRING, box STRUCT<west: DOUBLE, south: DOUBLE, east: DOUBLE, north: DOUBLE>",
+    )
+    points = spark.createDataFrame([(0, 1.0, 1.0), (1, 1.0, 61.0), (2, -90.0, 180.0)], "id INT, lat DOUBLE, lon DOUBLE")
+    got = {(r.id, r.code) for r in places.points_in_boxes(points, table).collect()}
+    assert got == {(0, "world"), (0, "point"), (0, "wide"), (1, "world"), (2, "world")}
+    assert places.points_in_boxes(points, table.limit(0)).count() == 0
+
+
+def test_literal_tables_are_not_computed_first(spark, gazetteer):
+    context = spark.sparkContext
+    context.setJobGroup("literal", "literal")
+    try:
+        found = places.resolve(names_of(spark, "nust"), *gazetteer, literal=True)
+        assert not context.statusTracker().getJobIdsForGroup("literal")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found.first().code == "H-12"
+
+
 def test_least_cloudy_breaks_ties(spark):
     rows = [(1, "t", "2026-01-01", 5), (2, "t", "2026-02-01", 5), (3, "t", "2026-02-01", 5), (4, "u", "2026-01-01", 90)]
     scenes = spark.createDataFrame(rows, "scene_id BIGINT, tile STRING, day STRING, cloud_pct INT").withColumn(

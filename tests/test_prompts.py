@@ -62,6 +62,12 @@ def test_long_answers_are_cleaned_whole(spark):
     assert prompts.cleaned(frame).first().cleaned == ("tail " * 40_000).strip()
 
 
+def test_operations_asked_for(spark):
+    frame = spark.createDataFrame([(0, "show x"), (1, "run kmeans"), (2, "why?"), (3, "negative please")], "turn INT, prompt STRING")
+    found = prompts.operations(frame)
+    assert [(r.turn, r.operation) for r in found.orderBy("turn").collect()] == [(1, "kmeans"), (3, "negative")]
+
+
 def test_intent_counts(spark):
     frame = spark.createDataFrame([("show x",), ("show y",), ("kmeans",)], "prompt STRING")
     assert {(r.intent, r.operation, r.n) for r in prompts.intent_counts(frame).collect()} == {

@@ -3,14 +3,29 @@
 import os
 import subprocess
 import sys
+import uuid
 
 import pytest
 
 import __spark_entry__ as entry
 import check
+from rasterloom.plans import catalog, oracles
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = oracles.sql()
+# jobs that run while the plan is built: tables that the operators' documents say are settled, files that are written
+SETTLED = {
+    "chain_decompress": 18, "huffman_roundtrip_rgb": 16, "huffman_audit_files": 14, "scenes_uncached": 11,
+    "scenes_uncached_dash": 11, "scenes_cached": 11, "inspect_points": 10, "inspect_points_color": 10, "resolve_places": 10,
+    "place_bboxes": 10, "scene_requests": 10, "huffman_segments": 10, "huffman_roundtrip": 10, "huffman_roundtrip_color": 10,
+    "huffman_roundtrip_mixed": 10, "huffman_lossless": 10, "classify_recolor": 9, "distance_pairs": 9, "distance_units": 9,
+    "ingest_csv_matrix": 9, "chain_distance": 9, "chain_kmeans": 8, "kmeans_labels": 7, "kmeans_labels_150": 7,
+    "land_cover_map": 7, "map_recolor_bgr": 7, "points_in_sector": 7, "gazetteer_load": 6, "scene_search": 5,
+    "centroid_drift": 5, "save_result": 5, "ingest_centroids": 4, "ingest_ranges": 4, "chain_prompts": 4,
+    "kmeans_from_edited_ranges": 3, "classify_edit_bounds": 3, "ingest_images": 3, "ingest_images_gray": 3,
+    "ingest_images_rgb": 3, "ingest_runs": 3, "operation_chain": 3, "operation_chain_metadata": 3, "chain_laplacian": 3,
+    "chain_gray_brightness": 3, "chain_compress": 3, "chain_statistics": 3, "chain_histogram": 3,
+}
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +35,28 @@ def con(sf):
 
 def test_every_query_has_sql():
     assert sorted(QUERIES) == sorted(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SETTLED)))
+def test_plans_are_built_without_jobs(name, spark, sf):
+    """But for one that reads the schema of a table."""
+    assert _jobs(spark, lambda: QUERIES[name](spark, sf)) <= 1
+
+
+@pytest.mark.parametrize("name", ["kmeans_labels", "huffman_roundtrip", "resolve_places", "operation_chain"])
+def test_settled_tables_are_settled_once(name, spark, sf):
+    assert _jobs(spark, lambda: QUERIES[name](spark, sf)) <= SETTLED[name]
+
+
+def _jobs(spark, build):
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, group)
+    try:
+        build()
+        return len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
