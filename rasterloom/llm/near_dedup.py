@@ -157,19 +157,27 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
     each = chosen.select("class", "n", F.explode("shingles").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = each.join(shared, "shingle").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("lists"))
-    # of n shingles a similar set holds at least percent/100, so it holds one of the n - that + 1 rarest
-    room = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - (F.col("n") - F.size("lists"))
-    listed = own.where(room > 0).select("class", "n", F.explode(F.slice("lists", F.lit(1), room.cast("int"))).alias("list"))
+    # Shingles are in the order of rarity, those of one class only first. Of two similar sets of n >= m shingles the
+    # first common one leaves room behind it, in both, for all they must share: percent / (100 + percent) of n + m.
+    # That is at least percent / 100 of n, and 2 percent / (100 + percent) of m, which bounds its place in either.
+    alone = F.col("n") - F.size("lists")
+    reach = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    own = own.where(reach > alone).withColumn("alone", alone)
+    listed = own.select("class", "n", "alone", F.posexplode(F.slice("lists", F.lit(1), (reach - F.col("alone")).cast("int"))).alias("i", "list"))
     listed = listed.join(roots, F.col("class") == F.col("node"), "left").select(
-        F.col("list.shingle").alias("shingle"), "class", "n", F.coalesce("root", "class").alias("root")
+        F.col("list.shingle").alias("shingle"), "class", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.coalesce("root", "class").alias("root")
     )
     listed = stored(listed)
     mixed = listed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     listed = listed.join(mixed, "shingle", "left_semi")
-    other = listed.select("shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"))
-    fits = (F.col("class") < F.col("b")) & (F.col("root") != F.col("s")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    pairs = listed.join(other, "shingle").where(fits)
-    return pairs.select(F.col("class").alias("a"), "b").distinct()
+    share = f"({percent} * {{}} + {99 + percent}) div {100 + percent}"  # rounded up
+    smaller = listed.select(
+        "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("s")
+    ).where(F.col("rest") >= F.expr(share.format("2 * m")))
+    fits = (F.col("root") != F.col("s")) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("b") < F.col("class")))
+    fits = fits & (F.least("left", "rest") >= F.expr(share.format("(n + m)")))
+    pairs = listed.join(smaller, "shingle").where(fits)
+    return pairs.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
 
 
 def near_duplicates(
