@@ -43,7 +43,7 @@ ENDS = {
 }
 FURNITURE = frozenset(
     "head script style noscript template nav footer aside form button input select textarea iframe object embed applet svg canvas"
-    " dialog menu title audio video map xmp noembed noframes datalist".split()
+    " dialog menu title audio video map xmp noembed noframes datalist fieldset".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
 NAMES = frozenset(
@@ -51,7 +51,9 @@ NAMES = frozenset(
     " promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe"
     " subscription signup login paywall sidebar sidebars rail widget widgets menu menus nav navbar navigation navi breadcrumb"
     " breadcrumbs pagination pager toolbar topbar header masthead footer copyright social share sharing sharebar related recommended"
-    " recommendations trending comment comments commentlist reply replies respond disqus discussion outbrain taboola skip".split()
+    " recommendations trending comment comments commentlist reply replies respond responses feedback disqus discussion outbrain"
+    " taboola skip aside promoted advertorial disclaimer announcement topnav subnav mainnav sidenav sitenav crumbs siteheader"
+    " pageheader sitefooter pagefooter".split()
 )
 COMMENT_NAMES = frozenset("comment comments commentlist respond disqus replies".split())
 ARTICLE_NAMES = frozenset("article entry post content title story".split())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -135,6 +136,18 @@ def best_url_rule(url, rules):
     return host, path, best and best.host + best.path, best.verdict if best else "allow"
 
 
+def best_fit(counts, capacity):
+    """Sequences that plain best fit needs, longest pieces first."""
+    gaps, n = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            i = bisect_left(gaps, length)
+            gap = gaps.pop(i) if i < len(gaps) else capacity
+            n += gap == capacity
+            insort(gaps, gap - length)
+    return n
+
+
 def walk(text, notes):
     """One text's fingerprint, step by step; notes: module with the shared random functions."""
     codes, at, step, octave, out = notes._codes(text), 0, 1, 0, ""

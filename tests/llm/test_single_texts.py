@@ -299,9 +299,14 @@ def test_plans_use_every_piece_once_and_waste_little(seed):
     plan = packing.plan(counts, capacity)
     assert _used(plan) == counts
     assert all(0 < sum(n * c for n, c in pattern) <= capacity for pattern, _ in plan)
-    total = sum(n * c for n, c in counts.items())
-    big = sum(c for n, c in counts.items() if 2 * n > capacity)
-    assert sum(times for _, times in plan) <= 1.25 * max(-(-total // capacity), big) + 2
+    assert sum(times for _, times in plan) <= 1.02 * brute.best_fit(counts, capacity) + 2
+
+
+def test_lengths_as_documents_have_them_leave_next_to_no_room():
+    rng = random.Random(1)
+    lengths = [min(1024, max(1, int(rng.lognormvariate(5.8, 1)))) for _ in range(30_000)]
+    plan = packing.plan({n: lengths.count(n) for n in set(lengths)}, 1024)
+    assert sum(times for _, times in plan) <= 1.001 * sum(lengths) / 1024
 
 
 def test_exact_complements_are_found():
