@@ -20,8 +20,8 @@ from rasterloom.llm.arrow import ddl, extended, slices, without
 
 UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 4000  # expected labelled rows per language that the model is fitted on
-WORD_ENTRIES = 200_000  # over all languages
-GRAM_ENTRIES = 200_000
+WORD_ENTRIES = 100_000  # over all languages
+GRAM_ENTRIES = 100_000
 SIZES = (4, 3, 2, 1)  # of the n-grams, longest first
 LEARNED_WORDS = 200_000  # unseen words whose scores a task remembers
 CERTAIN_WORDS = 20  # words after which more text no longer sharpens the score
@@ -76,24 +76,25 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _table(langs: list[str], rows: list, totals: dict, key: str) -> tuple[list[str], np.ndarray]:
-    """Log frequency of each entry in each language, half a count added."""
-    names = sorted({r[key] for r in rows})
-    place, column = {w: i for i, w in enumerate(names)}, {x: i for i, x in enumerate(langs)}
-    counts = np.zeros((len(names), len(langs)))
-    for r in rows:
-        counts[place[r[key]], column[r["lang"]]] = r["n"]
-    size = np.array([[totals.get((x, len(w) if key == "gram" else 0), 0) for x in langs] for w in names]).reshape(len(names), len(langs))
-    return names, (np.log(counts + 0.5) - np.log(size + 0.5 * (len(names) + 1))).astype(np.float32)
+def _table(langs: list[str], rows: pa.Table, key: str, totals: dict[tuple[str, int], int]) -> tuple[list[str], np.ndarray]:
+    """Log frequency of each entry in each language, half a count added; ``totals`` by language and length (words: 0)."""
+    coded = rows[key].combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    counts = np.zeros((len(names), len(langs)), np.float32)
+    counts[coded.indices.to_numpy(), np.searchsorted(np.array(langs), rows["lang"].to_pylist()) if len(rows) else []] = rows["n"].to_numpy()
+    length = np.array([len(w) if key == "gram" else 0 for w in names], np.int64)
+    lengths = range(length.max(initial=0) + 1)
+    size = np.array([[totals.get((x, n), 0) for x in langs] for n in lengths], np.float32).reshape(len(lengths), len(langs))
+    return names, np.log(counts + 0.5) - np.log(size[length] + 0.5 * (len(names) + 1))
 
 
 class Model:
     """Languages, and per word and n-gram a row of log frequencies; at most the documented entries."""
 
-    def __init__(self, langs: list[str], words: list, word_totals: dict, grams: list, gram_totals: dict):
+    def __init__(self, langs: list[str], words: pa.Table, grams: pa.Table, word_totals: dict, gram_totals: dict):
         self.langs = langs
-        self.words, self.word_rows = _table(langs, words, {(k, 0): v for k, v in word_totals.items()}, "word")
-        self.grams, self.gram_rows = _table(langs, grams, gram_totals, "gram")
+        self.words, self.word_rows = _table(langs, words, "word", word_totals)
+        self.grams, self.gram_rows = _table(langs, grams, "gram", gram_totals)
 
 
 def fit(
@@ -112,18 +113,17 @@ def fit(
     counted = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = counted.persist()
     try:
-        word_totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        langs = sorted(word_totals)
-        words = counted.orderBy(F.desc("n"), "lang", "word").limit(WORD_ENTRIES).collect()
+        word_totals = {(r["lang"], 0): r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        words = counted.orderBy(F.desc("n"), "lang", "word").limit(WORD_ENTRIES).toArrow()
         grams = counted.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         grams = grams.persist()
         size = F.length("gram").alias("size")
         gram_totals = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", size).agg(F.sum("n").alias("n")).collect()}
-        chosen = grams.orderBy(F.desc("n"), "lang", "gram").limit(GRAM_ENTRIES).collect()
+        chosen = grams.orderBy(F.desc("n"), "lang", "gram").limit(GRAM_ENTRIES).toArrow()
         grams.unpersist()
     finally:
         counted.unpersist()
-    return Model(langs, words, word_totals, chosen, gram_totals)
+    return Model(sorted(lang for lang, _ in word_totals), words, chosen, word_totals, gram_totals)
 
 
 class Scores(dict):
