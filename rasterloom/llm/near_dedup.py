@@ -106,7 +106,8 @@ def _postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """Prefix of every signature: its rarest pairs that others share, with the class's centrality."""
     pairs = F.transform("signature", lambda v, i: F.shiftleft(v.cast("long"), 6).bitwiseOR(i.cast("long")))
     posted = classes.select("class", F.explode(pairs).alias("pair"))
-    shared = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own, so that Spark can split the rows of a hot pair in the join
+    shared = stored(posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     own = posted.join(shared, "pair").groupBy("class").agg(
         F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("lists"), F.sum(F.log2("n")).alias("central")
     )
@@ -155,29 +156,35 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
 
     chosen = texts.join(members, "class", "left_semi").select("class", "text").mapInArrow(sets, "class long, n long, shingles array<long>")
     each = chosen.select("class", "n", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = stored(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     own = each.join(shared, "shingle").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("lists"))
     # Shingles are in the order of rarity, those of one class only first. Of two similar sets of n >= m shingles the
     # first common one leaves room behind it, in both, for all they must share: percent / (100 + percent) of n + m.
     # That is at least percent / 100 of n, and 2 percent / (100 + percent) of m, which bounds its place in either.
     alone = F.col("n") - F.size("lists")
     reach = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    own = own.where(reach > alone).withColumn("alone", alone)
-    listed = own.select("class", "n", "alone", F.posexplode(F.slice("lists", F.lit(1), (reach - F.col("alone")).cast("int"))).alias("i", "list"))
+    own = own.where(reach > alone).select("class", "n", alone.alias("alone"), F.slice("lists.shingle", F.lit(1), (reach - alone).cast("int")).alias("prefix"))
+    listed = own.select("class", "n", "alone", "prefix", F.posexplode("prefix").alias("i", "shingle"))
     listed = listed.join(roots, F.col("class") == F.col("node"), "left").select(
-        F.col("list.shingle").alias("shingle"), "class", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.coalesce("root", "class").alias("root")
+        "shingle",
+        "class",
+        "n",
+        (F.col("n") - F.col("alone") - F.col("i")).alias("left"),
+        F.coalesce("root", "class").alias("root"),
+        F.slice("prefix", F.lit(1), F.col("i")).alias("earlier"),
     )
     listed = stored(listed)
     mixed = listed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     listed = listed.join(mixed, "shingle", "left_semi")
     share = f"({percent} * {{}} + {99 + percent}) div {100 + percent}"  # rounded up
     smaller = listed.select(
-        "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("s")
+        "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("s"), F.col("earlier").alias("before")
     ).where(F.col("rest") >= F.expr(share.format("2 * m")))
     fits = (F.col("root") != F.col("s")) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("b") < F.col("class")))
-    fits = fits & (F.least("left", "rest") >= F.expr(share.format("(n + m)")))
+    # a pair is made once, at its first common shingle
+    fits = fits & (F.least("left", "rest") >= F.expr(share.format("(n + m)"))) & ~F.arrays_overlap("earlier", "before")
     pairs = listed.join(smaller, "shingle").where(fits)
-    return pairs.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
+    return pairs.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
 
 
 def near_duplicates(
@@ -205,7 +212,7 @@ def near_duplicates(
 
     postings = stored(_postings(classes, coordinates, matches))
     hubs = postings.groupBy("pair").agg(F.max(F.struct("central", "class")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    spokes = postings.join(hubs.select("pair", F.col("hub.class").alias("hub")), "pair").where("class <> hub")
+    spokes = postings.join(stored(hubs.select("pair", F.col("hub.class").alias("hub"))), "pair").where("class <> hub")
     pairs = stored(spokes.select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct())
     involved = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = stored(classes.join(involved, "class", "left_semi").select("doc_id", "text_hash", "class", "signature"))
