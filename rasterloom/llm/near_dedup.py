@@ -29,6 +29,7 @@ from rasterloom.session import stored
 SHINGLE = 5
 COORDINATES = 32
 PERCENT = 80  # of the union that two sets must share
+PARITY = 8  # 64-bit words of parities of a set
 MISS = 1e-7  # chance that a link at the very threshold falls below the matches asked for
 
 
@@ -150,11 +151,17 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
             for part in slices(batch, "text"):
                 found = shingler.sets(part.column("text"))
                 counts = [len(s) for s in found]
+                # parity of the shingles that fall on each bit; bits that differ are shingles that are not common
+                odd = [np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY) & 1).view(np.int64) for s in found]
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(counts, pa.int64()), lists], names=["class", "n", "shingles"])
+                bits = np.stack(odd).T if odd else np.zeros((PARITY, 0), np.int64)
+                arrays = [part.column("class"), pa.array(counts, pa.int64()), lists, *(pa.array(b) for b in bits)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "shingles", *parity])
 
-    chosen = texts.join(members, "class", "left_semi").select("class", "text").mapInArrow(sets, "class long, n long, shingles array<long>")
+    parity = [f"p{k}" for k in range(PARITY)]
+    schema = "class long, n long, shingles array<long>, " + ", ".join(f"{p} long" for p in parity)
+    chosen = stored(texts.join(members, "class", "left_semi").select("class", "text").mapInArrow(sets, schema))
     each = chosen.select("class", "n", F.explode("shingles").alias("shingle"))
     shared = stored(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     own = each.join(shared, "shingle").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("lists"))
@@ -173,16 +180,22 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
         F.coalesce("root", "class").alias("root"),
         F.slice("prefix", F.lit(1), F.col("i")).alias("earlier"),
     )
+    listed = listed.join(chosen.select("class", *parity), "class")
     listed = stored(listed)
     mixed = listed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     listed = listed.join(mixed, "shingle", "left_semi")
     share = f"({percent} * {{}} + {99 + percent}) div {100 + percent}"  # rounded up
     smaller = listed.select(
-        "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("s"), F.col("earlier").alias("before")
+        "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("s"), F.col("earlier").alias("before"),
+        *(F.col(p).alias(f"o{p}") for p in parity),
     ).where(F.col("rest") >= F.expr(share.format("2 * m")))
     fits = (F.col("root") != F.col("s")) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("b") < F.col("class")))
+    common = F.expr(share.format("(n + m)"))
+    # sets of n and m shingles of which d are not common share (n + m - d) / 2
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}"))) for p in parity), F.lit(0))
+    fits = fits & (F.least("left", "rest") >= common) & (F.col("n") + F.col("m") - apart >= 2 * common)
     # a pair is made once, at its first common shingle
-    fits = fits & (F.least("left", "rest") >= F.expr(share.format("(n + m)"))) & ~F.arrays_overlap("earlier", "before")
+    fits = fits & ~F.arrays_overlap("earlier", "before")
     pairs = listed.join(smaller, "shingle").where(fits)
     return pairs.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
 
