@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.llm.arrow import without
+from rasterloom.llm.texts import FETCH_BYTES
+from rasterloom.operators.lookup import fits_broadcast
 from rasterloom.session import settle, stored
 
 # fixed values: the patterns of the kinds, in the order of listing, and the parts and digits that make a match valid
@@ -110,12 +112,30 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(body.alias("text"), F.md5(body.cast("binary")).alias("text_key"))
+
+
+def term_counts(docs: DataFrame, copies: DataFrame, text: str = "text") -> DataFrame:
+    """Per term the number of distinct texts that hold it; ``copies`` has the keys of texts in several rows, and how many.
+
+    All n rows of a text hold the same words, so the rows counted for a term among texts of n rows are n times its
+    texts. No text is shuffled while the keys of copied texts fit a broadcast.
+    """
+    given = copies.select(F.col("text_key").alias("_llm_key"), "n")
+    side = F.broadcast(given) if fits_broadcast(given, 56, FETCH_BYTES) else given
+    rows = _texts(docs, text).join(side, F.col("text_key") == F.col("_llm_key"), "left")
+    words = rows.select(F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    counted = words.where(F.length("term") > 2).groupBy("term", "n").agg(F.count(F.lit(1)).alias("held"))
+    return counted.groupBy("term").agg(F.sum(F.expr("held div n")).alias("with_term"))
+
+
 def disclosing_terms(docs: DataFrame, seen: DataFrame, text: str = "text", contexts: int = CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """Pairs (value, term) in which the term gives away at least ``disclosure`` of the value's information.
 
-    With p over documents: log(p(value, term) / (p(value) p(term))) >= disclosure * -log p(value). Documents of equal
-    text count once for the contexts, so that copies of one text do not make a term disclose anything. The term's
-    frequency is counted over all documents.
+    With p over distinct texts: log(p(value, term) / (p(value) p(term))) >= disclosure * -log p(value). All four
+    counts are of distinct texts, so that copies of one text neither make a term disclose anything nor hide that it does.
     """
     pairs = seen.select("text_key", "value", F.explode("near").alias("term"), F.xxhash64("near").alias("context"))
     pairs = pairs.where(F.length("term") > 2)
@@ -124,10 +144,10 @@ def disclosing_terms(docs: DataFrame, seen: DataFrame, text: str = "text", conte
     both = settle(both)
     if both.isEmpty():
         return both.select("value", "term", F.lit(0.0).alias("ratio"))
-    words = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text).cast("string"), F.lit(""))))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    keys = stored(_texts(docs, text).groupBy("text_key").agg(F.count(F.lit(1)).alias("n")))
+    n = keys.count()
+    terms = term_counts(docs, stored(keys.where("n > 1")), text)
     values = seen.groupBy("value").agg(F.countDistinct("text_key").alias("with_value"))
-    n = docs.count()
     found = both.join(terms, "term").join(values, "value")
     own = -F.log(F.col("with_value") / F.lit(float(max(n, 2))))
     mutual = F.log(F.col("both") * F.lit(float(max(n, 2))) / (F.col("with_value") * F.col("with_term")))

@@ -216,6 +216,18 @@ def test_a_term_that_gives_a_value_away_is_a_span(documents):
     assert narrow.columns == ["doc_id", "base", "spans"] and _spans(narrow) == got
 
 
+def test_copies_of_a_text_do_not_hide_a_term(documents):
+    """One of the five texts that hold value and term is in many rows; each count takes it once."""
+    names = "alpha beta gamma delta epsilon zeta".split()
+    pairs = [(i, f"the {names[i]} project of Zyxwort {names[-i]} writes from boss@corp.example about the {names[i]} work") for i in range(5)]
+    pairs += [(1000 + i, pairs[2][1]) for i in range(300)]
+    pairs += [(100 + i, f"the plain text {i} {chr(97 + i % 26)}{chr(97 + i // 26)}q about the {names[i % 6]} work and project that writes of nothing from here") for i in range(200)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.all_spans(documents(pairs)).collect()}
+    for i in (*range(5), 1000, 1299):
+        at = dict(pairs)[i].index("Zyxwort")
+        assert ("term", at, at + 7) in got[i]
+
+
 # --- fingerprints
 
 
