@@ -2,8 +2,7 @@
 
 Four kinds are found by pattern. The corpus then says which words disclose a found value: a word's pointwise mutual
 information with the value, over the documents, relative to the value's own information. A word that exceeds the
-threshold, and was seen next to the value in several different contexts, is generalised wherever a document holds
-both.
+threshold, and was seen with the value in several different texts, is generalised wherever a document holds both.
 """
 
 from __future__ import annotations
@@ -34,8 +33,7 @@ _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 TERM = "term"
 WORD = r"[\p{L}\p{M}]+"
-CONTEXT_CHARS = 80  # on either side of a value
-CONTEXTS = 3  # different contexts a term must share with a value
+CONTEXTS = 3  # different texts a term must share with a value
 DISCLOSURE = 0.9  # part of a value's information that a term may not give away
 
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -97,19 +95,22 @@ def _words(text: Column) -> Column:
 
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per span: a key of the text, the value it shows, and the words around it. Equal texts share their key."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(body.alias("text"), base_spans(body).alias("spans")).where(F.size("spans") > 0)
-    rows = rows.select("text", F.md5(F.col("text").cast("binary")).alias("text_key"), F.explode("spans").alias("span"))
-    start, end = F.col("span.start"), F.col("span.end")
-    left = _cut(F.col("text"), F.greatest(start - CONTEXT_CHARS, F.lit(0)), start)
-    right = _cut(F.col("text"), end, end + CONTEXT_CHARS)
-    # the outermost word on either side may be cut off
-    near = F.concat(F.expr("slice(l, 2, 1000)"), F.expr("slice(r, 1, greatest(size(r) - 1, 0))"))
-    return (
-        rows.withColumns({"l": _words(left), "r": _words(right)})
-        .select("text_key", F.concat_ws(":", "span.kind", F.lower(_cut(F.col("text"), start, end))).alias("value"), F.array_distinct(near).alias("near"))
+    """One row per distinct text with spans: its key, the values it shows, and all its distinct words of three letters or more."""
+    rows = _texts(docs, text).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(_cut(F.col("text"), s["start"], s["end"]))))
+    words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: F.length(w) > 2)
+    return rows.select("text_key", F.array_distinct(shown).alias("values"), words.alias("words")).dropDuplicates(["text_key"])
+
+
+def value_classes(seen: DataFrame) -> DataFrame:
+    """Rows (text_key, class, with_value): values of the very same texts are one class, named by the smallest of them."""
+    held = seen.select("text_key", F.explode("values").alias("value"))
+    # a set of texts is known by its size and 128 bits
+    place = held.groupBy("value").agg(
+        F.count(F.lit(1)).alias("with_value"), F.bit_xor(F.xxhash64("text_key")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "text_key")).alias("h2")
     )
+    names = place.groupBy("with_value", "h1", "h2").agg(F.min("value").alias("class")).select("class", "with_value")
+    return held.join(names, F.col("value") == F.col("class")).select("text_key", "class", "with_value")
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -131,36 +132,38 @@ def term_counts(docs: DataFrame, copies: DataFrame, text: str = "text") -> DataF
     return counted.groupBy("term").agg(F.sum(F.expr("held div n")).alias("with_term"))
 
 
-def disclosing_terms(docs: DataFrame, seen: DataFrame, text: str = "text", contexts: int = CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Pairs (value, term) in which the term gives away at least ``disclosure`` of the value's information.
+def disclosing_terms(
+    docs: DataFrame, seen: DataFrame, classes: DataFrame, text: str = "text", support: int = CONTEXTS, disclosure: float = DISCLOSURE
+) -> DataFrame:
+    """Pairs (class, term) in which the term gives away at least ``disclosure`` of the information of the class's values.
 
-    With p over distinct texts: log(p(value, term) / (p(value) p(term))) >= disclosure * -log p(value). All four
-    counts are of distinct texts, so that copies of one text neither make a term disclose anything nor hide that it does.
+    With p over distinct texts: log(p(value, term) / (p(value) p(term))) >= disclosure * -log p(value), the term being
+    anywhere in a text of the value. All four counts are of distinct texts, so that copies of one text neither make a
+    term disclose anything nor hide that it does.
     """
-    pairs = seen.select("text_key", "value", F.explode("near").alias("term"), F.xxhash64("near").alias("context"))
-    pairs = pairs.where(F.length("term") > 2)
-    both = pairs.groupBy("value", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("text_key").alias("both"))
-    both = both.where(F.col("contexts") >= contexts)
-    both = settle(both)
-    if both.isEmpty():
-        return both.select("value", "term", F.lit(0.0).alias("ratio"))
+    none = classes.limit(0).select("class", F.lit("").alias("term"), F.lit(0.0).alias("ratio"))
+    if classes.isEmpty():
+        return none
     keys = stored(_texts(docs, text).groupBy("text_key").agg(F.count(F.lit(1)).alias("n")))
-    n = keys.count()
-    terms = term_counts(docs, stored(keys.where("n > 1")), text)
-    values = seen.groupBy("value").agg(F.countDistinct("text_key").alias("with_value"))
-    found = both.join(terms, "term").join(values, "value")
-    own = -F.log(F.col("with_value") / F.lit(float(max(n, 2))))
-    mutual = F.log(F.col("both") * F.lit(float(max(n, 2))) / (F.col("with_value") * F.col("with_term")))
-    return found.withColumn("ratio", mutual / own).where(F.col("ratio") >= disclosure).select("value", "term", "ratio")
-
-
-def term_spans(docs: DataFrame, seen: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    n = float(max(keys.count(), 2))
+    # A value and a term share at most the value's texts, so a term of more texts than this discloses no value of so
+    # many texts. Only such pairs are made; no term that could pass is left out.
+    most = n ** (1 - disclosure) * F.pow(F.col("with_value").cast("double"), F.lit(disclosure)) * (1 + 1e-9)
+    top = classes.agg(F.max(most)).first()[0]
+    counts = term_counts(docs, stored(keys.where("n > 1")), text).where(F.col("with_term") <= top)
+    rare = stored(seen.select("text_key", F.explode("words").alias("term")).join(counts, "term"))
+    pairs = rare.join(classes, "text_key").where(F.col("with_term") <= most)
+    both = pairs.groupBy("class", "term", "with_value", "with_term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    own = -F.log(F.col("with_value") / n)
+    mutual = F.log(F.col("both") * n / (F.col("with_value") * F.col("with_term")))
+    return both.withColumn("ratio", mutual / own).where(F.col("ratio") >= disclosure).select("class", "term", "ratio")
+
+
+def term_spans(docs: DataFrame, classes: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Per text key the spans of the terms that disclose a value of the same text, outside the base spans."""
-    wanted = seen.select("text_key", "value").distinct().join(terms, "value").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(body.alias("text")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    texts = texts.withColumn("text_key", F.md5(F.col("text").cast("binary"))).join(wanted, "text_key")
-    texts = texts.dropDuplicates(["text_key"])
+    wanted = classes.select("text_key", "class").join(terms, "class").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+    texts = _texts(docs, text).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key")
     lowered = _located(F.col("text"), WORD, TERM, lambda hit: F.array_contains(F.col("terms"), F.lower(hit)))
     clear = F.filter(lowered, lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return texts.select("text_key", clear.alias("term_spans")).where(F.size("term_spans") > 0)
@@ -173,13 +176,14 @@ def all_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, base:
     null texts have no spans, repeated rows get the same ones.
     """
     seen = stored(mentions(docs, text))
-    terms = settle(disclosing_terms(docs, seen, text))
+    classes = stored(value_classes(seen))
+    terms = settle(disclosing_terms(docs, seen, classes, text))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = without(docs, [c for c in (base, spans) if c != text]).withColumn(base, base_spans(F.col(text)))
     if terms.isEmpty():
         rows = rows.withColumn(spans, F.col(base))
         return rows if keep_text else rows.drop(text)
-    extra = settle(term_spans(docs, seen, terms, text))
+    extra = settle(term_spans(docs, classes, terms, text))
     names = rows.columns if keep_text else [c for c in rows.columns if c != text]
     keyed = rows.withColumn("_llm_key", F.when(F.size(base) > 0, F.md5(body.cast("binary"))))
     # only rows with base spans can meet a term; the others pass by without a shuffle

@@ -228,6 +228,20 @@ def test_copies_of_a_text_do_not_hide_a_term(documents):
         assert ("term", at, at + 7) in got[i]
 
 
+def test_terms_at_the_edge_of_a_text_or_far_from_the_value_are_spans(documents):
+    """The word is the first or last one of its text, or hundreds of characters away from the address."""
+    filler = " and then some words of no great weight follow here" * 8
+    pairs = [(i, f"Novakova{i % 2 * 'x'}: a@b.cz {chr(97 + i)}q") for i in range(8)]
+    pairs += [(20 + i, f"{chr(97 + i)}q writes c@d.cz Zyxwort") for i in range(4)]
+    pairs += [(40 + i, f"{chr(97 + i)}q Farawort went{filler} e@f.cz") for i in range(4)]
+    pairs += [(100 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q writes and then went{filler}") for i in range(200)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.all_spans(documents(pairs)).collect()}
+    for i, word in ((0, "Novakova"), (1, "Novakovax"), (20, "Zyxwort"), (40, "Farawort")):
+        at = dict(pairs)[i].index(word)
+        assert ("term", at, at + len(word)) in got[i], word
+    assert not any(k == "term" for i in range(100, 300) for k, _, _ in got[i])
+
+
 # --- fingerprints
 
 
