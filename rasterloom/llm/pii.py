@@ -2,7 +2,9 @@
 
 Four kinds are found by pattern. The corpus then says which words disclose a found value: a word's pointwise mutual
 information with the value, over the documents, relative to the value's own information. A word that exceeds the
-threshold, and was seen with the value in several different texts, is generalised wherever a document holds both.
+threshold is generalised wherever a document holds both. Values seen once or twice are weighed like any other: the
+share of a term's texts that hold the value is smoothed by one text more that does not, so that little support counts
+for less, and the fewer documents there are the less it does.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ _HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 TERM = "term"
 WORD = r"[\p{L}\p{M}]+"
-CONTEXTS = 3  # different texts a term must share with a value
+UNSEEN = 1  # texts with the term and without the value that are supposed besides those seen
 DISCLOSURE = 0.9  # part of a value's information that a term may not give away
 
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -133,13 +135,14 @@ def term_counts(docs: DataFrame, copies: DataFrame, text: str = "text") -> DataF
 
 
 def disclosing_terms(
-    docs: DataFrame, seen: DataFrame, classes: DataFrame, text: str = "text", support: int = CONTEXTS, disclosure: float = DISCLOSURE
+    docs: DataFrame, seen: DataFrame, classes: DataFrame, text: str = "text", unseen: float = UNSEEN, disclosure: float = DISCLOSURE
 ) -> DataFrame:
     """Pairs (class, term) in which the term gives away at least ``disclosure`` of the information of the class's values.
 
     With p over distinct texts: log(p(value, term) / (p(value) p(term))) >= disclosure * -log p(value), the term being
-    anywhere in a text of the value. All four counts are of distinct texts, so that copies of one text neither make a
-    term disclose anything nor hide that it does.
+    anywhere in a text of the value, and held by ``unseen`` more texts without the value. A term of a single text thus
+    gives its value away among 1024 texts or more, as it stands for 0.9 of the value's information then. All counts are
+    of distinct texts, so that copies of one text neither make a term disclose anything nor hide that it does.
     """
     none = classes.limit(0).select("class", F.lit("").alias("term"), F.lit(0.0).alias("ratio"))
     if classes.isEmpty():
@@ -150,13 +153,14 @@ def disclosing_terms(
     # many texts. Only such pairs are made; no term that could pass is left out.
     most = n ** (1 - disclosure) * F.pow(F.col("with_value").cast("double"), F.lit(disclosure)) * (1 + 1e-9)
     top = classes.agg(F.max(most)).first()[0]
-    counts = term_counts(docs, stored(keys.where("n > 1")), text).where(F.col("with_term") <= top)
+    counts = term_counts(docs, stored(keys.where("n > 1")), text).where(F.col("with_term") + unseen <= top)
     rare = stored(seen.select("text_key", F.explode("words").alias("term")).join(counts, "term"))
-    pairs = rare.join(classes, "text_key").where(F.col("with_term") <= most)
-    both = pairs.groupBy("class", "term", "with_value", "with_term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    pairs = rare.join(classes, "text_key").where(F.col("with_term") + unseen <= most)
+    both = pairs.groupBy("class", "term", "with_value", "with_term").agg(F.count(F.lit(1)).alias("both"))
     own = -F.log(F.col("with_value") / n)
-    mutual = F.log(F.col("both") * n / (F.col("with_value") * F.col("with_term")))
-    return both.withColumn("ratio", mutual / own).where(F.col("ratio") >= disclosure).select("class", "term", "ratio")
+    mutual = F.log(F.col("both") * n / (F.col("with_value") * (F.col("with_term") + unseen)))
+    # a value of all texts has no information to give away
+    return both.where(own > 0).withColumn("ratio", F.try_divide(mutual, own)).where(F.col("ratio") >= disclosure).select("class", "term", "ratio")
 
 
 def term_spans(docs: DataFrame, classes: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:

@@ -242,6 +242,23 @@ def test_terms_at_the_edge_of_a_text_or_far_from_the_value_are_spans(documents):
     assert not any(k == "term" for i in range(100, 300) for k, _, _ in got[i])
 
 
+def test_terms_of_values_seen_once_or_twice(documents):
+    """Words of no other text give a value of one or two texts away in a large corpus; words of other texts do not."""
+    pairs = [(1, "Onceword sends a note from one@corp.example today"), (2, "ask Twiceword by two@corp.example today"), (3, "two@corp.example is where Twiceword reads")]
+    pairs += [(10 + i, f"text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q sends a note today and reads where") for i in range(1500)]
+    pairs += [(5000 + i, "a word by itself: note ask") for i in range(3)]
+    docs = documents(pairs)
+    got = {r.doc_id: [(s.kind, r.text[s.start : s.end]) for s in r.spans] for r in pii.all_spans(docs).collect()}
+    assert ("term", "Onceword") in got[1] and ("term", "Twiceword") in got[2] and ("term", "Twiceword") in got[3]
+    assert not {"sends", "note", "today", "ask", "reads", "where"} & {word for i in (1, 2, 3) for _, word in got[i]}
+    assert all(not got[i] for i, _ in pairs[3:])
+
+
+def test_a_value_of_all_texts_is_not_given_away(documents):
+    got = pii.all_spans(documents([(i, f"word{chr(97 + i)} of all@corp.example") for i in range(4)])).collect()
+    assert [[s.kind for s in r.spans] for r in got] == [["email"]] * 4
+
+
 # --- fingerprints
 
 
