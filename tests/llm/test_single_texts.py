@@ -147,6 +147,17 @@ def test_unseen_words_fall_back_to_shorter_grams(spark):
     assert scores["talking"] == scores.base and len(scores) == before + 1
 
 
+def test_words_and_grams_that_there_is_room_for_are_kept(spark):
+    """A language of few rows keeps its rarer words beside a large one with very many words."""
+    letters = "".join(chr(0x4E00 + i) for i in range(400))
+    rows = [(i, " ".join(letters[i] + letters[j] for j in range(375)) * 2, "aa") for i in range(400)]
+    rows += [(1000 + i, "laufen springen", "bb") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))).unionByName(docs.where("lang = 'bb'").withColumn("doc_id", F.lit(1))))
+    assert len(model.words) > 100_000 and {"laufen", "springen"} <= set(model.words)
+    assert len(model.grams) > 100_000
+
+
 def test_a_full_memory_of_unseen_words_starts_over(model, monkeypatch):
     monkeypatch.setattr(language, "LEARNED_WORDS", 10)
     scores = language.Scores(model)
