@@ -210,6 +210,13 @@ def near_duplicates(
     text without words, or null, has an empty set and is linked with nothing. A row with a null id has the
     smallest id of its component, or null. Equal rows are linked like any equal texts.
     """
+    return _grouped(docs, size, percent, coordinates, doc_id, text).drop("root")
+
+
+def _grouped(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Rows of :func:`near_duplicates` with ``root``, the number of their component; null where the set is empty."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     matches = least_matches(coordinates, percent / 100)
     rows = stored(_digests(docs, size, coordinates))
@@ -243,22 +250,37 @@ def near_duplicates(
 
     labelled = classes.join(roots, F.col("class") == F.col("node"), "left").select("set_key", "doc_id", F.coalesce("root", "class").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(smallest, "root").select("set_key", "component_id")
-    empty = rows.where(F.col("set_key").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    labelled = labelled.join(smallest, "root").select("set_key", "component_id", "root")
+    empty = rows.where(F.col("set_key").isNull()).select(
+        "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")
+    )
     return named.select("doc_id", "text_hash", "n_shingles", "set_key").join(labelled, "set_key").drop("set_key").unionByName(empty)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents of which no near-duplicate has a smaller id, with their own columns.
+    """One row of each group of near-duplicates, with its own columns; rows without words are in no group and are kept.
 
-    Rows with a null id have no place in the order and are kept, unless their group has an id.
+    It is the row of the smallest id (null last), then of the smallest text hash; of several rows of one id and text the
+    first by its other columns.
     """
     names = docs.columns
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    gone = found.where(~F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    gone = stored(gone.select("doc_id", "text_hash").distinct())
-    given = gone.withColumnsRenamed({"doc_id": "_llm_id", "text_hash": "_llm_hash"})
-    side = F.broadcast(given) if fits_broadcast(given, 32, FETCH_BYTES) else given
+    found = _grouped(docs, doc_id=doc_id, text=text, **options).where(F.col("root").isNotNull())
+    alike = stored(found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("first"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    # rows that go, and chosen ones of which there are several
+    listed = alike.join(first, "root").where(~chosen | (F.col("n") > 1))
+    listed = stored(listed.select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), chosen.alias("_llm_several")))
+    several = listed.where("_llm_several")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_llm_id")) & (text_hash(body) == F.col("_llm_hash"))
-    return docs.join(side, same, "left_anti").select(*names)
+
+    def side(given: DataFrame) -> DataFrame:
+        return F.broadcast(given) if fits_broadcast(given, 32, FETCH_BYTES) else given
+
+    kept = docs.join(side(listed), same, "left_anti").select(*names)
+    if several.isEmpty():
+        return kept
+    order = F.to_json(F.struct(*(F.col(c) for c in names if c != text), F.lit(0).alias("_llm_0")))
+    one = docs.join(side(several), same).groupBy("_llm_id", "_llm_hash").agg(F.min_by(F.struct(*names), order).alias("row"))
+    return kept.unionByName(one.select("row.*"))

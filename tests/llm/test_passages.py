@@ -173,3 +173,17 @@ def test_empty_table(documents):
     assert substring_dedup.digest(documents([])).count() == 0
     assert near_dedup.near_duplicates(documents([])).count() == 0
     assert substring_dedup.remove_repeats(documents([])).where(F.lit(True)).count() == 0
+
+
+def test_one_row_of_each_group_is_kept(documents):
+    """Repeated rows, near copies of one id, groups without any id, and rows without words."""
+    long = " ".join(f"w{i}" for i in range(200))
+    pairs = [(7, long), (7, long), (7, f"{long} more"), (9, long), (None, long)]
+    pairs += [(None, f"{long[::-1]} tail")] * 3 + [(None, f"{long[::-1]} tail and more")] + [(5, "alone in here")] * 2 + [(1, ""), (1, ""), (None, None)]
+    docs = documents(pairs)
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(i for i, t in rows if t and i) == [5, 7]
+    assert len([t for i, t in rows if t and i is None]) == 1
+    assert sorted(((i, t) for i, t in rows if not t), key=repr) == sorted([(1, ""), (1, ""), (None, None)], key=repr)
