@@ -34,22 +34,25 @@ class Encoder:
     """Byte-level BPE of a ``tokenizers`` file. Ids of blank-separated chunks are remembered, up to a bound.
 
     ``tokenizers`` itself encodes where its merges are not in the order of the ids; otherwise the vocabulary is
-    handed to ``tiktoken``, which gives the same ids. Strings of special tokens are ordinary text.
+    handed to ``tiktoken``, which gives the same ids. Strings of special tokens are ordinary text, or with ``added``
+    what ``tokenizers`` takes them for by default: a text that holds an added token is encoded by it as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self._encode = self._ranked(spec) or self._plain(path)
+        self._encode = self._ranked(spec) or self._plain(path, added)
+        self._added = [x["content"] for x in spec.get("added_tokens") or [] if x["content"]] if added else []
+        self._whole = self._plain(path, True) if self._added else None
         self._known: dict[str, bytes] = {}
         self._crossing = re.compile(r" \s|\s ")
 
     @staticmethod
-    def _plain(path: str):
+    def _plain(path: str, added: bool):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added
         return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
@@ -75,6 +78,8 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if any(token in text for token in self._added):
+            return np.asarray(self._whole(text), "<u4").tobytes()
         if self._crossing.search(text):  # blanks in a row: a chunk's ids may depend on its neighbour
             return np.asarray(self._encode(text), "<u4").tobytes()
         chunks = text.split(" ")
@@ -111,13 +116,14 @@ def pieces(
     """Tokenised documents cut into pieces of at most ``capacity`` ids; of a longer one the first piece is shorter.
 
     A null text is empty, and an empty one still has its end id. Repeated rows are tokenised each. ``tokenizer``
-    is the path of a ``tokenizers`` file on every executor; None stands for the public byte-level vocabulary.
+    is the path of a ``tokenizers`` file on every executor; None stands for the public byte-level vocabulary. Ids are
+    those of ``Tokenizer.encode(text, add_special_tokens=False)``; a text's added tokens have their own ids.
     """
     out = "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     taken = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_llm_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or tokenizer_path())
+        encoder = Encoder(tokenizer or tokenizer_path(), added=True)
         tail = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch, "_llm_text"):

@@ -404,3 +404,14 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert encoder.ids("<|endoftext|>") == np.array(tokenizer.encode("<|endoftext|>").ids, "<u4").tobytes()
     assert re.match("<bound method Encoding", repr(encoder._encode))
+
+
+def test_added_tokens_have_their_own_ids(documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["<|endoftext|>", "one<|endoftext|>two", "  <|endoftext|> \n<|endoftext|>é", "<|endoftext", "plain  text of\nlines"]
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert tokenizer.token_to_id("<|endoftext|>") in want[1]
+    got = packing.pieces(documents(list(enumerate(texts))), keep_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == want
