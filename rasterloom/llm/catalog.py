@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rasterloom.llm import decontaminate, fingerprint, html_text, language, near_dedup, packing, pii, sharding, substring_dedup, url_filter
+from rasterloom.llm import collocations, decontaminate, fingerprint, html_text, language, near_dedup, packing, pii, sharding, substring_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # fixed values: the rules to judge by
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
+PHRASES_PER_LANGUAGE = 2000
 
 
 def _query(function: Query) -> Query:
@@ -95,3 +96,11 @@ def op9_url_filters(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.pieces(_documents(spark, sf)))
+
+
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    found = collocations.collocations(_documents(spark, sf).select("lang", "text"))
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PHRASES_PER_LANGUAGE)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -98,3 +98,38 @@ WITH doc AS MATERIALIZED (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
 """
+
+# every run of one to four words is counted; parts and longer candidates are looked up by their words
+SQL["op11_phrase_collocations"] = r"""
+WITH piece AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[.,;:!?\x0A-\x0D]')) AS p
+          FROM documents)
+), run AS MATERIALIZED (
+    SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS g, count(*) AS f
+    FROM piece, unnest(range(1, 5)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i)
+    GROUP BY lang, m, g HAVING m = 1 OR count(*) >= 30
+), total AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM run WHERE m = 1 GROUP BY lang
+), candidate AS MATERIALIZED (
+    SELECT lang, m, g, f, string_split(g, ' ') AS w FROM run WHERE m > 1
+), cut AS (
+    SELECT c.lang, c.g, c.f, c.k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (x.f + y.f) AS BIGINT) AS score
+    FROM (SELECT *, concat(lang, chr(9), array_to_string(w[1 : k], ' ')) AS head,
+                 concat(lang, chr(9), array_to_string(w[k + 1 : m], ' ')) AS tail
+          FROM candidate, unnest(range(1, m)) AS t(k)) AS c
+    JOIN (SELECT concat(lang, chr(9), g) AS key, f FROM run) AS x ON x.key = c.head
+    JOIN (SELECT concat(lang, chr(9), g) AS key, f FROM run) AS y ON y.key = c.tail
+), weakest AS (
+    SELECT lang, g AS phrase, f AS a, l, r, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(f) AS longer
+    FROM candidate, unnest(range(2, m)) AS t(k), unnest(range(1, m - k + 2)) AS u(i) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN total USING (lang) LEFT JOIN inside USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 80 * a
+QUALIFY rank <= 2000
+"""

@@ -51,11 +51,11 @@ def alphanumeric() -> np.ndarray:
 class Words:
     """Splits texts by a table of word bytes; made once per task, as it keeps tables of powers."""
 
-    def __init__(self, word_bytes: np.ndarray, lower: bool):
+    def __init__(self, word_bytes: np.ndarray, lower: bool, seed: int = SEED):
         fold = np.arange(256)
         if lower:
             fold[0x41:0x5B] += 0x20
-        codes = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
+        codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
         self.is_word, self.codes = word_bytes, codes[fold]
         self._step = [np.ones(1, np.uint64)] * 4
 
