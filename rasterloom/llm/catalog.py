@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rasterloom.llm import collocations, decontaminate, fingerprint, html_text, language, near_dedup, packing, pii, sharding, substring_dedup, url_filter
+from rasterloom.llm import collocations, decontaminate, fingerprint, hard_negatives, html_text, language, near_dedup, packing, pii, sharding, substring_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,8 @@ def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PHRASES_PER_LANGUAGE)
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label"))
