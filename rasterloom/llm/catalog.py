@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rasterloom.llm import collocations, decontaminate, fingerprint, hard_negatives, html_text, language, near_dedup, packing, pii, sharding, substring_dedup, url_filter
+from rasterloom.llm import collocations, decontaminate, fingerprint, hard_negatives, html_text, language, near_dedup, packing, pii, secret_scan, sharding, substring_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +109,15 @@ def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+@_query
+def op13_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    rows = secret_scan.scan(_documents(spark, sf).select("doc_id", "text"), keep_text=False)
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(pii.spelled(F.col("base")).cast("binary"), 256)
+    spelled = pii.spelled(F.col("spans")).alias("spans")
+    return rows.select("doc_id", *map(number, secret_scan.KINDS), digest.alias("base_sha256"), spelled, "n_novel")
