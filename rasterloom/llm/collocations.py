@@ -33,10 +33,11 @@ UNLABELLED = "und"
 HEAD = 1 << 20  # units of a level whose ranks are broadcast
 TILE = 10  # bits of a rank inside a tile
 DENSE = 1 << 16  # pairs of a buffer from which a tile is counted densely
-TILES_AT_ONCE = 8
-BUFFER = 1 << 23  # pairs that a task counts at once
+TILES_AT_ONCE = 4
+BUFFER = 1 << 21  # pairs that a task counts at once
+ROWS_OUT = 1 << 16  # of a batch that a task hands on
 FILTER_BITS = 27  # the bit table has 2^27 bits
-WORDS_AT_ONCE = 500_000  # different words that a task holds
+WORDS_AT_ONCE = 500_000  # words that a task holds before it hands them on
 CODE = np.uint64((1 << 63) - 1)
 
 # fixed values: what ends a piece, and what parts words
@@ -79,11 +80,21 @@ class Pieces:
         return data, starts, ends, row, codes, follows
 
 
-def _spelled(data: np.ndarray, start: int, end: int) -> str:
-    return data[start:end].tobytes().decode().translate(_LOWER)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
 
 
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The lower-cased words at these places."""
+    size = ends - starts
+    edges = np.r_[0, np.cumsum(size)]
+    taken = _FOLD[data[np.arange(edges[-1]) + np.repeat(starts - edges[:-1], size)]]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(taken))
+
+
+def _summed(rows: list[pa.Table]) -> pa.Table:
+    """One row per word; rows of one code stay apart if their second hashes or words differ."""
+    return pa.concat_tables(rows).group_by(["code", "second", "lang", "word"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["code", "second", "lang", "word", "n"])
 
 
 def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
@@ -91,36 +102,36 @@ def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(seed)
-        held: dict[int, list] = {}  # code: [count, second hash, language, word]
-        clashes: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            rows = [(c, v[2], v[3], v[0]) for c, v in held.items()] + clashes
-            arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))]
-            held.clear()
-            clashes.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["code", "lang", "word", "n"])
-
+        held: list[pa.Table] = []
+        fresh = 0  # rows since they were summed
+
+        def words(part: pa.RecordBatch) -> pa.Table:
+            data, starts, ends, row, codes, _ = pieces.split(part)
+            second = pieces.check.hashes(data, starts, ends)
+            unique, at, inverse, n = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+            # words of one code and another second hash go out under their own names, and are found by the check
+            other = np.flatnonzero(second[at][inverse] != second)
+            at, n = np.r_[at, other], np.r_[n, np.ones(len(other), np.int64)]
+            columns = [codes[at].view(np.int64), second[at], part.column("lang").take(pa.array(row[at])), _spelled(data, starts[at], ends[at]), n]
+            return pa.table(columns, names=["code", "second", "lang", "word", "n"])
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for batch in table.select(["code", "lang", "word", "n"]).cast(schema).to_batches(ROWS_OUT):
+                yield batch
+
+        schema = pa.schema([("code", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
         for batch in batches:
             for part in slices(batch, "text"):
-                data, starts, ends, row, codes, _ = pieces.split(part)
-                second = pieces.check.hashes(data, starts, ends)
-                langs = part.column("lang").to_pylist()
-                unique, at, inverse, n = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-                # words of one code and another second hash go out under their own names, and are found by the check
-                for i in np.flatnonzero(second[at][inverse] != second).tolist():
-                    clashes.append((int(codes[i]), langs[row[i]], _spelled(data, starts[i], ends[i]), 1))
-                for code, i, times, other in zip(unique.tolist(), at.tolist(), n.tolist(), second[at].tolist()):
-                    known = held.get(code)
-                    if known is None:
-                        held[code] = [times, other, langs[row[i]], _spelled(data, starts[i], ends[i])]
-                    elif known[1] == other:
-                        known[0] += times
-                    else:
-                        clashes.append((code, langs[row[i]], _spelled(data, starts[i], ends[i]), times))
-                if len(held) > WORDS_AT_ONCE:
-                    yield flush()
-        yield flush()
+                held.append(words(part))
+                fresh += held[-1].num_rows
+                if fresh > WORDS_AT_ONCE:
+                    held, fresh = [_summed(held)], 0
+                    if held[0].num_rows > WORDS_AT_ONCE:
+                        yield from out(held.pop())
+        if held:
+            yield from out(_summed(held))
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     counted = docs.mapInArrow(count, "code long, lang string, word string, n long")
     return counted.repartition("code").groupBy("code", "lang", "word").agg(F.sum("n").alias("n"))
@@ -258,7 +269,8 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarra
         yield (owner // across << TILE) | (cell >> TILE & low), (owner % across << TILE) | (cell & low), n[cell]
     sparse = slot < 0
     if sparse.any():
-        codes = np.sort(_pair_code(left[sparse], right[sparse]))
+        codes = _pair_code(left[sparse], right[sparse])
+        codes.sort()
         edges = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
         n = np.diff(np.r_[edges, len(codes)])
         codes = codes[edges]
@@ -281,7 +293,7 @@ def _names(size: int) -> list[str]:
 
 
 def count_longer(docs: DataFrame, levels: Levels, least: int) -> DataFrame:
-    """(w1, w2, ..., n) of the runs one word longer than the known levels that occur ``least`` times or more."""
+    """(w1, w2, ..., n) of the runs one word longer than the known levels that occur ``least`` times or more; stored."""
     size = len(levels.known) + 1
     names = _names(size)
     shared = docs.sparkSession.sparkContext.broadcast(levels)
@@ -298,12 +310,17 @@ def count_longer(docs: DataFrame, levels: Levels, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*ids, n.astype(np.int64))], names=[*names, "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if lefts:
-                for left, right, n in tile_counts(np.concatenate(lefts), np.concatenate(rights)):
-                    yield rows([*levels.members(left, size - 1), right], n)
+            left, right = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (lefts, rights))
+            lefts.clear(), rights.clear()
+            for left, right, n in tile_counts(left, right):
+                for i in range(0, len(n), ROWS_OUT):
+                    part = slice(i, i + ROWS_OUT)
+                    yield rows([*levels.members(left[part], size - 1), right[part]], n[part])
             if others:
-                yield rows(*coordinate_counts([np.concatenate(x) for x in zip(*others)]))
-            lefts.clear(), rights.clear(), others.clear()
+                ids, n = coordinate_counts([np.concatenate(x) for x in zip(*others)])
+                others.clear()
+                for i in range(0, len(n), ROWS_OUT):
+                    yield rows([x[i : i + ROWS_OUT] for x in ids], n[i : i + ROWS_OUT])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -320,7 +337,9 @@ def count_longer(docs: DataFrame, levels: Levels, least: int) -> DataFrame:
         yield from flush()
 
     counted = docs.mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "n"]))
-    return counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = stored(counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    shared.destroy()
+    return found
 
 
 def _bits(units: DataFrame, names: list[str]) -> np.ndarray:
@@ -379,7 +398,7 @@ def _unit_level(units: DataFrame, levels: Levels, head: int) -> Level:
 
 
 def _with_ids(words: DataFrame, levels: Levels) -> DataFrame:
-    """(w1, lang, word, n) of the frequent words."""
+    """(w1, lang, word, n) of the frequent words; stored."""
     shared = words.sparkSession.sparkContext.broadcast(levels)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +406,9 @@ def _with_ids(words: DataFrame, levels: Levels) -> DataFrame:
             _, ids, _ = shared.value.word_ids(batch.column("code").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(ids), *(batch.column(x) for x in ("lang", "word", "n"))], names=["w1", "lang", "word", "n"])
 
-    return words.select("code", "lang", "word", "n").mapInArrow(name, "w1 long, lang string, word string, n long")
+    named = stored(words.select("code", "lang", "word", "n").mapInArrow(name, "w1 long, lang string, word string, n long"))
+    shared.destroy()
+    return named
 
 
 def phrase_counts(
@@ -404,10 +425,10 @@ def phrase_counts(
     totals = stored(every.groupBy("lang").agg(F.sum("n").alias("n")))
     words = stored(every.where(F.col("n") >= least))
     levels = Levels(seed, [_word_level(words, head)])
-    named = stored(_with_ids(words, levels))
+    named = _with_ids(words, levels)
     runs = [named.select(F.array("w1").alias("ids"), "n")]
     for size in range(2, longest + 1):
-        units = stored(count_longer(rows, levels, least))
+        units = count_longer(rows, levels, least)
         runs.append(units.select(F.array(*_names(size)).alias("ids"), "n"))
         if size < longest:
             levels = Levels(seed, [*levels.known, _unit_level(units, levels, head)])
