@@ -3,9 +3,10 @@
 Words of every language are ranked by frequency; a pair of neighbours is a cell of a (rank, rank) plane. The plane is cut
 into square tiles. A tile that many pairs of a buffer fall into is counted densely, by ``bincount`` over its cells; the
 pairs of the others are sorted and counted as coordinates. Pairs that reach the least count are ranked again and take the
-place of the left word, so triples are pairs (pair, word) and so on: every level is one pass over the texts.
+place of words: runs of three and four words are cells (pair, word) and (pair, pair) of the next plane, those of five to
+eight words of the one after. Every plane is one pass over the texts.
 
-Ranks of at most ``HEAD`` units per level are broadcast, and a bit table of fixed size tells which other units are
+Ranks of at most ``HEAD`` units of a length are broadcast, and a bit table of fixed size tells which other units are
 frequent. Units beyond the head are counted under the words' own 63-bit codes, so nothing is left out however large the
 vocabulary is. Codes are proven to be different for different words; if two words ever met, another seed is taken.
 """
@@ -30,7 +31,7 @@ LONGEST = 4  # words of a candidate
 COVERED = 80  # percent of a phrase's occurrences inside one longer candidate that make it redundant
 UNLABELLED = "und"
 
-HEAD = 1 << 20  # units of a level whose ranks are broadcast
+HEAD = 1 << 20  # units of a length whose ranks are broadcast
 TILE = 10  # bits of a rank inside a tile
 DENSE = 1 << 16  # pairs of a buffer from which a tile is counted densely
 TILES_AT_ONCE = 4
@@ -189,16 +190,25 @@ class Level:
         return (self.bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def left_size(size: int) -> int:
+    """Words of the left part of a unit: the largest power of two below its size."""
+    return 1 << ((size - 1).bit_length() - 1)
+
+
 @dataclass
 class Levels:
-    """What tasks know of the frequent units of 1, 2, ... words."""
+    """What tasks know of the frequent units of 1 to ``size`` words."""
 
     seed: int
-    known: list[Level] = field(default_factory=list)
+    known: dict[int, Level] = field(default_factory=dict)
+
+    @property
+    def size(self) -> int:
+        return len(self.known)
 
     def word_ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rank or -1, id, whether frequent); words beyond the head go by minus their code, less one."""
-        level = self.known[0]
+        level = self.known[1]
         rank = level.ranks.find(mix(codes))
         own = -1 - codes.view(np.int64)
         ids = np.where(rank >= 0, rank, own)
@@ -207,14 +217,27 @@ class Levels:
             frequent = frequent | level.maybe(_run_key([own]))
         return rank, ids, frequent
 
+    def paired(self, size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the units that are made of two ranked parts; -1 if either part or the unit has none."""
+        out = np.full(len(left), -1, np.int64)
+        both = np.flatnonzero((left >= 0) & (right >= 0))
+        out[both] = self.known[size].ranks.find(mix(_pair_code(left[both], right[both])))
+        return out
+
+    def rank(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Rank of units given by their word ids."""
+        if len(ids) == 1:
+            return np.maximum(ids[0], -1)
+        left = left_size(len(ids))
+        return self.paired(len(ids), self.rank(ids[:left]), self.rank(ids[left:]))
+
     def members(self, rank: np.ndarray, size: int) -> list[np.ndarray]:
         """Word ranks of units of a size, by their ranks."""
-        out: list[np.ndarray] = []
-        for level in range(size - 1, 0, -1):
-            codes = self.known[level].codes[rank]
-            out.append((codes & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            rank = (codes >> np.uint64(32)).astype(np.int64)
-        return [rank, *out[::-1]]
+        if size == 1:
+            return [rank.astype(np.int64)]
+        codes = self.known[size].codes[rank]
+        left = left_size(size)
+        return self.members((codes >> np.uint64(32)).astype(np.int64), left) + self.members((codes & np.uint64(0xFFFFFFFF)).astype(np.int64), size - left)
 
 
 def _shifted(values: np.ndarray, by: int, fill) -> np.ndarray:
@@ -223,29 +246,31 @@ def _shifted(values: np.ndarray, by: int, fill) -> np.ndarray:
     return out
 
 
-def _occurrences(levels: Levels, codes: np.ndarray, follows: np.ndarray):
-    """Of runs one word longer than the known levels, with all parts frequent: (left rank, word rank) where both are in
-    the head, and the word ids of the others."""
+def _occurrences(levels: Levels, codes: np.ndarray, follows: np.ndarray, longest: int):
+    """Runs longer than the known units, up to twice as long, all of whose parts of that length may be frequent.
+
+    Per length: left rank and right rank where both parts are in the head, and the word ids of the other runs.
+    """
     word, ids, frequent = levels.word_ids(codes)
-    rank, inside, size = word, np.ones(len(codes), bool), 1
-    for level in levels.known[1:]:
-        inside = inside & _shifted(follows, size - 1, False)  # the run of size + 1 words stays in a piece
-        last = _shifted(word, size, -1)
-        both = inside & (rank >= 0) & (last >= 0)
-        longer = np.full(len(codes), -1, np.int64)
-        longer[both] = level.ranks.find(mix(_pair_code(rank[both], last[both])))
-        now = longer >= 0
-        if level.bits is not None:
-            tried = np.flatnonzero(inside & ~now & frequent & _shifted(frequent, 1, False))
-            tried = tried[level.maybe(_run_key([ids[tried + j] for j in range(size + 1)]))]
+    rank, inside, size = {1: word}, {1: np.ones(len(codes), bool)}, levels.size
+    for m in range(2, longest + 1):  # the run of m words stays in a piece
+        inside[m] = inside[m - 1] & _shifted(follows, m - 2, False)
+    for m in range(2, size + 1):
+        left = left_size(m)
+        found = levels.paired(m, np.where(inside[m], rank[left], -1), _shifted(rank[m - left], left, -1))
+        now = found >= 0
+        if levels.known[m].bits is not None:
+            tried = np.flatnonzero(inside[m] & ~now & frequent & _shifted(frequent, 1, False))
+            tried = tried[levels.known[m].maybe(_run_key([ids[tried + j] for j in range(m)]))]
             now[tried] = True
-        rank, frequent, size = longer, now, size + 1
-    inside = inside & _shifted(follows, size - 1, False)
-    wanted = inside & frequent & _shifted(frequent, 1, False)
-    last = _shifted(word, size, -1)
-    head = wanted & (rank >= 0) & (last >= 0)
-    rest = np.flatnonzero(wanted & ~head)
-    return rank[head].astype(np.int32), last[head].astype(np.int32), [ids[rest + j] for j in range(size + 1)]
+        rank[m], frequent = found, now
+    wanted = frequent
+    for m in range(size + 1, longest + 1):
+        wanted = wanted & _shifted(frequent, m - size, False) & inside[m]
+        right = _shifted(rank[m - size], size, -1)
+        head = wanted & (rank[size] >= 0) & (right >= 0)
+        rest = np.flatnonzero(wanted & ~head)
+        yield m, rank[size][head].astype(np.int32), right[head].astype(np.int32), [ids[rest + j] for j in range(m)]
 
 
 def tile_counts(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -292,48 +317,51 @@ def _names(size: int) -> list[str]:
     return [f"w{i}" for i in range(1, size + 1)]
 
 
-def count_longer(docs: DataFrame, levels: Levels, least: int) -> DataFrame:
-    """(w1, w2, ..., n) of the runs one word longer than the known levels that occur ``least`` times or more; stored."""
-    size = len(levels.known) + 1
-    names = _names(size)
+def count_longer(docs: DataFrame, levels: Levels, least: int, longest: int) -> DataFrame:
+    """(w1, w2, ..., n) of the runs that are longer than the known units, up to twice as long and ``longest`` words, and
+    occur ``least`` times or more; stored. The last words of shorter runs are null."""
+    size = levels.size
+    longest = min(longest, 2 * size)
+    names = _names(longest)
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    schema = pa.schema([(x, pa.int64()) for x in [*names, "n"]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         pieces = Pieces(levels.seed)
-        lefts: list[np.ndarray] = []
-        rights: list[np.ndarray] = []
-        others: list[list[np.ndarray]] = []
-        held = 0
+        held: dict[int, tuple[list, list, list]] = {m: ([], [], []) for m in range(size + 1, longest + 1)}
+        number = 0
 
         def rows(ids: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*ids, n.astype(np.int64))], names=[*names, "n"])
+            gaps = [pa.nulls(len(n), pa.int64())] * (longest - len(ids))
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in ids), *gaps, pa.array(n.astype(np.int64))], schema=schema)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            left, right = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (lefts, rights))
-            lefts.clear(), rights.clear()
-            for left, right, n in tile_counts(left, right):
-                for i in range(0, len(n), ROWS_OUT):
-                    part = slice(i, i + ROWS_OUT)
-                    yield rows([*levels.members(left[part], size - 1), right[part]], n[part])
-            if others:
-                ids, n = coordinate_counts([np.concatenate(x) for x in zip(*others)])
-                others.clear()
-                for i in range(0, len(n), ROWS_OUT):
-                    yield rows([x[i : i + ROWS_OUT] for x in ids], n[i : i + ROWS_OUT])
+            for m, (lefts, rights, others) in held.items():
+                left, right = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (lefts, rights))
+                lefts.clear(), rights.clear()
+                for left, right, n in tile_counts(left, right):
+                    for i in range(0, len(n), ROWS_OUT):
+                        part = slice(i, i + ROWS_OUT)
+                        yield rows(levels.members(left[part], size) + levels.members(right[part], m - size), n[part])
+                if others:
+                    ids, n = coordinate_counts([np.concatenate(x) for x in zip(*others)])
+                    others.clear()
+                    for i in range(0, len(n), ROWS_OUT):
+                        yield rows([x[i : i + ROWS_OUT] for x in ids], n[i : i + ROWS_OUT])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 codes, follows = pieces.split(part)[4:]
-                left, right, rest = _occurrences(levels, codes, follows)
-                lefts.append(left)
-                rights.append(right)
-                if len(rest[0]):
-                    others.append(rest)
-                held += len(left) + len(rest[0])
-                if held > BUFFER:
+                for m, left, right, rest in _occurrences(levels, codes, follows, longest):
+                    held[m][0].append(left)
+                    held[m][1].append(right)
+                    if len(rest[0]):
+                        held[m][2].append(rest)
+                    number += len(left) + len(rest[0])
+                if number > BUFFER:
                     yield from flush()
-                    held = 0
+                    number = 0
         yield from flush()
 
     counted = docs.mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "n"]))
@@ -378,22 +406,18 @@ def _word_level(words: DataFrame, head: int) -> Level:
     return Level(Ranks(mix(codes)), codes, None if whole else _bits(own, ["w1"]))
 
 
-def _unit_level(units: DataFrame, levels: Levels, head: int) -> Level:
-    """Re-rank the frequent units: those whose left part and last word have ranks themselves."""
-    size = len(levels.known) + 1
+def _unit_level(units: DataFrame, levels: Levels, size: int, head: int) -> Level:
+    """Re-rank the frequent units of a size: those whose two parts have ranks themselves."""
     names = _names(size)
     top, whole = _head(units, head)
     rows = top.select(*names, "n").toArrow()
     ids = [rows[x].to_numpy() for x in names]
-    known = reduce(np.logical_and, [x >= 0 for x in ids])
-    rank = np.where(known, ids[0], -1)
-    for level in range(1, size - 1):
-        there = np.flatnonzero(rank >= 0)
-        rank[there] = levels.known[level].ranks.find(mix(_pair_code(rank[there], ids[level][there])))
-    in_head = np.flatnonzero(rank >= 0)
-    codes = _pair_code(rank[in_head], ids[-1][in_head])
+    part = left_size(size)
+    left, right = levels.rank(ids[:part]), levels.rank(ids[part:])
+    in_head = np.flatnonzero((left >= 0) & (right >= 0))
+    codes = _pair_code(left[in_head], right[in_head])
     codes = codes[np.lexsort((codes, -rows["n"].to_numpy()[in_head]))]
-    whole = whole and len(in_head) == len(rank)
+    whole = whole and len(in_head) == len(left)
     return Level(Ranks(mix(codes)), codes, None if whole else _bits(units, names))
 
 
@@ -424,14 +448,19 @@ def phrase_counts(
         seed += 2
     totals = stored(every.groupBy("lang").agg(F.sum("n").alias("n")))
     words = stored(every.where(F.col("n") >= least))
-    levels = Levels(seed, [_word_level(words, head)])
+    levels = Levels(seed, {1: _word_level(words, head)})
     named = _with_ids(words, levels)
     runs = [named.select(F.array("w1").alias("ids"), "n")]
-    for size in range(2, longest + 1):
-        units = count_longer(rows, levels, least)
-        runs.append(units.select(F.array(*_names(size)).alias("ids"), "n"))
-        if size < longest:
-            levels = Levels(seed, [*levels.known, _unit_level(units, levels, head)])
+    while levels.size < longest:
+        size, most = levels.size, min(2 * levels.size, longest)
+        counted = count_longer(rows, levels, least, most)
+        runs.append(counted.select(F.filter(F.array(*_names(most)), lambda w: w.isNotNull()).alias("ids"), "n"))
+        if most == longest:
+            break
+        for m in range(size + 1, most + 1):
+            units = counted.where(F.col(f"w{m}").isNotNull())
+            units = units if m == most else units.where(F.col(f"w{m + 1}").isNull())
+            levels = Levels(seed, {**levels.known, m: _unit_level(units, levels, m, head)})
     return named, reduce(DataFrame.unionByName, runs), totals
 
 

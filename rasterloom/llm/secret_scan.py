@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.arrow import ddl, slices, utf8, without
+from rasterloom.llm.arrow import aside, ddl, slices, utf8, without
 
 # fixed values: the kinds in the order of listing, their patterns, and what makes a match valid
 KINDS = ("assign", "access", "hex")
@@ -146,10 +146,12 @@ class Novelty:
         if len(content) >= 8:
             primed = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             primed.precompute_compress(level=LEVEL)
+        # costs next to nothing, and makes the block a compressed one however short the surroundings are
+        self.primer = content[-BEFORE:] or b" " * BEFORE
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False)
 
     def added(self, c: Candidate) -> int:
-        known = (c.before + c.after + b" ").lower()
+        known = self.primer + (b" " + c.before + c.after + b" ").lower()
         return len(self.compressor.compress(known + c.text.lower())) - len(self.compressor.compress(known))
 
 
@@ -172,9 +174,11 @@ def scan(docs: DataFrame, text: str = "text", keep_text: bool = True, novelty: f
     """
     shared = docs.sparkSession.sparkContext.broadcast(identifiers(docs, text))
     kept = without(docs, [c for c in ("base", "spans", "n_novel") if c.lower() != text.lower()])
-    kept = kept if keep_text else kept.drop(text)
-    names = kept.columns
-    given = without(docs, ["_llm_text"]).withColumn("_llm_text", F.col(text).cast("string")).select(*[F.col(f"`{n}`") for n in names], "_llm_text")
+    given, own = aside(kept)
+    given = given.withColumn("_llm_text", F.col(own[text]).cast("string"))
+    if not keep_text:
+        given = given.drop(own.pop(text))
+    names = list(own.values())
     order = {kind: i for i, kind in enumerate((*KINDS, NOVEL))}
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +203,8 @@ def scan(docs: DataFrame, text: str = "text", keep_text: bool = True, novelty: f
                 arrays = [*(part.column(n) for n in names), _spans(base), _spans(every), pa.array([len(x) for x in more], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "base", "spans", "n_novel"])
 
-    return given.mapInArrow(mark, ddl(kept, f"base {_SPANS}, spans {_SPANS}, n_novel long"))
+    found = given.mapInArrow(mark, ddl(given.select(*names), f"base {_SPANS}, spans {_SPANS}, n_novel long"))
+    return found.select(*(F.col(name).alias(old) for old, name in own.items()), "base", "spans", "n_novel")
 
 
 def _clear(new: list[tuple], taken: list[tuple]) -> list[tuple]:
@@ -221,8 +226,8 @@ def _spans(rows: list[list[tuple]]) -> pa.Array:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span of their texts replaced by ``mark``; overlapping spans are one. Other columns stay."""
-    names = docs.columns
-    found = scan(docs.select(F.monotonically_increasing_id().alias("_llm_row"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_llm_own"), F.col(f"`{text}`").cast("string").alias("_llm_body")), "_llm_body")
+    own = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_llm_own")
+    found = scan(docs.select(own, F.col(f"`{text}`").cast("string").alias("_llm_body")), "_llm_body")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,4 +243,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     pair = found.select("_llm_own", "_llm_body", "spans")
     clean = pair.mapInArrow(replace, ddl(pair.select("_llm_own"), "_llm_clean string"))
-    return clean.select(*[F.col("_llm_clean").alias(n) if n == text else F.col("_llm_own").getField(n).alias(n) for n in names])
+    return clean.select(*[F.col("_llm_clean").alias(n) if n == text else F.col("_llm_own").getField(n).alias(n) for n in docs.columns])

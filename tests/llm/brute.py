@@ -168,3 +168,60 @@ def rows(frame, names):
     """Rows of a DataFrame in a stable order; nulls and NaN as None."""
     cells = frame.select(*names).collect()
     return sorted((tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in cells), key=repr)
+
+
+def collocations(docs, least=30, longest=4, covered=80):
+    """docs: (lang, text). Rows (lang, phrase, a, l, r, n, score)."""
+    counts, totals = defaultdict(int), defaultdict(int)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for m in range(1, longest + 1):
+                for i in range(len(words) - m + 1):
+                    counts[lang, tuple(words[i : i + m])] += 1
+    frequent = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= least}
+    hidden = set()
+    for (lang, w), longer in frequent.items():
+        for m in range(2, len(w)):
+            for i in range(len(w) - m + 1):
+                if 100 * longer >= covered * counts[lang, w[i : i + m]]:
+                    hidden.add((lang, w[i : i + m]))
+    out = []
+    for (lang, w), a in frequent.items():
+        if (lang, w) in hidden:
+            continue
+        cuts = [(2000000 * a // (counts[lang, w[:k]] + counts[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        out.append((lang, " ".join(w), a, counts[lang, w[:k]], counts[lang, w[k:]], totals[lang], score))
+    return sorted(out)
+
+
+def hard_negatives(rows, every=50, positives=5, negatives=3):
+    """rows: (id, label, vector). Rows (anchor, positive, rank, negative, positive score, negative score)."""
+    taken = []
+    for vec_id, label, vector in rows:
+        if vec_id is None or label is None or vector is None or any(x is None or not np.isfinite(x) for x in vector):
+            continue
+        taken.append((vec_id, (label + 1) % 10 if vec_id % 7 == 0 else label, [int(np.floor(256 * np.float64(x))) for x in vector]))
+    out = []
+    for anchor, own, q in taken:
+        if anchor % every:
+            continue
+        scored = sorted(((-sum(a * b for a, b in zip(q, v)), i, label) for i, label, v in taken if i != anchor))
+        for p, pid, _ in [s for s in scored if s[2] == own][:positives]:
+            fits = [(n, i) for n, i, label in scored if label != own and 50 * -p <= 100 * -n <= 95 * -p][:negatives]
+            out += [(anchor, pid, r, i, -p, -n) for r, (n, i) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+def secrets(text):
+    """Base spans by start, then kind as listed."""
+    text, out = text or "", []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m.group(2)) >= 6:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    return [(kind, start, end) for start, _, kind, end in sorted(out)]
