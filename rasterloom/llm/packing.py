@@ -157,10 +157,29 @@ Pattern = tuple[tuple[int, int], ...]  # (length, copies) in the order of a sequ
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Patterns of sequences and how often each is used, for so many pieces of each length."""
-    left = Counter({length: n for length, n in counts.items() if n > 0})
-    if any(not 0 < length <= capacity for length in left):
+    """Patterns of sequences and how often each is used, for so many pieces of each length.
+
+    Exact fills may spend short pieces that the gaps of long ones need. So the whole plan is made with fills of up to
+    three, two and one lengths, and with fills that leave out short pieces, until one needs no more sequences than the
+    total demands; the best is taken, of equal ones the first. The last way is plain best fit, longest first.
+    """
+    if any(not 0 < length <= capacity for length, n in counts.items() if n > 0):
         raise ValueError("a piece is empty or longer than a sequence")
+    least = -(-sum(length * n for length, n in counts.items() if n > 0) // capacity)
+    best, used = [], None
+    for most, shortest in [(3, 1), *((3, capacity // part) for part in (32, 16, 8, 5)), (2, 1), (2, capacity // 8), (1, 1)]:
+        tried = _planned(counts, capacity, most, max(shortest, 1))
+        number = sum(times for _, times in tried)
+        if used is None or number < used:
+            best, used = tried, number
+        if used == least:
+            break
+    return best
+
+
+def _planned(counts: dict[int, int], capacity: int, most: int, shortest: int) -> list[tuple[Pattern, int]]:
+    """A plan whose exact fills have at most ``most`` pieces, of a length of ``shortest`` or more each."""
+    left = Counter({length: n for length, n in counts.items() if n > 0})
     out: list[tuple[Pattern, int]] = []
 
     def use(lengths: tuple[int, ...]) -> None:
@@ -172,14 +191,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
                 left[length] -= times * n
 
     use((capacity,))
-    for a in range(capacity - 1, (capacity + 1) // 2 - 1, -1):
+    for a in range(capacity - shortest, (capacity + 1) // 2 - 1, -1) if most > 1 else ():
         use((a, capacity - a))
-    for a in sorted((x for x in left if left[x]), reverse=True):
-        for b in sorted((x for x in left if left[x] and x <= a), reverse=True):
+    for a in sorted((x for x in left if left[x]), reverse=True) if most > 2 else ():
+        for b in sorted((x for x in left if left[x] and shortest <= x <= a), reverse=True):
             if not left[a]:
                 break
             c = capacity - a - b
-            if 0 < c <= b and left[c]:
+            if shortest <= c <= b and left[c]:
                 use((a, b, c))
 
     gaps: dict[int, list[tuple[Pattern, int]]] = {}  # open sequences by what still fits

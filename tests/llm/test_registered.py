@@ -98,7 +98,6 @@ def test_packing(spark, sf, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     import zlib
 
     for doc, text in zip(docs.doc_id, docs.text):
