@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 SLICE_BYTES = 2 << 20
 
@@ -31,6 +32,22 @@ def back(df: DataFrame, own: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(name).alias(old) for old, name in own.items()))
 
 
+def with_text(df: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """``df`` with the text as a string, and that column's name: its own if it is a string already, which saves a copy."""
+    if text in df.columns and isinstance(df.schema[text].dataType, StringType):
+        return df, text
+    return df.withColumn("_llm_text", F.col(text).cast("string")), "_llm_text"
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def ddl(df: DataFrame, added: str) -> StructType:
     """Schema of ``df`` followed by the added columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterloom.llm.arrow import slices, utf8
+from rasterloom.llm.arrow import slices, tidy, utf8
 from rasterloom.llm.words import SEED, Words, mix
 from rasterloom.session import stored
 
@@ -132,7 +132,7 @@ def vocabulary(docs: DataFrame, seed: int) -> DataFrame:
         if held:
             yield from out(_summed(held))
         held.clear()
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     counted = docs.mapInArrow(count, "code long, lang string, word string, n long")
     return counted.repartition("code").groupBy("code", "lang", "word").agg(F.sum("n").alias("n"))
@@ -363,6 +363,7 @@ def count_longer(docs: DataFrame, levels: Levels, least: int, longest: int) -> D
                     yield from flush()
                     number = 0
         yield from flush()
+        tidy()
 
     counted = docs.mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "n"]))
     found = stored(counted.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.arrow import aside, back, ddl, extended, slices, utf8, without
+from rasterloom.llm.arrow import aside, back, ddl, extended, slices, tidy, utf8, with_text, without
 from rasterloom.llm.words import Words, alphanumeric, covered, inside, per_text
 from rasterloom.session import stored
 
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, block: Grams, text: str = "text", start_over: bool = T
     shared = spark.sparkContext.broadcast(block)
     kept = without(docs, ADDED) if start_over else docs
     names = kept.columns if start_over else [c for c in kept.columns if c not in ("n_words", "n_hit", "items", "hits")]
-    given = kept.withColumn("_llm_text", F.col(text).cast("string"))
+    given, body = with_text(kept, text)
     schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +90,8 @@ def scan(docs: DataFrame, block: Grams, text: str = "text", start_over: bool = T
         for k, (keys, _) in sizes.items():
             bits[k][keys & np.uint64((1 << 20) - 1)] = True
         for batch in batches:
-            for part in slices(batch, "_llm_text"):
-                data, offsets = utf8(part.column("_llm_text"))
+            for part in slices(batch, body):
+                data, offsets = utf8(part.column(body))
                 starts, ends, first = words.split(data, offsets)
                 hashes = words.hashes(data, starts, ends)
                 flags = np.zeros(len(starts), bool)
@@ -130,6 +130,7 @@ def scan(docs: DataFrame, block: Grams, text: str = "text", start_over: bool = T
                         "hits": pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, first).astype(np.int32)), spans),
                     },
                 )
+        tidy()
 
     return given.mapInArrow(mark, ddl(kept.select(*names), ADDED))
 

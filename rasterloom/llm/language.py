@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterloom.llm.arrow import ddl, extended, slices, without
+from rasterloom.llm.arrow import ddl, extended, slices, tidy, with_text, without
 from rasterloom.llm.words import BYTE_STEP, mix
 
 UNKNOWN = "und"
@@ -66,6 +66,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush()
                 held = 0
     yield from flush()
+    tidy()
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +232,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = without(docs, ["lang_pred", "score"])
     names = kept.columns
-    given = kept.withColumn("_llm_text", F.col(text).cast("string"))
+    given, body = with_text(kept, text)
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         in_word, letter = _classes()
         for batch in batches:
-            for part in slices(batch, "_llm_text"):
-                texts = [(value or "").lower() for value in part.column("_llm_text").to_pylist()]
+            for part in slices(batch, body):
+                texts = [(value or "").lower() for value in part.column(body).to_pylist()]
                 points = _points("\n".join([*texts, ""]))
                 edges = np.r_[0, np.cumsum([len(t) + 1 for t in texts])].astype(np.int64)
                 word = in_word[points]
@@ -258,6 +259,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 seen = (number > 0) & (np.diff(letters[edges]) > 0) & (len(model.langs) > 0)
                 langs = np.array([*model.langs, UNKNOWN], object)[np.where(seen, top, -1)]
                 yield extended(part.select(names), schema, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(np.where(seen, best, 0.0))})
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return given.mapInArrow(label, ddl(kept, "lang_pred string, score double"))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.arrow import slices, utf8
+from rasterloom.llm.arrow import slices, tidy, utf8
 from rasterloom.llm.components import components
 from rasterloom.llm.texts import FETCH_BYTES, fetch, text_hash
 from rasterloom.llm.words import SEED, Words, inside, not_blank
@@ -98,6 +98,7 @@ def _digests(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                     [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists],
                     names=["doc_id", "text_hash", "n_shingles", "set_key", "signature"],
                 )
+        tidy()
 
     given = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
     return given.mapInArrow(digest, "doc_id long, text_hash long, n_shingles long, set_key binary, signature array<int>")
@@ -138,6 +139,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int, matches
                         common = len(x) + len(y) - len(np.union1d(x, y))
                         ok.append(100 * common >= percent * (len(x) + len(y) - common))
                     yield half.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        tidy()
 
     return both.mapInArrow(confirm, "a long, b long")
 
@@ -158,6 +160,7 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
                 bits = np.stack(odd).T if odd else np.zeros((PARITY, 0), np.int64)
                 arrays = [part.column("class"), pa.array(counts, pa.int64()), lists, *(pa.array(b) for b in bits)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "shingles", *parity])
+        tidy()
 
     parity = [f"p{k}" for k in range(PARITY)]
     schema = "class long, n long, shingles array<long>, " + ", ".join(f"{p} long" for p in parity)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rasterloom.llm.arrow import ddl, slices, without
+from rasterloom.llm.arrow import ddl, slices, tidy, without
 from rasterloom.session import stored
 
 # fixed values: end-of-document id, size of a sequence
@@ -149,6 +149,7 @@ def pieces(
                 ]
                 arrays += [pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+        tidy()
 
     return taken.mapInArrow(cut, ddl(taken.select("doc_id"), out))
 
