@@ -9,23 +9,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.schema import PIXELS, PIXELS_BGR
+from rasterloom.sources.heads import Open, Read, from_ranges
 from rasterloom.sources.listing import one_slash, path_number
 
 _STRIP_BYTES = 64 * 1024
 
 
-def load_images(spark: SparkSession, path: str, image_id: Column | None = None) -> DataFrame:
+def load_images(spark: SparkSession, path: str, image_id: Column | None = None, opener: Open | None = None) -> DataFrame:
     """(image_id, path, height, width, n_channels, data) with the channels an image was stored with.
 
     ``image_id`` is an expression over the column ``path``, by default its hash; the job fails if two files have
     the same one. Files that no decoder reads stay in the table with height -1; see :func:`unreadable`. The job
-    fails on files of more than 8 bits per sample, whose values the decoder would cut; their heads are read first.
+    fails on files of more than 8 bits per sample, whose values the decoder would cut; that is told from ranges of the
+    files, which ``opener`` reads in its own way if given.
     """
     files = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
     named = files.withColumnRenamed("origin", "path")
-    contents = spark.read.format("binaryFile").load(path)
-    number = path_number(one_slash(F.col("path")), contents.select(one_slash(F.col("path")).alias("path"))) if image_id is None else image_id
-    deep = contents.select("path", "content").mapInArrow(_deep, "path STRING").agg(F.min("path")).scalar()
+    listed = spark.read.format("binaryFile").load(path).select(one_slash(F.col("path")).alias("path"))
+    number = path_number(one_slash(F.col("path")), listed) if image_id is None else image_id
+    deep = from_ranges(spark, path, declared_bits, "int", opener).where("found > 8").agg(F.min("path")).scalar()
     refused = F.raise_error(F.concat(F.lit("more than 8 bits per sample: "), deep))
     return named.select(
         number.cast("long").alias("image_id"),
@@ -39,35 +41,35 @@ def load_images(spark: SparkSession, path: str, image_id: Column | None = None)
 
 def sample_bits(content: bytes) -> int | None:
     """Bits per sample that a PNG, TIFF or JPEG file declares; None for other files."""
-    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) > 24:
-        return content[24]
-    if content[:4] in (b"II*\0", b"MM\0*"):
-        order = "little" if content[:2] == b"II" else "big"
-        read = lambda at, n: int.from_bytes(content[at : at + n], order)
-        first = read(4, 4)
-        for at in range(first + 2, first + 2 + 12 * read(first, 2), 12):
-            if read(at, 2) == 258:  # BitsPerSample, in place if it has at most two values
-                count = read(at + 4, 4)
-                place = at + 8 if count <= 2 else read(at + 8, 4)
-                return max((read(place + 2 * i, 2) for i in range(min(count, 16))), default=1)
+    return declared_bits(lambda at, n: content[at : at + n])
+
+
+def declared_bits(read: Read) -> int | None:
+    """The same, looking at a few ranges of the file: its head, a TIFF's directory, a JPEG's markers."""
+    head = read(0, 26)
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) > 24:
+        return head[24]
+    if head[:4] in (b"II*\0", b"MM\0*"):
+        order = "little" if head[:2] == b"II" else "big"
+        number = lambda at, n: int.from_bytes(read(at, n), order)
+        first = number(4, 4)
+        entries = read(first + 2, 12 * number(first, 2))
+        for at in range(0, len(entries) - 11, 12):
+            if int.from_bytes(entries[at : at + 2], order) == 258:  # BitsPerSample, in place if it has at most two values
+                count = int.from_bytes(entries[at + 4 : at + 8], order)
+                place = first + 2 + at + 8 if count <= 2 else int.from_bytes(entries[at + 8 : at + 12], order)
+                return max((number(place + 2 * i, 2) for i in range(min(count, 16))), default=1)
         return 1
-    if content[:2] == b"\xff\xd8":
+    if head[:2] == b"\xff\xd8":
         at = 2
-        while at + 9 < len(content) and content[at] == 0xFF:
-            kind = content[at + 1]
+        while len(marker := read(at, 10)) == 10 and marker[0] == 0xFF:
+            kind = marker[1]
             if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                return content[at + 4]
-            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+                return marker[4]
+            at += 2 + int.from_bytes(marker[2:4], "big")
     return None
 
 
-def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of the files with more than 8 bits per sample."""
-    for batch in batches:
-        deep = [(sample_bits(c.as_py()) or 0) > 8 for c in batch.column("content")]
-        yield batch.select(["path"]).filter(pa.array(deep, pa.bool_()))
-
-
 def unreadable(images: DataFrame) -> DataFrame:
     return images.where("height <= 0 OR width <= 0").select("image_id", "path")
 

@@ -21,6 +21,14 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.lit(found)).alias("uri")).select(plain_path(F.col("uri")).alias("path"))
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path) of the files without any byte; None if there are none, which counting shows."""
+    files = spark.read.format("binaryFile").load(path)
+    if len(files._jdf.inputFiles()) == files.select("path").count():
+        return None
+    return listed_files(spark, path).join(files.select(one_slash(F.col("path")).alias("path")), "path", "left_anti")
+
+
 def path_number(path: Column, paths: DataFrame) -> Column:
     """A 64-bit number of a path; the job fails if two of ``paths`` (path) have the same one."""
     seen = paths.select("path").distinct().groupBy(F.xxhash64("path").alias("n")).agg(F.min("path").alias("a"), F.max("path").alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rasterloom.functions.pixel import clamp_int
 from rasterloom.schema import checked_level
-from rasterloom.sources.lines import files_without_lines, numbered_lines, placed_lines
+from rasterloom.sources.lines import files_without_lines, numbered_lines, split_counts
 from rasterloom.sources.listing import path_number
 
 
@@ -21,18 +21,21 @@ def read_matrices(
 
     The image is the ``image_id=`` folder of a file if there is one, else ``image_id``, an expression
     over the column ``path`` (by default its hash). ``clamp`` limits cells to 0..255; without it a cell
-    outside fails the job. ``strict`` fails on files without any row, which is looked up now, in a job.
+    outside fails the job. ``strict`` fails on files without any row. The text is read twice: now, to count the lines
+    of its splits, and when the pixels are wanted.
     """
     foldered = "image_id" in spark.read.text(path).columns
-    lines = numbered_lines(spark, path, key="image_id" if foldered else None)
-    if strict:
-        empty = [row.path for row in files_without_lines(spark, path, placed_lines(spark, path)).limit(10).collect()]
-        if empty:
-            raise ValueError(f"input matrix is empty: {empty}")
+    key = "image_id" if foldered else None
+    splits = split_counts(spark, path, key)
+    lines = numbered_lines(spark, path, key, splits)
+    if strict and (empty := files_without_lines(spark, path, splits)) is not None:
+        names = [row.path for row in empty.limit(10).collect()]
+        if names:
+            raise ValueError(f"input matrix is empty: {names}")
     if foldered:
         image = F.col("image_id").cast("long")
     else:
-        number = path_number(F.col("path"), placed_lines(spark, path)) if image_id is None else image_id
+        number = path_number(F.col("path"), splits) if image_id is None else image_id
         image = number.cast("long")
     cells = lines.select(image.alias("image_id"), F.col("line").cast("int").alias("y"), F.posexplode(F.split("value", ",")).alias("x", "cell"))
     refused = F.raise_error(F.concat(F.lit("not an integer matrix cell: "), F.col("cell")))

@@ -210,3 +210,96 @@ def test_bucketed_pixels_are_not_shuffled(spark, gray):
     assert "SortMergeJoin" in plan and len(shuffled) == 1
     assert joined.count() == 96 and joined.where("cluster NOT BETWEEN 0 AND 2").count() == 0
     spark.sql("DROP TABLE fleet")
+
+
+def _counting(folder):
+    """An opener that notes how many bytes of a file were asked for."""
+
+    def opener(path):
+        import os
+        import uuid
+
+        from rasterloom.sources.heads import open_ranges
+
+        read = open_ranges(path)
+
+        def noted(at, n):
+            got = read(at, n)
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                out.write(str(len(got)))
+            return got
+
+        return noted
+
+    return opener
+
+
+def _asked(folder):
+    return sum(int(f.read_text()) for f in folder.iterdir())
+
+
+def test_audit_reads_heads_only(spark, tmp_path):
+    """A container of a gigabyte costs as many bytes as an empty one."""
+    from rasterloom import fixed_values as fixed
+    from rasterloom.operators import huffman
+    from rasterloom.sources import containers
+
+    files, notes = tmp_path / "files", tmp_path / "notes"
+    files.mkdir(), notes.mkdir()
+    bits = 8 * (1 << 30)
+    counts = [0] * 256
+    counts[7] = 1 << 31
+    words = [1 << 16, 1 << 15, bits & 0xFFFFFFFF]
+    head = fixed.GRAY_MAGIC.encode() if isinstance(fixed.GRAY_MAGIC, str) else bytes(fixed.GRAY_MAGIC)
+    head += b"".join(w.to_bytes(4, "little") for w in [*words, *counts])
+    with open(files / "large.bin", "wb") as out:
+        out.write(head)
+        out.truncate(1 << 30)  # sparse
+    (files / "none.bin").write_bytes(b"")
+    (files / "short.bin").write_bytes(head[:50])
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in huffman.audit(containers.read_containers(spark, str(files), _counting(str(notes)))).collect()}
+    assert rows["large.bin"]["length"] == 1 << 30 and rows["large.bin"]["counted"] == 1 << 31
+    assert rows["short.bin"]["problem"] == "truncated header" and rows["none.bin"]["problem"] == "bad magic"
+    assert _asked(notes) <= 2 * containers.HEAD_BYTES
+
+
+def test_depth_is_told_from_ranges(tmp_path):
+    from rasterloom.sources.heads import open_ranges
+    from rasterloom.sources.images import declared_bits, sample_bits
+
+    entry = lambda tag, count, value: tag.to_bytes(2, "little") + b"\3\0" + count.to_bytes(4, "little") + value.to_bytes(4, "little")
+    far = 1 << 28
+    directory = (2).to_bytes(2, "little") + entry(256, 1, 9) + entry(258, 3, far - 8)
+    path = tmp_path / "far.tif"
+    with open(path, "wb") as out:
+        out.write(b"II*\0" + far.to_bytes(4, "little"))
+        out.seek(far - 8)
+        out.write((16).to_bytes(2, "little") * 3)
+        out.seek(far)
+        out.write(directory)
+    total = 0
+    read = open_ranges(str(path))
+
+    def noted(at, n):
+        nonlocal total
+        got = read(at, n)
+        total += len(got)
+        return got
+
+    assert declared_bits(noted) == 16 and total < 100
+    jpeg = b"\xff\xd8" + b"\xff\xe0\x00\x10" + bytes(14) + b"\xff\xc0\x00\x11\x0c" + bytes(20)
+    assert sample_bits(jpeg) == 12 and sample_bits(b"\x89PNG\r\n\x1a\n" + bytes(16) + b"\x10" + bytes(4)) == 16
+    assert sample_bits(b"") is None and sample_bits(b"II*\0") in (1, None) and sample_bits(b"plain") is None
+
+
+def test_matrix_text_is_read_twice_and_paths_stay_out_of_the_plan(spark, tmp_path):
+    from rasterloom.sources import matrices
+
+    for i in range(30):
+        (tmp_path / f"matrix-{i:03d}.csv").write_text("\n".join(f"{i},{j}" for j in range(5)) + "\n\n")
+    pixels = matrices.read_matrices(spark, str(tmp_path))
+    plan = pixels._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "matrix-000" not in plan
+    rows = pixels.groupBy("image_id").agg({"v": "sum", "y": "max", "*": "count"}).collect()
+    assert sorted(r["sum(v)"] for r in rows) == sorted(5 * i + 10 for i in range(30))
+    assert {(r["max(y)"], r["count(1)"]) for r in rows} == {(4, 10)}
