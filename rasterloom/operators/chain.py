@@ -34,66 +34,70 @@ class _Step:
     table: DataFrame | None = None
 
 
+# what a step sees: the image, its counted levels or the image itself, and the shapes
+_Apply = Callable[[DataFrame, DataFrame, DataFrame, Params], _Step]
+
+
 def _int(params: Params, key: str, default: int) -> int:
     return int(params.get(key, default))
 
 
-def _grayscale(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _grayscale(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     return _Step(px.to_grayscale(image), {})
 
 
-def _negative(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _negative(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     return _Step(px.negative(image), {})
 
 
-def _brightness(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _brightness(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     value = _int(params, "value", fixed.BRIGHTNESS)
     return _Step(px.brightness(image, value), {"value": value})
 
 
-def _threshold(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _threshold(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     value = _int(params, "value", fixed.THRESHOLD)
     return _Step(px.threshold(image, value), {"value": value})
 
 
-def _mean_filter(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _mean_filter(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     window = max(fixed.MEAN_WINDOW, _int(params, "window", fixed.MEAN_WINDOW) | 1)
     return _Step(stencil.mean_filter(image, window), {"window": window})
 
 
-def _laplacian(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _laplacian(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     return _Step(stencil.laplacian(px.to_grayscale(image)), {})
 
 
-def _kmeans(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _kmeans(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     lo, hi = fixed.KMEANS_K_LIMITS
     k = max(lo, min(_int(params, "K", _int(params, "value", fixed.KMEANS_K)), hi))
     gray = px.to_grayscale(image)
     ranges = params.get("ranges")
     if isinstance(ranges, str):
         ranges = [tuple(int(b) for b in token.split("-", 1)) for token in ranges.split(",") if "-" in token]
-    model = cluster.kmeans(gray, k, _int(params, "maxIter", fixed.KMEANS_MAX_ITER), ranges)
+    model = cluster.kmeans(px.to_grayscale(levels), k, _int(params, "maxIter", fixed.KMEANS_MAX_ITER), ranges)
     labelled = cluster.labels(gray, model).withColumnRenamed("cluster", "v")
     return _Step(labelled, {"clusters": k})
 
 
-def _compress(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
-    report = huffman.sizes(huffman.code_books(image), is_colour(image))
+def _compress(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+    report = huffman.sizes(huffman.code_books(levels), is_colour(image))
     names = ["original_bytes", "compressed_bytes", "payload_bits", "unique_values"]
     notes = F.create_map(*[part for n in names for part in (F.lit(n), F.col(n).cast("string"))])
     return _Step(image, {}, report.select("image_id", notes.alias("found")))
 
 
-def _statistics(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
-    return _Step(image, {}, table=histogram.statistics(px.to_grayscale(image)))
+def _statistics(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+    return _Step(image, {}, table=histogram.statistics(px.to_grayscale(levels)))
 
 
-def _histogram(image: DataFrame, shapes: DataFrame, params: Params) -> _Step:
+def _histogram(image: DataFrame, levels: DataFrame, shapes: DataFrame, params: Params) -> _Step:
     modes = {key: params[key] for key in ("mode", "bins", "density", "cumulative", "smoothing") if key in params}
-    return _Step(image, {}, table=histogram.plot_table(image, **modes))
+    return _Step(image, {}, table=histogram.plot_table(levels, **modes))
 
 
-OPERATIONS: dict[str, Callable[[DataFrame, DataFrame, Params], _Step]] = {
+OPERATIONS: dict[str, _Apply] = {
     "grayscale": _grayscale,
     "negative": _negative,
     "brightness": _brightness,
@@ -115,6 +119,10 @@ SILENT = {"laplacian", "statistics", "histogram"}
 HEAVY = {"meanfilter", "laplacian", "kmeans"}
 # these read their pixels more than once
 REPEATED = {"meanfilter", "laplacian", "kmeans", "huffman_compress", "histogram"}
+# these need only the levels of a gray image, counted once
+COUNTED = {"kmeans", "huffman_compress", "statistics", "histogram"}
+# these change a gray level to another one, so they change counted levels as they change pixels
+POINTWISE = {"grayscale", "negative", "brightness", "threshold"}
 
 NAMES = {*OPERATIONS, "distance", "huffman_decompress"}
 
@@ -141,13 +149,17 @@ def run_chain(image: DataFrame | None, steps: list[tuple[str, Params]]) -> Chain
     is; ``huffman_decompress`` starts from ``segments`` and ``books``; ``statistics`` and ``histogram`` put a
     table into the result.
 
-    Jobs that run now: the shapes of the images are settled once, for the metadata of all steps; pixels that came out
-    of a shuffle are written to the shared folder before a step that reads them more than once; and ``kmeans``
-    settles its lookups. Everything else is left to the caller's action.
+    The levels of a gray image are counted once, at the first step that asks for them. Pointwise steps are applied to
+    the 256 counts as well as to the pixels, so statistics, histograms, sizes and cluster models further down the
+    chain do not look at a pixel again, until a step moves pixels or labels them.
+
+    Jobs that run now: the shapes of the images are settled once, for the metadata of all steps, and so are counted
+    levels; pixels that came out of a shuffle are written to the shared folder before a step that reads them more than
+    once; and ``kmeans`` settles its lookups. Everything else is left to the caller's action.
     """
     result = ChainResult(image, None)
     shapes = None if image is None else settle(image_shapes(image))
-    heavy = False
+    heavy, levels = False, None
     for number, (asked, params) in enumerate(steps):
         name = ALIASES.get(asked, asked)
         if not name:
@@ -161,14 +173,20 @@ def run_chain(image: DataFrame | None, steps: list[tuple[str, Params]]) -> Chain
         if name == "huffman_decompress":
             result.image = huffman.decode(params["segments"], params["books"], _int(params, "channels", 1) > 1)
             result.image = stored(result.image)
-            shapes = settle(image_shapes(result.image))
+            shapes, levels = settle(image_shapes(result.image)), None
             _add(result, _metadata(shapes, number, name, _Step(result.image, {})))
             continue
         if result.image is None:
             raise ValueError(f"Operation requires an image: {name}")
         if heavy and name in REPEATED:
             result.image, heavy = stored(result.image), False
-        step = OPERATIONS[name](result.image, shapes, params)
+        if name in COUNTED and levels is None and not is_colour(result.image):
+            levels = histogram.counted_levels(result.image)
+        step = OPERATIONS[name](result.image, result.image if levels is None else levels, shapes, params)
+        if name in POINTWISE and levels is not None:
+            levels = OPERATIONS[name](levels, levels, shapes, params).image
+        elif name in HEAVY:
+            levels = None
         heavy |= name in HEAVY
         if name not in SILENT:
             _add(result, _metadata(shapes, number, name, step))

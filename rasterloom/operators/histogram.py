@@ -1,7 +1,8 @@
 """Exact 256-level histograms and everything that follows from them (A1..A5, A13, N6).
 
 The histogram is the only pixel-sized aggregation: it is combined map-side, so a task ships at most 256
-rows per image and band, however large an image is.
+rows per image and band, however large an image is. Gray operators also take levels that are counted
+already (image_id, v, n), see :func:`counted_levels`: pointwise operations on these cost 256 rows an image.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom import fixed_values as fixed
 from rasterloom.operators.pixels import split_channels
-from rasterloom.schema import LEVELS, checked_level, is_colour
+from rasterloom.schema import LEVELS, checked_level, is_colour, is_counted
+from rasterloom.session import settle
 
 SERIES = ["image_id", "band"]
 
@@ -30,11 +32,21 @@ def _with_band(table: DataFrame) -> DataFrame:
 def _level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
     if is_colour(pixels):
         values = split_channels(pixels, bands or ("red", "green", "blue"))
+    elif is_counted(pixels):
+        return _checked(pixels.groupBy("image_id", "v").agg(F.sum("n").alias("n")))
     else:
         values = pixels.select("image_id", "v")
     return _checked(values.groupBy(*_series(values), "v").agg(F.count(F.lit(1)).alias("n")))
 
 
+def counted_levels(gray: DataFrame) -> DataFrame:
+    """(image_id, v, n) of gray pixels, counted now and held as a checkpoint of at most 256 rows per image.
+
+    Histograms, statistics, code books and k-means take it in place of the pixels, also after pointwise operations.
+    """
+    return settle(_level_counts(gray))
+
+
 def _checked(counts: DataFrame) -> DataFrame:
     """The job fails on a level outside 0..255; looked at once per level, not per pixel."""
     return counts.withColumn("v", checked_level(F.col("v")))
@@ -56,7 +68,7 @@ def byte_counts(pixels: DataFrame) -> DataFrame:
         channels = [c for c in ("b", "g", "r", "a") if c in pixels.columns]
         values = pixels.select("image_id", F.explode(F.array(*channels)).alias("v")).where("v IS NOT NULL")
     else:
-        values = pixels.select("image_id", "v")
+        return _level_counts(pixels)
     return _checked(values.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -167,7 +179,20 @@ def plot_table(
 
 
 def statistics(pixels: DataFrame) -> DataFrame:
-    """Minimum, maximum, mean and population standard deviation of gray pixels per image (A1)."""
+    """Minimum, maximum, mean and population standard deviation of gray pixels per image (A1).
+
+    Those of counted levels come from exact integer sums.
+    """
+    if is_counted(pixels):
+        total, squares = (F.sum(F.col("n") * part).cast("decimal(38,0)") for part in (F.col("v"), F.col("v") * F.col("v")))
+        sums = pixels.groupBy("image_id").agg(
+            F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.sum("n").alias("n"), total.alias("s1"), squares.alias("s2")
+        )
+        # n s2 - s1^2 is exact: neither product passes 38 digits below 10^15 pixels
+        exact = F.expr("CAST(CAST(n AS DECIMAL(18,0)) * CAST(s2 AS DECIMAL(20,0)) - CAST(s1 AS DECIMAL(18,0)) * CAST(s1 AS DECIMAL(18,0)) AS DOUBLE)")
+        return sums.select(
+            "image_id", "min_value", "max_value", (F.col("s1").cast("double") / F.col("n")).alias("mean"), (F.sqrt(exact) / F.col("n")).alias("std_dev")
+        )
     return pixels.groupBy("image_id").agg(
         F.min("v").alias("min_value"),
         F.max("v").alias("max_value"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -454,6 +455,17 @@ def chain_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "std_dev")})
 
 
+@_query
+def chain_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics and sizes along a chain of pointwise steps, all from levels counted once."""
+    steps = [("huffman_compress", {}), ("negative", {}), ("statistics", {}), ("brightness", {"value": 60}), ("statistics", {}), ("threshold", {"value": 200}), ("statistics", {})]
+    result = chain.run_chain(GRAY(spark, sf), [*steps, ("compress", {})])
+    tables = [table.withColumn("step", F.lit(step)) for step, table in result.tables.items()]
+    found = reduce(DataFrame.unionByName, tables).withColumns({c: F.round(c, 6) for c in ("mean", "std_dev")})
+    levels = result.metadata.where(F.col("step") == len(steps)).select("image_id", F.col("metadata")["unique_values"].cast("int").alias("last_levels"))
+    return found.join(levels, "image_id")
+
+
 @_query
 def chain_histogram(spark: SparkSession, sf: str) -> DataFrame:
     binned = chain.run_chain(GRAY(spark, sf), [("histogram", {"bins": 100})]).tables[0]

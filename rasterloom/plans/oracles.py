@@ -691,6 +691,16 @@ def sql() -> dict[str, str]:
         "SELECT image_id, 255 - max(v) AS min_value, 255 - min(v) AS max_value, round(avg(255 - v), 6) AS mean,"
         " round(stddev_pop(v), 6) AS std_dev FROM r1 GROUP BY 1"
     )
+    changed = [(2, "255 - v"), (4, "least(255, 315 - v)"), (6, "CASE WHEN least(255, 315 - v) > 200 THEN 255 ELSE 0 END")]
+    out["chain_counted"] = r1(
+        "SELECT image_id, min_value, max_value, mean, std_dev, step, last_levels FROM ("
+        + " UNION ALL ".join(
+            f"SELECT image_id, min({v}) AS min_value, max({v}) AS max_value, round(avg({v}), 6) AS mean,"
+            f" round(stddev_pop({v}), 6) AS std_dev, {step} AS step FROM r1 GROUP BY 1"
+            for step, v in changed
+        )
+        + f") JOIN (SELECT image_id, CAST(count(DISTINCT {changed[-1][1]}) AS INTEGER) AS last_levels FROM r1 GROUP BY 1) USING (image_id)"
+    )
     out["chain_histogram"] = out["hist_rebin_100"]
     out["chain_distance"] = _with(
         E1, PAIRS,

@@ -17,6 +17,11 @@ def is_colour(pixels: DataFrame) -> bool:
     return {"b", "g", "r"} <= set(pixels.columns)
 
 
+def is_counted(pixels: DataFrame) -> bool:
+    """Whether a gray table holds counted levels (image_id, v, n) in place of pixels."""
+    return {"v", "n"} <= set(pixels.columns) and "x" not in pixels.columns
+
+
 def value_columns(pixels: DataFrame) -> list[str]:
     return ["b", "g", "r"] if is_colour(pixels) else ["v"]
 

@@ -85,3 +85,33 @@ def test_errors(gray):
             chain.run_chain(gray({0: [[1]]}), steps)
     with pytest.raises(ValueError, match="requires an image"):
         chain.run_chain(None, [("negative", {})])
+
+
+def test_levels_are_counted_once(gray, spark, tmp_path):
+    """Behind the first count no step reads a pixel again; a step that moves pixels starts over."""
+    gray(IMAGES).write.parquet(str(tmp_path / "pixels"))
+    pixels = spark.read.parquet(str(tmp_path / "pixels"))
+    steps = [("statistics", {}), ("negative", {}), ("brightness", {"value": 30}), ("statistics", {}), ("huffman_compress", {}), ("threshold", {}), ("histogram", {})]
+    result = chain.run_chain(pixels, steps)
+    for table in result.tables.values():
+        assert "parquet" not in table._jdf.queryExecution().optimizedPlan().toString().lower()
+    now = np.clip(285 - IMAGES[0], 0, 255)
+    row = result.tables[3].where("image_id = 0").first()
+    assert (row.min_value, row.max_value, row["mean"]) == (now.min(), now.max(), now.mean())
+    assert abs(row.std_dev - now.std()) < 1e-9
+    assert notes(result)[4]["unique_values"] == str(len(np.unique(now)))
+    assert {r.v if "v" in r else r.lo: r.mass for r in result.tables[6].where("image_id = 0 AND mass > 0").collect()} == {0.0: (now <= 127).sum(), 255.0: (now > 127).sum()}
+    moved = chain.run_chain(pixels, [("statistics", {}), ("meanfilter", {}), ("statistics", {})])
+    again = chain.run_chain(pixels, [("meanfilter", {}), ("statistics", {})])
+    assert sorted(moved.tables[2].collect()) == sorted(again.tables[1].collect())
+
+
+def test_counted_levels_give_what_pixels_give(gray):
+    from rasterloom.operators import histogram
+
+    pixels = gray(IMAGES)
+    levels = histogram.counted_levels(pixels)
+    model, other = (cluster.kmeans(x, 4).orderBy("image_id").collect() for x in (pixels, levels))
+    assert model == other
+    assert huffman.code_books(levels).orderBy("image_id").collect() == huffman.code_books(pixels).orderBy("image_id").collect()
+    assert histogram.exact_histogram(levels).collect() and sorted(histogram.exact_histogram(levels).collect()) == sorted(histogram.exact_histogram(pixels).collect())
