@@ -108,14 +108,27 @@ def lookup_join(
     return heavy.unionByName(light.join(wanted.hint("merge"), keys, how))
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], salts: int = 64
-) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], salts: int = 64) -> DataFrame:
     """Inner equi-join by shuffle where one key may hold a large share of ``big``.
 
-    Rows of ``big`` are spread over ``salts`` sub-keys by a hash of the ``spread`` columns; ``small`` is
-    repeated once per sub-key.
+    The rows of ``big`` are counted per key first. Keys that hold at least 1/HOT_SHARE of them, so at most HOT_SHARE keys,
+    are dealt out over sub-keys by a hash of the ``spread`` columns, ``salts`` at most and as many as their rows fill;
+    rows of ``small`` are repeated for the sub-keys of such keys only.
+    """
+    weights = settle_hot(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), salts)
+    salted = big.join(F.broadcast(weights), keys, "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")))
+    copies = small.join(F.broadcast(weights), keys, "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)).cast("int") - 1)))
+    return salted.drop("_parts").join(copies.drop("_parts").hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
+def settle_hot(counts: DataFrame, most: int) -> DataFrame:
+    """Of (keys, _rows) the keys with at least 1/HOT_SHARE of all rows, and into how many ``_parts`` each is dealt.
+
+    A part holds about 1/HOT_SHARE of the rows, or more if a key would have over ``most`` parts.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("merge"), [*keys, "_salt"]).drop("_salt")
+    counts = settle(counts)
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    parts = F.least(F.lit(most), F.ceil(F.col("_rows") * HOT_SHARE / F.lit(max(total, 1)))).cast("long")
+    return settle(counts.where(F.col("_rows") * HOT_SHARE >= total).select(*[c for c in counts.columns if c != "_rows"], parts.alias("_parts")))

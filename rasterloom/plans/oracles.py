@@ -30,9 +30,6 @@ DIMS = {
     7: (EQUAL[7], NAMES[:7], COLOURS[7]),
     9: (EQUAL[9], NAMES, COLOURS[9]),
 }
-SCRIPT = """//VERSION=3
-function setup() { return { input: ["B02", "B03", "B04"], output: { bands: 3 } }; }
-function evaluatePixel(px) { return [px.B04 * 2.5, px.B03 * 2.5, px.B02 * 2.5]; }"""
 
 
 def _level(e: str) -> str:
@@ -558,7 +555,7 @@ def sql() -> dict[str, str]:
         G1, G2, RESOLVED, _boxed("resolved"),
         f"SELECT c_custkey, concat(translate(upper(trim(name)), ' /', '__'), '.png') AS cache_key, {size}, {corners},"
         f" '{fixed.SCENE_COLLECTION}' AS collection, '{fixed.SCENE_FROM}' AS date_from, '{fixed.SCENE_TO}' AS date_to,"
-        f" '{fixed.SCENE_ORDER}' AS mosaicking, {_text(SCRIPT)} AS script FROM boxed WHERE code IS NOT NULL",
+        f" '{fixed.SCENE_ORDER}' AS mosaicking, {_text(fixed.COMPOSITE_SCRIPT)} AS script FROM boxed WHERE code IS NOT NULL",
     )
 
     def requests(rule: str) -> list[str]:

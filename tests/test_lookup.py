@@ -36,3 +36,18 @@ def test_a_settled_table_is_not_computed_again(spark):
         assert not context.statusTracker().getJobIdsForGroup("again")
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_only_hot_keys_are_dealt_out(spark):
+    """Of a key with half of all rows the small rows are repeated, of the others not."""
+    from rasterloom.operators import lookup
+
+    big = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 5000).alias("k"), "id")
+    hot = lookup.settle_hot(big.groupBy("k").agg(F.count(F.lit(1)).alias("_rows")), 64).collect()
+    assert [(r["k"], r["_parts"]) for r in hot] == [(-1, 64)]
+    small = spark.range(-1, 3000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
+    got = lookup.salted_join(big, small, ["k"], ["id"])
+    assert sorted(got.columns) == ["id", "k", "w"]
+    want = big.join(small, "k")
+    assert got.select("id", "k", "w").exceptAll(want.select("id", "k", "w")).isEmpty() and got.count() == want.count()
+    assert lookup.salted_join(big.limit(0), small, ["k"], ["id"]).count() == 0

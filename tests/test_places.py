@@ -63,7 +63,7 @@ def test_manifest(spark, gazetteer):
     assert source["type"] == "sentinel-2-l2a" and source["dataFilter"]["mosaickingOrder"] == "leastCC"
     assert source["dataFilter"]["timeRange"] == {"from": "2026-05-01T00:00:00Z", "to": "2026-07-01T00:00:00Z"}
     assert payload["input"]["bounds"]["bbox"] == [row.box.west, row.box.south, row.box.east, row.box.north]
-    assert "px.B04 * 2.5, px.B03 * 2.5, px.B02 * 2.5" in payload["evalscript"]
+    assert "sample.B04 * 2.5, sample.B03 * 2.5, sample.B02 * 2.5" in payload["evalscript"]
     fixed = places.scene_manifest(places.resolve(names_of(spark, "F-8"), *gazetteer), size=(10, 20)).first()
     assert json.loads(fixed.payload)["output"]["height"] == 20
 
