@@ -2,8 +2,9 @@
 
 Pixels are packed into square tiles, one shuffle of one integer per pixel. A tile then sends its packed bytes to
 every tile that they lie near, a second shuffle of about one byte per channel. A task computes one tile at a time
-from the bytes around it, with running sums, so neither the window nor the image has a bound; a task holds about
-(tile + window)^2 bytes per channel. Borders mirror without repeating the edge pixel.
+from the bytes around it, with running sums, and holds about (tile + window)^2 bytes per channel. Windows that reach
+beyond the next tile are summed by :mod:`summed_area` instead, at a cost that does not depend on the window. Borders
+mirror without repeating the edge pixel.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rasterloom import fixed_values as fixed
-from rasterloom.schema import LEVELS, PIXELS, PIXELS_BGR, is_colour
+from rasterloom.operators import summed_area
+from rasterloom.schema import LEVELS, PIXELS, PIXELS_BGR, image_shapes, is_colour
 
 TILE = 256
 _TILE_KEYS = ["image_id", "ty", "tx"]
@@ -71,6 +73,23 @@ def _planes(items: np.ndarray, tile: int, colour: bool, where: str) -> np.ndarra
     return np.stack([(value >> s).astype(np.uint8) & (1 if s == 32 else 255) for s in shifts]).reshape(-1, rows, cols)
 
 
+def _packed(tiles: DataFrame, tile: int, colour: bool) -> DataFrame:
+    """(image_id, ty, tx, rows, cols, planes): the bytes of every tile."""
+    names = ["image_id", "ty", "tx", "rows", "cols", "planes"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, (image, ty, tx) in enumerate(zip(*(batch.column(c).to_pylist() for c in _TILE_KEYS))):
+                planes = _planes(batch.column("items")[row].values.to_numpy(), tile, colour, f"image {image}, tile {ty}, {tx}")
+                out.append((image, ty, tx, *planes.shape[1:], planes.tobytes()))
+            kinds = [pa.int64(), *[pa.int32()] * 4, pa.binary()]
+            columns = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return tiles.mapInArrow(pack, "image_id BIGINT, ty INT, tx INT, rows INT, cols INT, planes BINARY")
+
+
 def _near(tiles: DataFrame, radius: int, tile: int, colour: bool) -> DataFrame:
     """Every tile's own bytes, and the parts of them that lie within ``radius`` of another tile."""
     reach = -(-radius // tile)
@@ -165,48 +184,62 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 def _neighbourhoods(pixels: DataFrame, radius: int, tile: int, compute: Callable[[_Tile], list[np.ndarray]]) -> DataFrame:
     """New channels of every pixel, computed tile by tile; alpha is carried over."""
     colour = is_colour(pixels)
-    alpha = colour and "a" in pixels.columns
-    schema = PIXELS_BGR if colour else PIXELS
-    names = ["image_id", "y", "x", *(("b", "g", "r", "a") if colour else ("v",))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in _grouped(batches):
             if not any(p["own"] for p in pieces):  # beyond the image
                 continue
             part = _Tile(pieces, radius, tile, 5 if colour else 1)
-            y, x = np.mgrid[part.top : part.top + part.rows, part.left : part.left + part.cols]
-            columns = [np.full(y.size, pieces[0]["image_id"], np.int64), y.ravel().astype(np.int32), x.ravel().astype(np.int32)]
-            columns += [c.ravel().astype(np.int32) for c in compute(part)]
-            arrays = [pa.array(c) for c in columns]
-            if colour:
-                arrays.append(pa.array(part.own(3).ravel().astype(np.int32), mask=part.own(4).ravel().astype(bool)))
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield _pixel_rows(pieces[0]["image_id"], part.top, part.left, compute(part), (part.own(3), part.own(4)) if colour else None)
 
     pieces = _near(_tiles(pixels, tile), radius, tile, colour)
     placed = pieces.repartition(*_TILE_KEYS).sortWithinPartitions(*_TILE_KEYS)
-    out = placed.mapInArrow(run, schema)
-    return out if alpha or not colour else out.drop("a")
+    return _with_given_alpha(placed.mapInArrow(run, PIXELS_BGR if colour else PIXELS), pixels)
+
+
+def _pixel_rows(image: int, top: int, left: int, channels: list[np.ndarray], alpha: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    """Rows of a tile's pixels; ``alpha`` holds its values and where they are missing."""
+    rows, cols = channels[0].shape
+    y, x = np.mgrid[top : top + rows, left : left + cols]
+    columns = [np.full(y.size, image, np.int64), *(c.ravel().astype(np.int32) for c in (y, x, *channels))]
+    arrays = [pa.array(c) for c in columns]
+    if alpha is not None:
+        arrays.append(pa.array(alpha[0].ravel().astype(np.int32), mask=alpha[1].ravel().astype(bool)))
+    return pa.RecordBatch.from_arrays(arrays, names=["image_id", "y", "x", *(("v",) if alpha is None else ("b", "g", "r", "a"))])
+
+
+def _with_given_alpha(out: DataFrame, pixels: DataFrame) -> DataFrame:
+    return out if "a" in pixels.columns or "a" not in out.columns else out.drop("a")
 
 
 def mean_filter(pixels: DataFrame, window: int = fixed.MEAN_WINDOW, tile: int = TILE, rounding: str | None = None) -> DataFrame:
     """Box mean with a mirrored border (N2, N4). The window may be of any size.
 
     ``rounding`` is ``down`` or ``nearest``; by default gray pixels are rounded down and colour to nearest. The job
-    fails on images with missing or repeated pixels.
+    fails on images with missing or repeated pixels. For a window that reaches beyond the next tile the sizes of the
+    images are settled now.
     """
     radius = int(window) // 2
     cells = (2 * radius + 1) ** 2
-    channels = 3 if is_colour(pixels) else 1
+    colour = is_colour(pixels)
+    channels = 3 if colour else 1
     rounding = rounding or ("nearest" if channels == 3 else "down")
     if rounding not in ("down", "nearest"):
         raise ValueError(f"unknown rounding: {rounding}")
 
-    def mean(part: _Tile) -> list[np.ndarray]:
-        sums = [part.box_sums(c, radius) for c in range(channels)]
+    def rounded(sums: np.ndarray) -> np.ndarray:
         # the number of cells is odd, so a tie cannot occur
-        return [(2 * s + cells) // (2 * cells) if rounding == "nearest" else s // cells for s in sums]
+        return (2 * sums + cells) // (2 * cells) if rounding == "nearest" else sums // cells
+
+    if radius <= tile:
+        return _neighbourhoods(pixels, radius, tile, lambda part: [rounded(part.box_sums(c, radius)) for c in range(channels)])
 
-    return _neighbourhoods(pixels, radius, tile, mean)
+    def make(image: int, top: int, left: int, sums: np.ndarray, own: np.ndarray | None) -> pa.RecordBatch:
+        return _pixel_rows(image, top, left, list(rounded(sums)), None if own is None else (own[3], own[4]))
+
+    packed = _packed(_tiles(pixels, tile), tile, colour)
+    schema = PIXELS_BGR if colour else PIXELS
+    return _with_given_alpha(summed_area.box_sums(packed, image_shapes(pixels), radius, tile, channels, colour, make, schema), pixels)
 
 
 def laplacian(pixels: DataFrame, tile: int = TILE) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from rasterloom import schema
-from rasterloom.operators import stencil
+from rasterloom.operators import stencil, summed_area
 
 RNG = np.random.default_rng(3)
 
@@ -117,3 +117,34 @@ def test_many_small_images(gray, raster):
 def test_pixels_are_shuffled_once_and_packed_bytes_once(gray):
     plan = stencil.mean_filter(gray({0: [[1, 2], [3, 4]]}), 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("shape", [(50, 45), (64, 16), (1, 40), (40, 1), (1, 1), (2, 3), (17, 33)])
+@pytest.mark.parametrize("radius", [9, 23, 70])
+def test_windows_of_many_tiles(gray, raster, shape, radius):
+    images = {0: RNG.integers(0, 256, shape), 5: RNG.integers(0, 256, (9, 21))}
+    out = stencil.mean_filter(gray(images), 2 * radius + 1, tile=8)
+    for i, image in images.items():
+        assert (raster(out, i) == box(image, radius) // (2 * radius + 1) ** 2).all()
+
+
+def test_wide_colour_mean_keeps_alpha(spark, raster):
+    image = RNG.integers(0, 256, (20, 23, 4))
+    rows = [(1, y, x, *map(int, image[y, x, :3]), int(image[y, x, 3]) if x % 2 else None) for y in range(20) for x in range(23)]
+    near = stencil.mean_filter(spark.createDataFrame(rows, schema.PIXELS_BGR), 25, tile=64)
+    wide = stencil.mean_filter(spark.createDataFrame(rows, schema.PIXELS_BGR), 25, tile=4)
+    assert wide.columns == near.columns
+    assert sorted(wide.collect(), key=lambda r: r[:3]) == sorted(near.collect(), key=lambda r: r[:3])
+
+
+def test_a_tile_is_made_from_few_parts_whatever_the_window():
+    for radius in (300, 1024, 20_000):
+        asked = summed_area._askers(100_000, radius, 256)
+        parts = [at for source in asked for at, _, _ in source]
+        assert max(parts.count(at) for at in set(parts)) <= 6
+        assert sum(high - low for source in asked for _, low, high in source) <= 2.1 * 100_000 + 512 * 256
+
+
+def test_wide_windows_refuse_missing_pixels(gray):
+    with pytest.raises(PySparkException, match="missing or repeated pixels"):
+        stencil.mean_filter(gray({0: RNG.integers(0, 256, (30, 30))}).where("NOT (y BETWEEN 8 AND 15 AND x BETWEEN 8 AND 15)"), 41, tile=8).count()
