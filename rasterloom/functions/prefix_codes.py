@@ -61,6 +61,54 @@ def decode(
     if not total:
         return np.zeros(0, np.uint8), begins, sound & (np.asarray(bits) == 0)
 
+    owner = np.repeat(np.arange(len(lanes)), lanes)
+    base = _first_bits(payloads)
+    place = np.concatenate([np.asarray(m, np.int64) for m in marks]) + base[owner]
+    final = np.cumsum(lanes)[lanes > 0] - 1  # last lane of each payload
+    stop = np.r_[place[1:], 0]
+    stop[final] = (base + np.asarray(bits, np.int64))[lanes > 0]
+    need = np.full(total, LANE)
+    need[final] = (counts - (lanes - 1) * LANE)[lanes > 0]
+    out, good = _forward(payloads, books, owner, place, stop, need)
+    unsound = np.bincount(owner, ~good, len(lanes)) > 0
+    return out[np.arange(LANE) < need[:, None]], begins, sound & ~unsound
+
+
+def decode_lanes(
+    payloads: list[bytes], bits: list[int], marks: list[np.ndarray], counts: list[int], books: list[Book], wanted: list[np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``wanted`` lanes of each payload as rows of ``LANE`` values, whose payload each is, and which are sound.
+
+    Nothing else of a payload is read. A lane that the payload does not have is unsound; the values of such a lane,
+    and those behind the last value of a payload, are noise.
+    """
+    owner = np.repeat(np.arange(len(payloads)), [len(w) for w in wanted])
+    lane = np.concatenate([np.zeros(0, np.int64), *[np.asarray(w, np.int64) for w in wanted]])
+    if not len(lane):
+        return np.zeros((0, LANE), np.uint8), owner, np.zeros(0, bool)
+    has = np.array([len(m) for m in marks], np.int64)
+    ends = np.concatenate([np.r_[np.asarray(m, np.int64), b] for m, b in zip(marks, bits)])  # marks and the end of each payload
+    at = (np.cumsum(has + 1) - has - 1)[owner] + np.minimum(lane, has[owner] - 1).clip(0)
+    there = (lane < has[owner]) & (lane >= 0)
+    base = _first_bits(payloads)[owner]
+    limit = 8 * np.array([len(p) for p in payloads], np.int64)[owner]
+    place, stop = ends[at], ends[np.minimum(at + 1, len(ends) - 1)]
+    there &= (place >= 0) & (place <= stop) & (stop <= limit)
+    need = np.clip(np.asarray(counts, np.int64)[owner] - lane * LANE, 0, LANE)
+    out, good = _forward(payloads, books, owner, base + np.where(there, place, 0), base + np.where(there, stop, 0), np.where(there, need, 0))
+    return out, owner, good & there
+
+
+def _first_bits(payloads: list[bytes]) -> np.ndarray:
+    """The bit at which each payload begins when all stand one after another."""
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    return 8 * (np.cumsum(sizes) - sizes)
+
+
+def _forward(
+    payloads: list[bytes], books: list[Book], owner: np.ndarray, place: np.ndarray, stop: np.ndarray, need: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Read ``need`` values of each lane from the bit ``place`` on, all lanes together; a good one ends at ``stop``."""
     tables, at, offset = [], {}, 0
     for book in books:
         if id(book) not in at:
@@ -71,20 +119,11 @@ def decode(
     raw = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8).astype(np.uint32)
     words = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     beyond = 8 * (len(raw) - 8) + 32  # where a lane stays that has run over the end
-
-    owner = np.repeat(np.arange(len(lanes)), lanes)
-    base = 8 * (np.cumsum([len(p) for p in payloads]) - [len(p) for p in payloads])
-    place = np.concatenate([np.asarray(m, np.int64) for m in marks]) + base[owner]
-    final = np.cumsum(lanes)[lanes > 0] - 1  # last lane of each payload
-    stop = np.r_[place[1:], 0]
-    stop[final] = (base + np.asarray(bits, np.int64))[lanes > 0]
-    need = np.full(total, LANE)
-    need[final] = (counts - (lanes - 1) * LANE)[lanes > 0]
     start = np.array([at[id(b)] for b in books])[owner]
     shift = np.array([32 - b.peek for b in books], np.uint32)[owner]
 
-    out = np.zeros((total, LANE), np.uint8)
-    wrong = np.zeros(total, bool)
+    out = np.zeros((len(owner), LANE), np.uint8)
+    wrong = np.zeros(len(owner), bool)
     for step in range(LANE):
         window = (words[place >> 3] << (place & 7).astype(np.uint32)) >> shift
         entry = table[start + window]
@@ -96,9 +135,7 @@ def decode(
                 entry[lane], size[lane] = found
         out[:, step] = entry & 255
         place = np.minimum(place + size * (step < need), beyond)
-    good = (place == stop) & ~wrong
-    unsound = np.bincount(owner, ~good, len(lanes)) > 0
-    return out[np.arange(LANE) < need[:, None]], begins, sound & ~unsound
+    return out, (place == stop) & ~wrong
 
 
 def _long(raw: np.ndarray, place: int, book: Book) -> tuple[int, int] | None:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rasterloom import fixed_values as fixed
 from rasterloom.functions import prefix_codes
@@ -234,6 +234,113 @@ def decode(segments: DataFrame, books: DataFrame | Settled, colour: bool = False
     return _booked(wanted, books).mapInArrow(pixels, PIXELS_BGR if colour else PIXELS)
 
 
+def decode_points(segments: DataFrame, books: DataFrame | Settled, points: DataFrame, colour: bool = False) -> DataFrame:
+    """Pixels of the lanes that hold the ``points`` (image_id, y, x), and of no others.
+
+    Points off their image have no pixel. Repeated points are one; neighbours of a point come along with it. See
+    :func:`decode_boxes` for what is read and settled.
+    """
+    asked = points.select("image_id", "y", F.col("x").alias("left"), F.col("x").alias("right")).distinct()
+    return _decoded_lanes(segments, books, asked, colour)
+
+
+def decode_boxes(segments: DataFrame, books: DataFrame | Settled, boxes: DataFrame, colour: bool = False) -> DataFrame:
+    """Pixels inside any of the ``boxes`` (image_id, top, left, bottom, right; edges included), each once (H5).
+
+    Segments that no box meets are left out by a join on their key, before code books and decoding. In a segment that
+    one meets, ``marks`` give the bit at which each lane of 64 values begins, and only lanes under a box are read. A
+    damaged lane fails the job if it is read. A box is cut off at the edges of its image; one that is empty or has a
+    null in it has no pixels. The lanes asked for are settled now, at most one row per segment.
+    """
+    known = boxes.where("top <= bottom AND left <= right AND bottom >= 0")
+    tall = known.join(_layouts(segments).select("image_id", "height"), "image_id")
+    stop = F.least("bottom", F.col("height") - 1)
+    lines = tall.where("top < height").withColumn("y", F.explode(F.sequence(F.greatest("top", F.lit(0)), stop)))
+    # spans of a line that overlap or touch are made one, so a line has fewer of them than pixels
+    along = Window.partitionBy("image_id", "y").orderBy("left", "right")
+    reach = F.max("right").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.select("image_id", "y", "left", "right").distinct().withColumn("apart", F.coalesce((F.col("left") > reach + 1).cast("int"), F.lit(0)))
+    lines = lines.withColumn("span", F.sum("apart").over(along)).groupBy("image_id", "y", "span")
+    lines = lines.agg(F.min("left").alias("left"), F.max("right").alias("right"))
+    lines = lines.groupBy("image_id", "y").agg(F.collect_list(F.struct("left", "right")).alias("spans"))
+    read = _decoded_lanes(segments, books, lines.select("image_id", "y", F.explode("spans").alias("s")).select("image_id", "y", "s.*"), colour)
+    met = F.exists("spans", lambda s: F.col("x").between(s["left"], s["right"]))
+    return lookup_join(read, lines, ["image_id", "y"], "inner").where(met).select(*read.columns)
+
+
+def _layouts(segments: DataFrame) -> DataFrame:
+    """One row per image: its size, channels and pixels per segment."""
+    fields = ["height", "width", "channels", "segment"]
+    return segments.groupBy("image_id").agg(*[F.max(c).alias(c) for c in fields])
+
+
+def _decoded_lanes(segments: DataFrame, books: DataFrame | Settled, lines: DataFrame, colour: bool) -> DataFrame:
+    """Pixels of all lanes that hold a pixel left..right of a line y of an image."""
+    placed = lookup_join(lines, _layouts(segments), ["image_id"], "inner")
+    placed = placed.where("y BETWEEN 0 AND height - 1 AND left < width AND right >= 0 AND left <= right")
+    first = F.col("y").cast("long") * F.col("width") + F.greatest("left", F.lit(0))
+    last = F.col("y").cast("long") * F.col("width") + F.least("right", F.col("width") - 1)
+    per = F.col("segment")
+    parts = placed.select("image_id", "channels", "segment", first.alias("first"), last.alias("last"))
+    parts = parts.withColumn("seg", F.explode(F.sequence(F.floor(F.col("first") / per), F.floor(F.col("last") / per))))
+    low = F.greatest(F.col("first") - F.col("seg") * per, F.lit(0)) * F.col("channels")
+    high = (F.least(F.col("last") - F.col("seg") * per, per - 1) + 1) * F.col("channels") - 1
+    lanes = F.sequence(F.floor(low / prefix_codes.LANE), F.floor(high / prefix_codes.LANE))
+    # a set holds at most the lanes of a segment, however often one is asked for
+    wanted = parts.select("image_id", "seg", F.explode(lanes).alias("lane")).groupBy("image_id", "seg")
+    wanted = wanted.agg(F.sort_array(F.collect_set("lane")).alias("lanes"))
+    kind = F.col("channels") >= 3 if colour else F.col("channels") <= 1
+    met = lookup_join(segments.where(kind), wanted, ["image_id", "seg"], "inner")
+    booked = lookup_join(met, _with_total(books), ["image_id"], "left").select(*_READ, "lanes")
+    names = ["b", "g", "r", "a"] if colour else ["v"]
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            book_of: dict[int, Book] = {}
+            rows: list[dict] = []
+            for row in batch.to_pylist():
+                fault = _impossible(row)
+                if fault:
+                    raise ValueError(f"image {row['image_id']} segment {row['seg']}: {fault}")
+                if row["image_id"] not in book_of:
+                    book_of[row["image_id"]] = Book(row["codes"])
+                rows.append(row)
+                if len(rows) == 1024 or sum(1 << b.peek for b in book_of.values()) > _TABLE_ENTRIES:
+                    yield _lane_pixels(rows, book_of, names)
+                    rows, book_of = [], {}
+            if rows:
+                yield _lane_pixels(rows, book_of, names)
+
+    return booked.mapInArrow(pixels, PIXELS_BGR if colour else PIXELS)
+
+
+def _lane_pixels(rows: list[dict], book_of: dict[int, Book], names: list[str]) -> pa.RecordBatch:
+    parts = [[r[c] for r in rows] for c in ("payload", "payload_bits", "marks", "n_values")]
+    values, owner, sound = prefix_codes.decode_lanes(*parts, [book_of[r["image_id"]] for r in rows], [r["lanes"] for r in rows])
+    if not sound.all():
+        bad = rows[owner[~sound][0]]
+        raise ValueError(f"image {bad['image_id']} segment {bad['seg']}: corrupt payload")
+    columns: list[list[np.ndarray]] = [[] for _ in range(3 + len(names))]
+    begins = np.searchsorted(owner, np.arange(len(rows) + 1))
+    for i, row in enumerate(rows):
+        channels = row["channels"]
+        at = (np.asarray(row["lanes"])[:, None] * prefix_codes.LANE + np.arange(prefix_codes.LANE)).ravel()
+        flat = values[begins[i] : begins[i + 1]].ravel()[at < row["n_values"]]
+        at = at[at < row["n_values"]]
+        # pixels all of whose channels were read: lanes are in order, so their values stand together
+        heads = np.flatnonzero((at % channels == 0) & (at + channels - 1 <= at[-1]))
+        heads = heads[at[heads + channels - 1] == at[heads] + channels - 1]
+        y, x = np.divmod(row["seg"] * row["segment"] + at[heads] // channels, row["width"])
+        columns[0].append(np.full(len(heads), row["image_id"], np.int64))
+        columns[1].append(y.astype(np.int32))
+        columns[2].append(x.astype(np.int32))
+        for band in range(len(names)):
+            columns[3 + band].append(flat[heads + band].astype(np.int32) if band < channels else np.full(len(heads), -1, np.int32))
+    arrays = [np.concatenate(c) for c in columns]
+    given = [pa.array(c, mask=c < 0) if name == "a" else pa.array(c) for c, name in zip(arrays, ["image_id", "y", "x", *names])]
+    return pa.RecordBatch.from_arrays(given, names=["image_id", "y", "x", *names])
+
+
 def damaged_segments(segments: DataFrame, books: DataFrame | Settled) -> DataFrame:
     """(image_id, seg, problem) of the segments that do not decode."""
 

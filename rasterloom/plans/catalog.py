@@ -45,6 +45,7 @@ QUERIES |= {
     "mean_filter_3": _on(GRAY, stencil.mean_filter),
     "mean_filter_color_5": _on(COLOUR, lambda p: stencil.mean_filter(p, 5)),
     "mean_filter_257": _on(GRAY, lambda p: stencil.mean_filter(p, 257)),
+    "mean_filter_2049": _on(GRAY, lambda p: stencil.mean_filter(p, 2049)),
     "mean_filter_gray_nearest": _on(GRAY, lambda p: stencil.mean_filter(p, 5, rounding="nearest")),
     "laplacian": _on(GRAY, stencil.laplacian),
     "hist_exact": _on(GRAY, histogram.exact_histogram),
@@ -210,6 +211,39 @@ def inspect_points_color(spark: SparkSession, sf: str) -> DataFrame:
     return _inspected(COLOUR(spark, sf), spark, sf)
 
 
+def _inspected_coded(pixels: DataFrame, spark: SparkSession, sf: str, colour: bool = False) -> DataFrame:
+    """The same from coded segments, of which only the lanes under a click are decoded."""
+    books = settled(huffman.code_books(pixels))
+    asked = fx.clicks(spark, sf).select("event_id", "image_id", "x", "y")
+    read = huffman.decode_points(huffman.encode(pixels, books), books, asked, colour)
+    return measure.inspect(asked, read).select("event_id", "image_id", "x", "y", "text")
+
+
+@_query
+def inspect_points_coded(spark: SparkSession, sf: str) -> DataFrame:
+    return _inspected_coded(GRAY(spark, sf), spark, sf)
+
+
+@_query
+def inspect_points_coded_color(spark: SparkSession, sf: str) -> DataFrame:
+    return _inspected_coded(COLOUR(spark, sf), spark, sf, colour=True)
+
+
+@_query
+def decode_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """A window of every image, read from its segments."""
+    pixels = GRAY(spark, sf)
+    books = settled(huffman.code_books(pixels))
+    window = pixels.groupBy("image_id").agg(F.max("y").alias("bottom"), F.max("x").alias("right")).select(
+        "image_id",
+        F.floor(F.col("bottom") / 3).cast("int").alias("top"),
+        F.floor(F.col("right") / 4).cast("int").alias("left"),
+        F.floor(F.col("bottom") / 2).cast("int").alias("bottom"),
+        F.floor(F.col("right") / 2).cast("int").alias("right"),
+    )
+    return huffman.decode_boxes(huffman.encode(pixels, books), books, window)
+
+
 # -- places, scenes, prompts ----------------------------------------------------------------------
 @_query
 def resolve_places(spark: SparkSession, sf: str) -> DataFrame:

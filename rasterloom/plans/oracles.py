@@ -278,6 +278,17 @@ def _two_passes(source: str, radius: int) -> list[str]:
     ]
 
 
+def _weighted(source: str, radius: int) -> list[str]:
+    """The same for windows wider than the image: how often each window shows each row and column."""
+    shown = lambda length: f"SELECT t.i AS place, {_fold('t.i + d', length)} AS seen, count(*) AS c FROM range({length}) AS t(i) CROSS JOIN range(-{radius}, {radius + 1}) AS r(d) GROUP BY ALL"
+    return [
+        f"across AS MATERIALIZED ({shown(WIDTH)})",
+        f"down AS MATERIALIZED ({shown(HEIGHT)})",
+        f"wide AS MATERIALIZED (SELECT image_id, y, place AS x, sum(c * v)::BIGINT AS s FROM {source} JOIN across ON seen = x GROUP BY ALL)",
+        "tall AS (SELECT image_id, place AS y, x, sum(c * s)::BIGINT AS s FROM wide JOIN down ON seen = y GROUP BY ALL)",
+    ]
+
+
 # -- clicks ---------------------------------------------------------------------------------------
 PAIRS = f"""inside AS (SELECT * FROM e1 WHERE x BETWEEN 0 AND {WIDTH - 1} AND y BETWEEN 0 AND {HEIGHT - 1}
   AND image_id IN (SELECT vec_id // 100 FROM embeddings)),
@@ -448,6 +459,9 @@ def sql() -> dict[str, str]:
     out["mean_filter_257"] = _with(
         R1, *_two_passes("r1", 128), f"SELECT image_id, y, x, CAST(s // {257 * 257} AS INT) AS v FROM tall"
     )
+    out["mean_filter_2049"] = _with(
+        R1, *_weighted("r1", 1024), f"SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(s // {2049 * 2049} AS INT) AS v FROM tall"
+    )
     sides = [(0, -1), (0, 1), (-1, 0), (1, 0)]
     offsets = ", ".join(f"({dy}, {dx})" for dy, dx in sides)
     out["laplacian"] = r1(
@@ -540,6 +554,13 @@ def sql() -> dict[str, str]:
         " FROM e1 LEFT JOIN r2 ON r2.image_id = e1.image_id AND r2.x = e1.x AND r2.y = e1.y",
     )
 
+    out["inspect_points_coded"] = out["inspect_points"]
+    out["inspect_points_coded_color"] = out["inspect_points_color"]
+    out["decode_boxes"] = r1(
+        "SELECT r1.* FROM r1 JOIN (SELECT image_id, max(y) AS my, max(x) AS mx FROM r1 GROUP BY 1) m USING (image_id)"
+        " WHERE y BETWEEN my // 3 AND my // 2 AND x BETWEEN mx // 4 AND mx // 2"
+    )
+
     out["resolve_places"] = _with(
         G1, G2, RESOLVED, "SELECT c_custkey, name, code, lat, lon, code IS NOT NULL AS resolved FROM resolved"
     )

@@ -180,3 +180,57 @@ def test_audit_of_files(spark, tmp_path):
     colour = found["colour"]
     assert (colour.rows, colour.cols, colour.channels, colour.payload_bits, colour.version) == (2, 2, 3, 12, 1)
     assert (found["gray"].rows, found["gray"].cols, found["gray"].channels, found["gray"].version) == (3, 4, 1, None)
+
+
+BOXES = [(0, 3, 5, 9, 11), (0, 8, 10, 30, 40), (0, 9, 13, 9, 14), (0, 9, 0, 9, 1), (0, 3, 5, 9, 11), (1, -5, -5, 0, 2), (1, 6, 8, 6, 8), (2, 0, 100, 0, 300), (2, 0, 200, 0, 201), (3, 1, 0, 5, 5), (3, 0, 2, 0, 1), (9, 0, 0, 9, 9)]
+BOX_COLUMNS = "image_id BIGINT, top INT, left INT, bottom INT, right INT"
+
+
+@pytest.mark.parametrize("segment", [7, 100, 4096])
+def test_boxes_of_coded_segments(spark, pixels, books, segment):
+    coded = huffman.encode(pixels, books, segment=segment)
+    got = huffman.decode_boxes(coded, books, spark.createDataFrame(BOXES + [(None, 0, 0, 1, 1), (0, None, 0, 1, 1)], BOX_COLUMNS))
+    inside = lambda i, y, x: any(i == b[0] and b[1] <= y <= b[3] and b[2] <= x <= b[4] for b in BOXES)
+    want = [(i, y, x, int(v)) for i, image in IMAGES.items() for (y, x), v in np.ndenumerate(image) if inside(i, y, x)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("channels", [3, 4])
+def test_boxes_of_coded_colour(spark, channels):
+    image = RNG.integers(0, 256, (21, 34, 4))
+    rows = [(4, y, x, *map(int, image[y, x, :3]), int(image[y, x, 3]) if channels == 4 else None) for y in range(21) for x in range(34)]
+    pixels = spark.createDataFrame(rows, schema.PIXELS_BGR)
+    books = huffman.code_books(pixels)
+    coded = huffman.encode(pixels, books, segment=100)
+    got = huffman.decode_boxes(coded, books, spark.createDataFrame([(4, 2, 3, 11, 20)], BOX_COLUMNS), colour=True)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:3]) == [r for r in rows if 2 <= r[1] <= 11 and 3 <= r[2] <= 20]
+    read = huffman.decode_points(coded, books, spark.createDataFrame([(4, 20, 33), (4, 0, 0), (4, 21, 0), (4, 0, 0)], "image_id BIGINT, y INT, x INT"), colour=True)
+    read = set(map(tuple, read.collect()))
+    assert {rows[0], rows[-1]} <= read <= set(rows) and len(read) < 80
+
+
+def test_lanes_that_are_not_asked_for_are_not_read(spark, gray):
+    image = RNG.integers(0, 256, (64, 64))
+    pixels = gray({0: image})
+    books = huffman.code_books(pixels)
+    coded = huffman.encode(pixels, books, segment=1024)
+    # segment 0 is lost, and of segment 1 all but the first of its 16 lanes
+    broken = coded.withColumn(
+        "payload",
+        F.when(F.col("seg") == 0, F.lit(b"")).when(
+            F.col("seg") == 1, F.expr("unhex(rpad(substr(hex(payload), 1, 2 * (marks[1] div 8 + 1)), 2 * length(payload), 'F'))")
+        ).otherwise(F.col("payload")),
+    ).where("seg != 3")
+    ask = lambda *points: spark.createDataFrame([(0, y, x) for y, x in points], "image_id BIGINT, y INT, x INT")
+    got = {(r.y, r.x): r.v for r in huffman.decode_points(broken, books, ask((16, 0), (16, 63), (40, 7))).collect()}
+    assert got == {(y, x): image[y, x] for y in (16, 40) for x in range(64)}
+    for point in ((0, 0), (17, 0)):
+        with pytest.raises(PySparkException, match="payload length differs|corrupt payload"):
+            huffman.decode_points(broken, books, ask(point)).collect()
+
+
+def test_no_points_and_no_segments(spark, pixels, books):
+    coded = huffman.encode(pixels, books)
+    empty = spark.createDataFrame([], "image_id BIGINT, y INT, x INT")
+    assert huffman.decode_points(coded, books, empty).count() == 0
+    assert huffman.decode_boxes(coded.limit(0), books, spark.createDataFrame(BOXES, BOX_COLUMNS)).count() == 0
