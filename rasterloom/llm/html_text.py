@@ -1,9 +1,14 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Parts that name themselves as furniture (menus, footers, forms, adverts, comments and so on)
-are cut off. Every node then has a density: characters per tag, lowered as more of them belong to links. The block
-whose children's densities have the largest sum is the core of the article. It is widened to the article element
-around it, or else to the highest block below the body whose density is not below the body's own.
+are cut off. Every node then has a density: characters per tag, lowered as more of them belong to links. Names that
+ordinary sections of an article have too (``WEAK``) cut a part off only if its density is below the body's or much of
+it is links. The block whose children's densities have the largest sum is the core of the article. It is widened to
+the article element around it, or else to the highest block below the body whose density is not below the body's own.
+
+Headings are never cut off for their names, and inside an article or main element an id says nothing unless it names
+reader comments, since ids there are often made from headings. Lists that are nearly all links are left out only
+where no article or main element says what belongs to the article.
 """
 
 from __future__ import annotations
@@ -55,12 +60,18 @@ NAMES = frozenset(
     " taboola skip aside promoted advertorial disclaimer announcement topnav subnav mainnav sidenav sitenav crumbs siteheader"
     " pageheader sitefooter pagefooter".split()
 )
+WEAK = frozenset(
+    "discussion feedback related recommended recommendations navigation social share sharing responses subscription subscribe"
+    " promotion consent trending alert overlay widget widgets rail skip promoted disclaimer login cookies"
+    .split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_NAMES = frozenset("comment comments commentlist respond disqus replies".split())
 ARTICLE_NAMES = frozenset("article entry post content title story".split())
 
 _NEXT = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}'|[\"'])*+)>")
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'][^\s]*+)?+)?+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -148,8 +159,8 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def _kept(tree: Tree) -> list[bool]:
-    """Which nodes are not furniture and not inside any."""
+def _kept(tree: Tree) -> tuple[list[bool], list[int]]:
+    """Which nodes are not furniture and not inside any, and which of them have a weak name."""
     n = len(tree.name)
     article = [False] * n  # holds, or is, an article or main element
     for i in range(n - 1, 0, -1):
@@ -158,6 +169,7 @@ def _kept(tree: Tree) -> list[bool]:
             article[tree.parent[i]] = True
     inside = [False] * n  # is inside an article or main element
     kept = [True] * n
+    weak: list[int] = []
     for i in range(1, n):
         up = tree.parent[i]
         name = tree.name[i]
@@ -174,15 +186,19 @@ def _kept(tree: Tree) -> list[bool]:
                 kept[i] = False
             elif key == "role":
                 kept[i] = kept[i] and (value.lower() not in ROLES or article[i])
-            elif key in ("class", "id"):
-                words.update(x.lower() for x in _NAME.findall(value))
+            elif key in ("class", "id") and name not in HEADINGS:
+                found = {x.lower() for x in _NAME.findall(value)}
+                words |= found & (COMMENT_NAMES | ARTICLE_NAMES) if key == "id" and inside[i] else found
         named = words & NAMES
         if named == {"header"} and (inside[i] or words & ARTICLE_NAMES):
             named = set()
         # an element around the article is not cut off for its name, but comments may be articles themselves
         if named and (not article[i] or inside[i] or named & COMMENT_NAMES and not words & ARTICLE_NAMES):
-            kept[i] = False
-    return kept
+            if named <= WEAK:
+                weak.append(i)
+            else:
+                kept[i] = False
+    return kept, [i for i in weak if kept[i]]
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links: float) -> float:
@@ -194,27 +210,17 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_links:
     return chars / max(1, tags) * max(0.0, math.log(ratio) / base if ratio > 1 else 0.0)
 
 
-def main_text(page: str | None) -> str:
-    """The main text: blocks joined by a blank line, white space inside a block as one space."""
-    if not page:
-        return ""
-    tree = parse(page)
+def _densities(
+    tree: Tree, kept: list[bool], link: list[bool], sizes: list[int]
+) -> tuple[list[int], list[int], list[int], list[float], int]:
+    """Characters, link characters, link tags and density below every kept node, and the body."""
     n = len(tree.name)
-    kept = _kept(tree)
-    link = [False] * n
-    for i in range(1, n):
-        link[i] = link[tree.parent[i]] or tree.name[i] == "a"
     chars, link_chars, tags, link_tags = ([0] * n for _ in range(4))
-    texts: list[str | None] = []
-    for node, text in tree.items:
-        decoded = None
-        if text is not None and kept[node]:
-            decoded = html.unescape(text) if "&" in text else text
-            size = sum(map(len, decoded.split()))
+    for (node, _), size in zip(tree.items, sizes):
+        if size and kept[node]:
             chars[node] += size
             if link[node]:
                 link_chars[node] += size
-        texts.append(decoded)
     for i in range(n - 1, 0, -1):
         if kept[i]:
             up = tree.parent[i]
@@ -227,6 +233,35 @@ def main_text(page: str | None) -> str:
         body = 0
     share = link_chars[body] / max(1, chars[body])
     dense = [density(chars[i], tags[i], link_chars[i], link_tags[i], share) if kept[i] else 0.0 for i in range(n)]
+    return chars, link_chars, link_tags, dense, body
+
+
+def main_text(page: str | None) -> str:
+    """The main text: blocks joined by a blank line, white space inside a block as one space."""
+    if not page:
+        return ""
+    tree = parse(page)
+    n = len(tree.name)
+    kept, weak = _kept(tree)
+    link = [False] * n
+    for i in range(1, n):
+        link[i] = link[tree.parent[i]] or tree.name[i] == "a"
+    texts: list[str | None] = []
+    sizes: list[int] = []
+    for node, text in tree.items:
+        decoded = None
+        if text is not None and kept[node]:
+            decoded = html.unescape(text) if "&" in text else text
+        texts.append(decoded)
+        sizes.append(sum(map(len, decoded.split())) if decoded else 0)
+    chars, link_chars, link_tags, dense, body = _densities(tree, kept, link, sizes)
+    cut = [i for i in weak if dense[i] < dense[body] or 4 * link_chars[i] > chars[i]]
+    if cut:
+        for i in cut:
+            kept[i] = False
+        for i in range(1, n):
+            kept[i] = kept[i] and kept[tree.parent[i]]
+        chars, link_chars, link_tags, dense, body = _densities(tree, kept, link, sizes)
 
     sums = [0.0] * n
     for i in range(1, n):
@@ -250,10 +285,10 @@ def main_text(page: str | None) -> str:
         for i in path[:-1]:
             if dense[i] >= dense[body]:
                 core = i
-    menu = [False] * n  # lists of links inside the core
+    menu = [False] * n  # lists of links inside a core that no article element bounds
     for i in range(core + 1, n):
         up = tree.parent[i]
-        menu[i] = menu[up] or (tree.name[i] in ("ul", "ol", "dl", "table") and link_tags[i] >= 3 and link_chars[i] > 0.8 * chars[i])
+        menu[i] = menu[up] or (not named and tree.name[i] in ("ul", "ol", "dl", "table") and link_tags[i] >= 3 and link_chars[i] > 0.8 * chars[i])
 
     blocks: list[str] = []
     line: list[str] = []
@@ -299,4 +334,4 @@ def extract(pages: DataFrame, markup: str = "html", name: str = "text") -> DataF
                 texts = [main_text(page) for page in part.column("_llm_html").to_pylist()]
                 yield extended(part.select(names), schema, {name: pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    return given.mapInArrow(read, ddl(kept.select(*names), f"{name} string, n_chars long"))
+    return given.mapInArrow(read, ddl(kept.select(*(F.col(f"`{c.replace('`', '``')}`") for c in names)), f"{name} string, n_chars long"))

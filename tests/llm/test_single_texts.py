@@ -31,6 +31,13 @@ PAGES = {
     "unclosed comment": (f"<body><article>{PLAIN}</article><!-- never closed <p>gone</p>", WANT),
     "stray tags": (f"<body></div></p><article></b>{PLAIN}</i></article></body>", WANT),
     "quoted bracket": (f"<body><article title='a > b' data-x=\"<p>\">{PLAIN}</article></body>", WANT),
+    "long attribute": (f"<body><article data-json='{'x' * 5000}>y' title=it's>{PLAIN}</article></body>", WANT),
+    "heading ids": (f"<body><article><h2 id='related-work'>Related work</h2>{PLAIN}<h2 id='cookies' class='share'>Cookies</h2>{PLAIN}</article></body>", f"Related work\n\n{WANT}\n\nCookies\n\n{WANT}"),
+    "section ids": (f"<body><nav>{MENU}</nav><article><p>Start.</p><section id='discussion'><h2>Discussion</h2>{PLAIN}</section></article></body>", f"Start.\n\nDiscussion\n\n{WANT}"),
+    "prose of a weak name": (f"<body><nav>{MENU}</nav><article><p>Start.</p><div class='feedback-loop'>{PLAIN}</div></article></body>", f"Start.\n\n{WANT}"),
+    "links of a weak name": (f"<body><article>{PLAIN}<div class='related'>{MENU}</div><div class='share-buttons'><a href=x>Post</a> <a href=y>Mail</a></div></article></body>", WANT),
+    "references": (f"<body><article>{PLAIN}<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul></article></body>", f"{WANT}\n\nOne\n\nTwo\n\nThree"),
+    "class inside a value": (f"<body><article><p data-x=\"a class='ad' b\">One.</p>{PLAIN}</article></body>", f"One.\n\n{WANT}"),
     "only text": ("just  some\ntext", "just some text"),
     "lone bracket": ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
     "list": ("<article><p>Say:</p><ul><li>one<li>two</ul></article>", "Say:\n\none\n\ntwo"),
@@ -55,6 +62,8 @@ def test_deep_and_long_pages_are_read():
     assert html_text.main_text("<" * 20_000).count("<") == 20_000
     assert html_text.main_text("<!" * 20_000) == ""
     assert html_text.main_text('<a "' * 3000) is not None
+    assert html_text.main_text('<a b="' * 30_000) is not None
+    assert html_text.main_text('<a b="c>' * 30_000) is not None
 
 
 def test_density_falls_with_links_and_tags():
@@ -69,6 +78,8 @@ def test_pages_table(spark):
     assert got.columns == ["page_id", "html", "url", "text", "n_chars"]
     assert brute.rows(got, ["page_id", "text", "n_chars"]) == sorted([(1, TEXT, len(TEXT))] * 2 + [(2, "", 0), (None, "", 0)], key=repr)
     assert html_text.extract(pages.limit(0)).count() == 0
+    dotted = html_text.extract(pages.withColumnRenamed("url", "a.b"))
+    assert dotted.columns == ["page_id", "html", "a.b", "text", "n_chars"] and dotted.count() == 4
 
 
 # --- URL rules
