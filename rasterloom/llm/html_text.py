@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.arrow import ddl, extended, slices, without
+from rasterloom.llm.arrow import aside, ddl, extended, slices, without
 
 # fixed values: element names by their part in HTML, and words by which furniture names itself
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -324,14 +324,18 @@ def extract(pages: DataFrame, markup: str = "html", name: str = "text") -> DataF
     A null page is empty. Each page is a row of its own, of any length; repeated rows give equal texts.
     """
     kept = without(pages, [c for c in (name, "n_chars") if c != markup])
-    given = kept.withColumn("_llm_html", F.col(markup).cast("string"))
-    names = [c for c in kept.columns if c not in (name, "n_chars")]
-    schema = pa.schema([(name, pa.string()), ("n_chars", pa.int64())])
+    moved, own = aside(kept)
+    given = moved.withColumn("_llm_html", F.col(own[markup]).cast("string"))
+    shown = {c: own[c] for c in kept.columns if c not in (name, "n_chars")}
+    added = {"_llm_main": name, "_llm_size": "n_chars"}
+    schema = pa.schema([("_llm_main", pa.string()), ("_llm_size", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_llm_html"):
                 texts = [main_text(page) for page in part.column("_llm_html").to_pylist()]
-                yield extended(part.select(names), schema, {name: pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+                columns = {"_llm_main": pa.array(texts, pa.string()), "_llm_size": pa.array(map(len, texts), pa.int64())}
+                yield extended(part.select(list(shown.values())), schema, columns)
 
-    return given.mapInArrow(read, ddl(kept.select(*(F.col(f"`{c.replace('`', '``')}`") for c in names)), f"{name} string, n_chars long"))
+    out = given.mapInArrow(read, ddl(moved.select(*shown.values()), "_llm_main string, _llm_size long"))
+    return out.select(*(F.col(c).alias(old) for old, c in shown.items()), *(F.col(c).alias(new) for c, new in added.items()))
