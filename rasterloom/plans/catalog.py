@@ -450,6 +450,13 @@ def save_result(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(folder).drop("image_bucket")
 
 
+@_query
+def read_saved_box(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "ordered")
+    sinks.save_ordered(GRAY(spark, sf), folder, block=4)
+    return sinks.read_box(spark, folder, 3, 5, 11, 17, 30)
+
+
 # -- chains and compression -----------------------------------------------------------------------
 def _chain(spark: SparkSession, sf: str) -> chain.ChainResult:
     steps = [("negative", {}), ("meanfilter", {"window": 3}), ("threshold", {})]

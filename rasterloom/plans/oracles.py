@@ -678,6 +678,7 @@ def sql() -> dict[str, str]:
     out["gazetteer_load"] = _with(
         G1, "SELECT a.alias, upper(g1.code) AS code, g1.lat, g1.lon FROM g1 JOIN g1 a ON a.code = g1.code"
     )
+    out["read_saved_box"] = r1("SELECT * FROM r1 WHERE image_id = 3 AND y BETWEEN 5 AND 17 AND x BETWEEN 11 AND 30")
     out["save_result"] = _with(R1, HIST, "SELECT image_id, 'gray' AS band, v, n FROM hist")
 
     chain = (

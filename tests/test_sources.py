@@ -196,6 +196,30 @@ def test_saved_tables_come_back(spark, gray):
     assert {r.image_bucket for r in back.select("image_bucket").distinct().collect()} == {0, 1, 2}
 
 
+def test_a_box_meets_few_files(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    folder = str(tmp_path / "ordered")
+    cells = spark.range(512 * 512)
+    pixels = cells.selectExpr("7L AS image_id", "int(id div 512) AS y", "int(id % 512) AS x", "int(id * 7 % 256) AS v")
+    pixels = pixels.unionByName(pixels.where("y < 9 AND x < 9").withColumn("image_id", F.lit(2).cast("long")))
+    sinks.save_ordered(pixels, folder, files=64, block=16)
+    box = sinks.read_box(spark, folder, 7, 100, 200, 115, 215)
+    assert box.count() == 256 and box.exceptAll(pixels).count() == 0
+    assert spark.read.parquet(folder).count() == pixels.count()
+    files = glob.glob(f"{folder}/*.parquet")
+    met = 0
+    for path in files:
+        group = pq.ParquetFile(path).metadata
+        sides = [group.row_group(g).column(c).statistics for g in range(group.num_row_groups) for c in (1, 2)]
+        met += any(y.min <= 115 and y.max >= 100 and x.min <= 215 and x.max >= 200 for y, x in zip(sides[::2], sides[1::2]))
+    assert len(files) > 40 and met <= len(files) / 10
+    plan = box._jdf.queryExecution().toString()
+    assert "EqualTo(image_id,7), GreaterThanOrEqual(y,100)" in plan  # the rest is cut off in the plan's text
+
+
 def test_bucketed_pixels_are_not_shuffled(spark, gray):
     """Beyond the broadcast bound, light images join their lookup inside the buckets."""
     from rasterloom.operators import cluster
