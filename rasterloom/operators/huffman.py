@@ -18,7 +18,7 @@ from rasterloom import fixed_values as fixed
 from rasterloom.functions import prefix_codes
 from rasterloom.functions.prefix_codes import Book
 from rasterloom.operators.histogram import byte_counts, dense_counts
-from rasterloom.operators.lookup import Settled, lookup_join
+from rasterloom.operators.lookup import Settled, lookup_join, settled
 from rasterloom.schema import LEVELS, PIXELS, PIXELS_BGR, image_shapes, is_colour
 
 SEGMENT = 4096
@@ -241,7 +241,7 @@ def decode_points(segments: DataFrame, books: DataFrame | Settled, points: DataF
     :func:`decode_boxes` for what is read and settled.
     """
     asked = points.select("image_id", "y", F.col("x").alias("left"), F.col("x").alias("right")).distinct()
-    return _decoded_lanes(segments, books, asked, colour)
+    return _decoded_lanes(segments, books, asked, colour, settled(_layouts(segments)))
 
 
 def decode_boxes(segments: DataFrame, books: DataFrame | Settled, boxes: DataFrame, colour: bool = False) -> DataFrame:
@@ -250,10 +250,11 @@ def decode_boxes(segments: DataFrame, books: DataFrame | Settled, boxes: DataFra
     Segments that no box meets are left out by a join on their key, before code books and decoding. In a segment that
     one meets, ``marks`` give the bit at which each lane of 64 values begins, and only lanes under a box are read. A
     damaged lane fails the job if it is read. A box is cut off at the edges of its image; one that is empty or has a
-    null in it has no pixels. The lanes asked for are settled now, at most one row per segment.
+    null in it has no pixels. The sizes of the images, the lines under boxes and the lanes asked for are settled now.
     """
     known = boxes.where("top <= bottom AND left <= right AND bottom >= 0")
-    tall = known.join(_layouts(segments).select("image_id", "height"), "image_id")
+    layouts = settled(_layouts(segments))
+    tall = lookup_join(known, layouts.select("image_id", "height"), ["image_id"], "inner")
     stop = F.least("bottom", F.col("height") - 1)
     lines = tall.where("top < height").withColumn("y", F.explode(F.sequence(F.greatest("top", F.lit(0)), stop)))
     # spans of a line that overlap or touch are made one, so a line has fewer of them than pixels
@@ -262,8 +263,9 @@ def decode_boxes(segments: DataFrame, books: DataFrame | Settled, boxes: DataFra
     lines = lines.select("image_id", "y", "left", "right").distinct().withColumn("apart", F.coalesce((F.col("left") > reach + 1).cast("int"), F.lit(0)))
     lines = lines.withColumn("span", F.sum("apart").over(along)).groupBy("image_id", "y", "span")
     lines = lines.agg(F.min("left").alias("left"), F.max("right").alias("right"))
-    lines = lines.groupBy("image_id", "y").agg(F.collect_list(F.struct("left", "right")).alias("spans"))
-    read = _decoded_lanes(segments, books, lines.select("image_id", "y", F.explode("spans").alias("s")).select("image_id", "y", "s.*"), colour)
+    lines = settled(lines.groupBy("image_id", "y").agg(F.collect_list(F.struct("left", "right")).alias("spans")))
+    spans = lines.table.select("image_id", "y", F.explode("spans").alias("s")).select("image_id", "y", "s.*")
+    read = _decoded_lanes(segments, books, spans, colour, layouts)
     met = F.exists("spans", lambda s: F.col("x").between(s["left"], s["right"]))
     return lookup_join(read, lines, ["image_id", "y"], "inner").where(met).select(*read.columns)
 
@@ -274,9 +276,9 @@ def _layouts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("image_id").agg(*[F.max(c).alias(c) for c in fields])
 
 
-def _decoded_lanes(segments: DataFrame, books: DataFrame | Settled, lines: DataFrame, colour: bool) -> DataFrame:
+def _decoded_lanes(segments: DataFrame, books: DataFrame | Settled, lines: DataFrame, colour: bool, layouts: Settled) -> DataFrame:
     """Pixels of all lanes that hold a pixel left..right of a line y of an image."""
-    placed = lookup_join(lines, _layouts(segments), ["image_id"], "inner")
+    placed = lookup_join(lines, layouts, ["image_id"], "inner")
     placed = placed.where("y BETWEEN 0 AND height - 1 AND left < width AND right >= 0 AND left <= right")
     first = F.col("y").cast("long") * F.col("width") + F.greatest("left", F.lit(0))
     last = F.col("y").cast("long") * F.col("width") + F.least("right", F.col("width") - 1)

@@ -15,6 +15,7 @@ QUERIES = catalog.QUERIES
 ORACLES = oracles.sql()
 # jobs that run while the plan is built: tables that the operators' documents say are settled, files that are written
 SETTLED = {
+    "inspect_points_coded": 37, "inspect_points_coded_color": 37, "decode_boxes": 27, "mean_filter_2049": 5, "read_saved_box": 5,
     "chain_decompress": 18, "huffman_roundtrip_rgb": 16, "huffman_audit_files": 14, "scenes_uncached": 11,
     "scenes_uncached_dash": 11, "scenes_cached": 11, "inspect_points": 10, "inspect_points_color": 10, "resolve_places": 10,
     "place_bboxes": 10, "scene_requests": 10, "huffman_segments": 10, "huffman_roundtrip": 10, "huffman_roundtrip_color": 10,
