@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterloom.llm.arrow import without
+from rasterloom.llm.arrow import aside, back, without
 from rasterloom.llm.texts import FETCH_BYTES
 from rasterloom.operators.lookup import fits_broadcast
 from rasterloom.session import settle, stored
@@ -38,7 +38,11 @@ WORD = r"[\p{L}\p{M}]+"
 UNSEEN = 1  # texts with the term and without the value that are supposed besides those seen
 DISCLOSURE = 0.9  # part of a value's information that a term may not give away
 
+RUN = 128  # values that are summed one by one
+BLOCK = 512  # code points of the blocks that a text is cut from
+
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
+_FOUND = "array<struct<kind:string,start:long,end:long,found:string>>"
 
 
 def _valid(kind: str, found: Column) -> Column:
@@ -52,26 +56,54 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, kind: str, valid) -> Column:
-    """Spans of the valid matches, in code points: running lengths of the matches and of what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(between, found, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"))
-        spans = F.when(pair["hit"].isNotNull() & valid(pair["hit"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.cast("long").alias("at"), spans.alias("spans"))
 
-    return F.aggregate(pairs, start, add, lambda state: state["spans"])
+def _running(values: Column, combine) -> Column:
+    """Running sums, or the like, of a bound array of longs; 0 is the neutral value.
 
+    Runs of ``RUN`` values are summed on their own and then moved, as appending to one long array copies it each time.
+    """
 
-def base_spans(text: Column) -> Column:
-    """All valid spans: kinds in the order listed, each by start. A text without the hint of a kind is not searched."""
-    none = F.array().cast(_SPANS)
+    def run(c: Column) -> Column:
+        return F.sequence(c * RUN, F.least((c + 1) * RUN, F.size(values)) - 1)
+
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("seen"))
+    totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda c: F.aggregate(run(c), F.lit(0).cast("long"), lambda at, i: combine(at, F.get(values, i))))
+    starts = F.aggregate(totals, none, lambda st, t: F.struct(combine(st["at"], t).alias("at"), F.concat(st["seen"], F.array(st["at"])).alias("seen")), lambda st: st["seen"])
+
+    def within(base: Column, c: Column) -> Column:
+        first = F.struct(base.alias("at"), F.array().cast("array<long>").alias("seen"))
+
+        def add(st: Column, i: Column) -> Column:
+            return _once(combine(st["at"], F.get(values, i)), lambda at: F.struct(at.alias("at"), F.concat(st["seen"], F.array(at)).alias("seen")))
+
+        return F.aggregate(run(c), first, add, lambda st: st["seen"])
+
+    return F.when(F.size(values) == 0, F.array().cast("array<long>")).otherwise(F.flatten(F.transform(starts, within)))
+
+
+def _located(text: Column, pattern: str, kind: str, valid=None) -> Column:
+    """Spans of the valid matches, in code points, with what they hold: lengths of the matches and of the gaps, summed up."""
+    matched = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+
+    def place(m: Column) -> Column:
+        steps = F.transform(m["hits"], lambda hit, i: (F.length(F.get(m["gaps"], i)) + F.length(hit)).cast("long"))
+        ends = _once(steps, lambda sizes: _running(sizes, lambda x, y: x + y))
+        return _once(ends, lambda at: F.transform(m["hits"], lambda hit, i: _span(F.lit(kind), F.get(at, i) - F.length(hit), F.get(at, i), hit)))
+
+    spans = _once(matched, lambda m: F.when(F.size(m["hits"]) == 0, F.array().cast(_FOUND)).otherwise(place(m)))
+    return spans if valid is None else F.filter(spans, lambda s: valid(s["found"]))
+
+
+def _span(kind: Column, start: Column, end: Column, found: Column) -> Column:
+    return F.struct(kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), found.alias("found"))
+
+
+def _found_spans(text: Column) -> Column:
+    """All valid spans with what they hold. A text without the hint of a kind is not searched."""
     body = F.coalesce(text.cast("string"), F.lit(""))
     digit = body.rlike("[0-9]")
     parts = []
@@ -79,29 +111,79 @@ def base_spans(text: Column) -> Column:
         wanted = F.contains(body, F.lit("@")) if kind == "email" else digit
         if kind in ("ip", "phone"):
             wanted = wanted & F.contains(body, F.lit(_HINT[kind]))
-        parts.append(F.when(wanted, _located(body, _FIND[kind], kind, lambda hit, kind=kind: _valid(kind, hit))).otherwise(none))
+        located = _located(body, _FIND[kind], kind, lambda hit, kind=kind: _valid(kind, hit))
+        parts.append(F.when(wanted, located).otherwise(F.array().cast(_FOUND)))
     return F.concat(*parts)
 
 
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def base_spans(text: Column) -> Column:
+    """All valid spans: kinds in the order listed, each by start."""
+    return _bare(_found_spans(text))
+
+
 def with_spans(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
     """Add the base spans; a null text has none. A column of that name is replaced."""
     return without(docs, [name]).withColumn(name, base_spans(F.col(text)))
 
 
-def _cut(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
-
-
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _gaps(text: Column, spans: Column) -> Column:
+    """What lies outside the spans, in order: (at, gap, kind), kind being that of the span behind it, null at the end.
+
+    Of overlapping spans the first in place gives the kind. ``before`` and ``after`` are the characters around the gap.
+    The text is cut into blocks once, so that a gap is not looked for from the start of the text.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    given = F.struct(ordered.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), F.length(text).cast("long").alias("n"))
+
+    def cut(blocks: Column, a: Column, z: Column) -> Column:
+        def part(k: Column) -> Column:
+            low = F.greatest(a - k * BLOCK, F.lit(0))
+            return F.substring(F.get(blocks, k.cast("int")), (low + 1).cast("int"), (F.least(z - k * BLOCK, F.lit(BLOCK)) - low).cast("int"))
+
+        whole = F.array_join(F.transform(F.sequence(F.floor(a / BLOCK), F.floor((z - 1) / BLOCK)), part), "")
+        return F.when(a < z, whole).otherwise(F.lit(""))
+
+    def find(g: Column) -> Column:
+        reached = _once(F.transform(g["spans"], lambda s: s["end"]), lambda ends: _running(ends, lambda x, y: F.greatest(x, y)))
+
+        def between(reach: Column) -> Column:
+            def row(at: Column, until: Column, kind: Column) -> Column:
+                return F.struct(at.alias("at"), until.alias("until"), kind.alias("kind"))
+
+            inner = F.transform(g["spans"], lambda s, i: row(F.coalesce(F.get(reach, i - 1), F.lit(0).cast("long")), s["start"], s["kind"]))
+            last = row(F.coalesce(F.get(reach, F.size(reach) - 1), F.lit(0).cast("long")), g["n"], F.lit(None).cast("string"))
+            return F.concat(F.filter(inner, lambda s: s["at"] <= s["until"]), F.array(last))
+
+        def fill(s: Column) -> Column:
+            return F.struct(
+                s["at"].alias("at"),
+                cut(g["blocks"], s["at"], s["until"]).alias("gap"),
+                s["kind"].alias("kind"),
+                cut(g["blocks"], F.greatest(s["at"] - 1, F.lit(0)), s["at"]).alias("before"),
+                cut(g["blocks"], s["until"], F.least(s["until"] + 1, g["n"])).alias("after"),
+            )
+
+        return F.transform(_once(reached, between), fill)
+
+    return _once(given, find)
+
+
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per distinct text with spans: its key, the values it shows, and all its distinct words of three letters or more."""
-    rows = _texts(docs, text).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    shown = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(_cut(F.col("text"), s["start"], s["end"]))))
+    """One row per distinct text with spans: its key, its text and spans, the values it shows, and all its distinct words
+    of three letters or more."""
+    rows = _texts(docs, text).withColumn("found", _found_spans(F.col("text"))).where(F.size("found") > 0)
+    shown = F.transform("found", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"])))
+    rows = rows.select("text_key", "text", _bare(F.col("found")).alias("spans"), F.array_distinct(shown).alias("values"))
     words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: F.length(w) > 2)
-    return rows.select("text_key", F.array_distinct(shown).alias("values"), words.alias("words")).dropDuplicates(["text_key"])
+    return rows.dropDuplicates(["text_key"]).withColumn("words", words)
 
 
 def value_classes(seen: DataFrame) -> DataFrame:
@@ -163,14 +245,20 @@ def disclosing_terms(
     return both.where(own > 0).withColumn("ratio", F.try_divide(mutual, own)).where(F.col("ratio") >= disclosure).select("class", "term", "ratio")
 
 
-def term_spans(docs: DataFrame, classes: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+def term_spans(seen: DataFrame, classes: DataFrame, terms: DataFrame) -> DataFrame:
     """Per text key the spans of the terms that disclose a value of the same text, outside the base spans."""
-    wanted = classes.select("text_key", "class").join(terms, "class").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
-    texts = _texts(docs, text).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key")
-    lowered = _located(F.col("text"), WORD, TERM, lambda hit: F.array_contains(F.col("terms"), F.lower(hit)))
-    clear = F.filter(lowered, lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return texts.select("text_key", clear.alias("term_spans")).where(F.size("term_spans") > 0)
+    wanted = stored(classes.select("text_key", "class").join(terms, "class").select("text_key", "term").distinct())
+    texts = seen.select("text_key", "text", "spans").join(wanted.select("text_key").distinct(), "text_key", "left_semi")
+    gaps = texts.select("text_key", F.explode(_gaps(F.col("text"), F.col("spans"))).alias("g"))
+    # a word that a span cuts is no word of its gap
+    letter = rf"^{WORD}$"
+    first, last = F.col("g.before").rlike(letter), F.col("g.after").rlike(letter)
+    hits = gaps.select("text_key", "g.at", F.length("g.gap").alias("size"), first.alias("first"), last.alias("last"), F.explode(_located(F.col("g.gap"), WORD, TERM)).alias("w"))
+    whole = ~(F.col("first") & (F.col("w.start") == 0)) & ~(F.col("last") & (F.col("w.end") == F.col("size")))
+    hits = hits.where(whole).select("text_key", F.lower("w.found").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
+    met = hits.join(wanted, ["text_key", "term"], "left_semi")
+    spans = F.array_sort(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "start", "end")))
+    return met.groupBy("text_key").agg(spans.alias("term_spans"))
 
 
 def all_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, base: str = "base", spans: str = "spans") -> DataFrame:
@@ -187,7 +275,7 @@ def all_spans(docs: DataFrame, text: str = "text", keep_text: bool = True, base:
     if terms.isEmpty():
         rows = rows.withColumn(spans, F.col(base))
         return rows if keep_text else rows.drop(text)
-    extra = settle(term_spans(docs, classes, terms, text))
+    extra = settle(term_spans(seen, classes, terms))
     names = rows.columns if keep_text else [c for c in rows.columns if c != text]
     keyed = rows.withColumn("_llm_key", F.when(F.size(base) > 0, F.md5(body.cast("binary"))))
     # only rows with base spans can meet a term; the others pass by without a shuffle
@@ -205,24 +293,15 @@ def spelled(spans: Column) -> Column:
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; of overlapping spans the first in place wins."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def add(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        kind = F.when(inside, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        gap = F.when(inside, F.lit("")).otherwise(_cut(text, state["at"], s["start"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(gap, kind)).alias("parts"))
 
-    def join(state: Column) -> Column:
-        rest = F.substring(text, (state["at"] + 1).cast("int"), F.length(text))
-        return F.array_join(F.concat(state["parts"], F.array(rest)), "")
+    def spell(g: Column) -> Column:
+        return F.concat(g["gap"], F.when(g["kind"].isNull(), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(g["kind"]), F.lit("]"))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, add, join))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(_gaps(text, spans), spell), ""))
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with base spans and disclosing terms replaced by their kind; other columns as they are."""
-    names = docs.columns
-    rows = all_spans(docs, text, base="_llm_base", spans="_llm_spans")
-    return rows.withColumn(text, sanitised(F.col(text), F.col("_llm_spans"))).select(*names)
+    given, own = aside(docs)
+    rows = all_spans(given, own[text], base="_llm_base", spans="_llm_spans")
+    return back(rows.withColumn(own[text], sanitised(F.col(own[text]), F.col("_llm_spans"))), own)

@@ -3,6 +3,7 @@
 import functools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -248,6 +249,43 @@ def test_runs_without_end_take_linear_time(documents):
     assert got[0] == [] and got[5] == [("email", 0, 120_003)]
 
 
+def test_a_text_of_very_many_spans_takes_linear_time(documents):
+    """Spans are found, and the text is sanitised, in a time that grows with the spans and not with their square."""
+    texts = [" ".join(f"é{i} user{i}@mail{i % 7}.example" for i in range(n)) for n in (20_000, 100_000)]
+    spent = []
+    for text in [texts[0], *texts]:  # the first run loads the classes
+        docs = pii.with_spans(documents([(1, text)]).select("doc_id", "text"))
+        began = time.monotonic()
+        row = docs.select("spans", pii.sanitised(F.col("text"), F.col("spans")).alias("clean")).first()
+        spent.append(time.monotonic() - began)
+    assert [(s.kind, s.start, s.end) for s in row.spans] == brute.base_spans(texts[1])
+    assert row.clean == " ".join(f"é{i} [EMAIL]" for i in range(100_000))
+    assert spent[2] < 12 * spent[1] + 2
+
+
+def test_overlapping_spans_and_words_cut_by_spans(documents):
+    """Kinds overlap in a text of several blocks; a word that runs into a span is no word of its gap."""
+    rng = random.Random(21)
+    bits = ["4111 1111 1111 1111", "+4111111111111 111", "1.2.3.4", "a@1.2.3.4", "Wort", "é", " ", "😀", ", ", "x" * 200, "+1 555 1234567a@b.c"]
+    pairs = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for i in range(200)]
+    rows = pii.with_spans(documents(pairs).select("doc_id", "text"))
+    got = {r.doc_id: r.clean for r in rows.select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    assert got == {i: brute.sanitised(t) for i, t in pairs}
+
+    filler = [(100 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q writes plain words") for i in range(300)]
+    cut = [(i, f"{chr(97 + i)}q Ganzwort éGanzwort@firm.example, +49 30 1234567Ganzwort") for i in range(4)]
+    found = _spans(pii.all_spans(documents(cut + filler).select("doc_id", "text")))
+    for i, text in cut:
+        words = [text[s:e] for k, s, e in found[i] if k == "term"]
+        assert words == ["Ganzwort", "Ganzwort"] and ("term", 3, 11) in found[i] and ("term", len(text) - 8, len(text)) in found[i]
+
+
+def test_names_with_dots_stay(documents):
+    docs = documents([(1, "mail a@b.cz now"), (2, None)]).withColumn("a.b", F.lit(7))
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns and {(r["doc_id"], r["text"], r["a.b"]) for r in got.collect()} == {(1, "mail [EMAIL] now", 7), (2, None, 7)}
+
+
 def test_odd_rows_have_spans(odd):
     pairs, docs = odd
     got = pii.all_spans(docs)
