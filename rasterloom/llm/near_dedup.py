@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterloom.llm.arrow import slices, tidy, utf8
+from rasterloom.llm.arrow import aside, back, slices, tidy, utf8
 from rasterloom.llm.components import components
 from rasterloom.llm.texts import FETCH_BYTES, fetch, text_hash
 from rasterloom.llm.words import SEED, Words, inside, not_blank
@@ -29,6 +29,7 @@ from rasterloom.session import stored
 SHINGLE = 5
 COORDINATES = 32
 PERCENT = 80  # of the union that two sets must share
+EARLIER = 64  # shingles before its own that a posting knows of
 PARITY = 8  # 64-bit words of parities of a set
 MISS = 1e-7  # chance that a link at the very threshold falls below the matches asked for
 
@@ -172,6 +173,7 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
     # first common one leaves room behind it, in both, for all they must share: percent / (100 + percent) of n + m.
     # That is at least percent / 100 of n, and 2 percent / (100 + percent) of m, which bounds its place in either.
     alone = F.col("n") - F.size("lists")
+    step = log(100 / percent) * (1 + 1e-9) or 1.0  # similar sets are of one span of sizes or of neighbouring ones
     reach = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     own = own.where(reach > alone).select("class", "n", alone.alias("alone"), F.slice("lists.shingle", F.lit(1), (reach - alone).cast("int")).alias("prefix"))
     listed = own.select("class", "n", "alone", "prefix", F.posexplode("prefix").alias("i", "shingle"))
@@ -181,7 +183,8 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
         "n",
         (F.col("n") - F.col("alone") - F.col("i")).alias("left"),
         F.coalesce("root", "class").alias("root"),
-        F.slice("prefix", F.lit(1), F.col("i")).alias("earlier"),
+        F.slice("prefix", F.greatest(F.col("i") - EARLIER, F.lit(0)) + 1, F.least(F.col("i"), F.lit(EARLIER))).alias("earlier"),
+        F.floor(F.log("n") / step).cast("int").alias("span"),
     )
     listed = listed.join(chosen.select("class", *parity), "class")
     listed = stored(listed)
@@ -189,7 +192,7 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
     listed = listed.join(mixed, "shingle", "left_semi")
     share = f"({percent} * {{}} + {99 + percent}) div {100 + percent}"  # rounded up
     smaller = listed.select(
-        "shingle", F.col("class").alias("b"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("s"), F.col("earlier").alias("before"),
+        "shingle", F.explode(F.array("span", F.col("span") + 1)).alias("span"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("s"), F.col("earlier").alias("before"),
         *(F.col(p).alias(f"o{p}") for p in parity),
     ).where(F.col("rest") >= F.expr(share.format("2 * m")))
     fits = (F.col("root") != F.col("s")) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("b") < F.col("class")))
@@ -197,10 +200,11 @@ def _exact_candidates(members: DataFrame, texts: DataFrame, roots: DataFrame, si
     # sets of n and m shingles of which d are not common share (n + m - d) / 2
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"o{p}"))) for p in parity), F.lit(0))
     fits = fits & (F.least("left", "rest") >= common) & (F.col("n") + F.col("m") - apart >= 2 * common)
-    # a pair is made once, at its first common shingle
+    # A pair is made at its first common shingle, and again only where none of the last ``EARLIER`` is common too; what
+    # a posting holds is bounded, however long its text is.
     fits = fits & ~F.arrays_overlap("earlier", "before")
-    pairs = listed.join(smaller, "shingle").where(fits)
-    return pairs.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
+    pairs = listed.join(smaller, ["shingle", "span"]).where(fits)
+    return pairs.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -266,7 +270,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     It is the row of the smallest id (null last), then of the smallest text hash; of several rows of one id and text the
     first by its other columns.
     """
-    names = docs.columns
+    docs, own = aside(docs)
+    doc_id, text, names = own[doc_id], own[text], docs.columns
     found = _grouped(docs, doc_id=doc_id, text=text, **options).where(F.col("root").isNotNull())
     alike = stored(found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
     first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("first"))
@@ -283,7 +288,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
     kept = docs.join(side(listed), same, "left_anti").select(*names)
     if several.isEmpty():
-        return kept
+        return back(kept, own)
     order = F.to_json(F.struct(*(F.col(c) for c in names if c != text), F.lit(0).alias("_llm_0")))
     one = docs.join(side(several), same).groupBy("_llm_id", "_llm_hash").agg(F.min_by(F.struct(*names), order).alias("row"))
-    return kept.unionByName(one.select("row.*"))
+    return back(kept.unionByName(one.select("row.*")), own)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from rasterloom.llm import components, decontaminate, near_dedup, substring_dedup
+from rasterloom.session import stored
 
 
 def _items(spark, pairs):
@@ -108,6 +109,34 @@ def test_matches_asked_for_miss_next_to_nothing():
     assert near_dedup.least_matches(1, 0.5) == 1
 
 
+def test_long_texts_below_the_threshold_keep_bounded_postings(documents, monkeypatch):
+    """Near-equal texts that are not linked; a posting holds no more shingles than it may, and their links stay."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(30_000)]
+    texts = [words]
+    for rate in (0.035, 0.04, 0.045, 0.02):
+        texts.append([f"x{rng.random()}" if rng.random() < rate else w for w in words])
+    pairs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    tables = []
+    monkeypatch.setattr(near_dedup, "stored", lambda df: tables.append(stored(df)) or tables[-1])
+    monkeypatch.setattr(near_dedup, "least_matches", lambda *_: 1)  # all of them meet in lists of several components
+    for percent in (80, 85):
+        assert _near(near_dedup.near_duplicates(documents(pairs), percent=percent)) == sorted(brute.near_duplicates(pairs, percent), key=repr)
+    postings = [t for t in tables if "earlier" in t.columns]
+    assert len(postings) == 2 and all(t.agg(F.max(F.size("earlier"))).first()[0] == near_dedup.EARLIER for t in postings)
+
+
+def test_equal_sets_only(documents):
+    pairs = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f h"), (4, "A b c d e F g")]
+    assert _near(near_dedup.near_duplicates(documents(pairs), percent=100)) == sorted(brute.near_duplicates(pairs, 100), key=repr)
+
+
+def test_names_with_dots_stay(documents):
+    docs = documents([(1, "a text of six words here"), (2, "a text of six words here"), (2, "a text of six words here"), (None, None)]).withColumn("a.b", F.lit(7))
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns and sorted((r["doc_id"] or 0, r["a.b"]) for r in got.collect()) == [(0, 7), (1, 7)]
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(7)
