@@ -29,14 +29,16 @@ def _with_band(table: DataFrame) -> DataFrame:
     return table.select("image_id", F.lit("gray").alias("band"), *[c for c in table.columns if c != "image_id"])
 
 
-def _level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
+def _level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None, bytes_only: bool = True) -> DataFrame:
+    n = F.count(F.lit(1))
     if is_colour(pixels):
         values = split_channels(pixels, bands or ("red", "green", "blue"))
     elif is_counted(pixels):
-        return _checked(pixels.groupBy("image_id", "v").agg(F.sum("n").alias("n")))
+        values, n = pixels.select("image_id", "v", "n"), F.sum("n")
     else:
         values = pixels.select("image_id", "v")
-    return _checked(values.groupBy(*_series(values), "v").agg(F.count(F.lit(1)).alias("n")))
+    counts = values.groupBy(*_series(values), "v").agg(n.alias("n"))
+    return _checked(counts) if bytes_only else counts
 
 
 def counted_levels(gray: DataFrame) -> DataFrame:
@@ -52,9 +54,13 @@ def _checked(counts: DataFrame) -> DataFrame:
     return counts.withColumn("v", checked_level(F.col("v")))
 
 
-def level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None) -> DataFrame:
-    """(image_id, band, v, n) for the levels that occur."""
-    return _with_band(_level_counts(pixels, bands))
+def level_counts(pixels: DataFrame, bands: tuple[str, ...] | None = None, bytes_only: bool = True) -> DataFrame:
+    """(image_id, band, v, n) for the levels that occur.
+
+    Rows by level need no levels of a byte: without ``bytes_only`` levels outside 0..255 are counted like the others,
+    and missing ones as a null level.
+    """
+    return _with_band(_level_counts(pixels, bands, bytes_only))
 
 
 def image_counts(pixels: DataFrame) -> DataFrame:

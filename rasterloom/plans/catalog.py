@@ -60,7 +60,7 @@ def _rounded_statistics(gray: DataFrame) -> DataFrame:
 
 QUERIES["img_statistics"] = _on(GRAY, _rounded_statistics)
 QUERIES["bench_stats_lineitem"] = _on(fx.lineitem_pixels, lambda p: _rounded_statistics(px.to_grayscale(p)))
-QUERIES["bench_hist_lineitem"] = _on(fx.lineitem_pixels, histogram.level_counts)
+QUERIES["bench_hist_lineitem"] = _on(fx.lineitem_pixels, lambda p: histogram.level_counts(p, bytes_only=False))
 
 
 def _plot(fixture: Query, **kw) -> Query:

@@ -71,6 +71,22 @@ def test_query(name, spark, sf, con):
     assert check.difference(result.toPandas(), relation.df()) is None
 
 
+def test_lineitem_levels_beyond_a_byte_are_counted(spark, sf, tmp_path):
+    """A price of 105000 or more is level 256 or more; a missing one has no level."""
+    import duckdb
+
+    odd = ["105000.0", "210000.0", "-1.0", "NULL::DOUBLE"]
+    rows = " UNION ALL ".join(f"(SELECT * REPLACE ({price} AS l_extendedprice) FROM given LIMIT 3)" for price in odd)
+    duckdb.sql(
+        f"COPY (WITH given AS (SELECT * FROM '{sf}/lineitem.parquet') SELECT * FROM given UNION ALL {rows})"
+        f" TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)"
+    )
+    got = QUERIES["bench_hist_lineitem"](spark, str(tmp_path)).toPandas()
+    want = check.tables(str(tmp_path)).sql(ORACLES["bench_hist_lineitem"]).df()
+    assert {256, 512, -1} <= set(got.v.dropna()) and got.v.isna().any()
+    assert check.difference(got, want) is None
+
+
 def test_entry_is_the_flagship(spark):
     legend = entry.entry(spark).toPandas()
     assert len(legend) == 5 * 6
